@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.operators import asknown, nearest
+from tickloom.operators import asknown, nearest, spikes
 from tickloom.registry import Registry, table
 
 R = Registry()
@@ -13,6 +13,41 @@ TICKER = "nullif(upper(trim(ticker, ' ' || chr(9) || chr(10) || chr(13))), '')"
 NY_DATE = "cast(timezone('America/New_York', {0} at time zone 'UTC') as date)"
 
 
+@R.query(
+    "p2_found",
+    f"""
+with t as (select distinct tick_id, {TICKER} as k, {NY_DATE.format("time_utc")} as d, time_utc, price from scanner_tick
+  where {TICKER} is not null and time_utc is not null and price is not null and tick_id is not null),
+ n as (select *, lag(price) over w as b1, lag(price, 2) over w as b2, lag(price, 3) over w as b3, lead(price) over w as a1, lead(price, 2) over w as a2, lead(price, 3) over w as a3,
+   row_number() over w as i from t window w as (partition by k, d order by time_utc, tick_id)),
+ u as (select k, d, median(cast(abs(price - b1) as double)) as u from n where price <> b1 group by 1, 2),
+ runs as (select *, i - row_number() over (partition by k, d, price order by i) as g from n),
+ r as (select *, count(*) over (partition by k, d, price, g) as run from runs),
+ x as (select r.*, u.u, greatest(
+   if(b1 is null or a1 is null, 0, greatest(price - greatest(b1, a1), least(b1, a1) - price)),
+   if(b1 is null or a2 is null, 0, greatest(least(price, a1) - greatest(b1, a2), least(b1, a2) - greatest(price, a1))),
+   if(b2 is null or a1 is null, 0, greatest(least(price, b1) - greatest(b2, a1), least(b2, a1) - greatest(price, b1))),
+   if(b1 is null or a3 is null, 0, greatest(least(price, a1, a2) - greatest(b1, a3), least(b1, a3) - greatest(price, a1, a2))),
+   if(b2 is null or a2 is null, 0, greatest(least(b1, price, a1) - greatest(b2, a2), least(b2, a2) - greatest(b1, price, a1))),
+   if(b3 is null or a1 is null, 0, greatest(least(b2, b1, price) - greatest(b3, a1), least(b3, a1) - greatest(b2, b1, price)))) as dev
+  from r left join u using (k, d)),
+ b as (select distinct bar_id, {TICKER} as k, bar_date, cast(o as double) o, cast(h as double) h, cast(l as double) l, cast(c as double) c from daily_bar
+  where {TICKER} is not null and bar_date is not null),
+ reach as (select *, (h - greatest(o, c)) / greatest(o, c) as up, (least(o, c) - l) / least(o, c) as down from b),
+ ub as (select k, median(x) as u from (select k, up as x from reach union all select k, down from reach) where x is not null group by 1),
+ seq as (select *, if(h = lag(h) over w and l = lag(l) over w, 0, 1) as fresh from reach window w as (partition by k order by bar_date, bar_id)),
+ rb as (select *, sum(fresh) over (partition by k order by bar_date, bar_id) as g from seq),
+ cb as (select *, count(*) over (partition by k, g) as run from rb)
+select 'scanner_tick' as record_table, tick_id as record_id from x where price <= 0 or run >= 12 or (dev > 0 and cast(dev as double) >= 10 * u)
+union all
+select 'daily_bar', bar_id from cb left join ub using (k)
+where l <= 0 or h < l or h < greatest(o, c) or l > least(o, c) or (greatest(up, down) > 0 and greatest(up, down) >= 8 * u) or (run >= 4 and h is not null and l is not null)
+""",
+)
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spikes.implausible(table(spark, folder, "scanner_tick"), table(spark, folder, "daily_bar")).select("record_table", "record_id")
+
+
 @R.query(
     "p5_found",
     """
