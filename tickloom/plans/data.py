@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.operators import asknown, nearest, spikes
+from tickloom.operators import asknown, grid, nearest, rolling, spikes
 from tickloom.registry import Registry, table
 
 R = Registry()
@@ -48,6 +49,60 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.implausible(table(spark, folder, "scanner_tick"), table(spark, folder, "daily_bar")).select("record_table", "record_id")
 
 
+@R.query(
+    "p3_found",
+    f"""
+with m as (select distinct {TICKER} as ticker, cast(floor((epoch_us(bar_start_utc) + 30000000) / 60000000.0) as bigint) as m from minute_bar
+  where {TICKER} is not null and bar_start_utc is not null),
+ d as (select *, {NY_DATE.format("make_timestamp(m * 60000000)")} as d from m),
+ s as (select ticker, d, unnest(generate_series(min(m), max(m))) as m from d group by 1, 2)
+select ticker, m * 60 as minute_epoch from s anti join m using (ticker, m)
+""",
+)
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return grid.minute_grid(table(spark, folder, "minute_bar")).filter("filled").select("ticker", "minute_epoch")
+
+
+@R.query("p3_grid")
+def p3_grid(spark: SparkSession, folder: str) -> DataFrame:
+    return grid.minute_grid(table(spark, folder, "minute_bar"))
+
+
+def _rolling_sql(what: str) -> str:
+    return f"""
+with one as (select {TICKER} as ticker, ts_utc, arg_max(struct_pack(a := avg_volume_5, r := rel_volume), (ingested_utc, avg_volume_5, rel_volume)) as v from minute_bar_features
+  where {TICKER} is not null and ts_utc is not null group by 1, 2),
+ days as (select ticker, {NY_DATE.format("ts_utc")} as d, sum(v.a) as a, count(v.a) as na, sum(v.r) as r, count(v.r) as nr from one group by 1, 2),
+ each as (select ticker, d, 'avg_volume_5' as measure, a as x from days where na > 0 union all select ticker, d, 'rel_volume', r from days where nr > 0),
+ cal as (select ticker, measure, unnest(generate_series(min(d), max(d) + interval 29 day, interval 1 day))::date as d from each group by 1, 2),
+ dense as (select ticker, measure, d, x from cal left join each using (ticker, measure, d)),
+ roll as (select ticker, measure, d, coalesce(sum(x) over (w rows 6 preceding), 0) as t7, coalesce(sum(x) over (w rows 29 preceding), 0) as t30, count(x) over (w rows 29 preceding) as n
+   from dense window w as (partition by ticker, measure order by d))
+{what}"""
+
+
+@R.query(
+    "p4_found",
+    _rolling_sql("""select ticker, cast(strftime(d, '%Y%m%d') as bigint) as day_key, measure from roll where n >= 12 and t30 > 0 and t7 * 30 >= t30 * 14"""),
+)
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    state = rolling.bar_feature_state(table(spark, folder, "minute_bar_features"))
+    day = F.date_format("day", "yyyyMMdd").cast("bigint").alias("day_key")
+    return rolling.bursts(state).select(F.col("entity").alias("ticker"), day, "measure")
+
+
+@R.query(
+    "p4_totals",
+    _rolling_sql("select ticker, d as day, measure, cast(t7 as double) as total_7, cast(t30 as double) as total_30, cast(n as bigint) as active_30 from roll where n > 0"),
+)
+def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
+    state = rolling.bar_feature_state(table(spark, folder, "minute_bar_features")).filter("active_30 > 0")
+    return state.select(
+        F.col("entity").alias("ticker"), "day", "measure", F.col("total_7").cast("double").alias("total_7"), F.col("total_30").cast("double").alias("total_30"),
+        F.col("active_30").cast("bigint").alias("active_30"),
+    )
+
+
 @R.query(
     "p5_found",
     """
