@@ -74,7 +74,7 @@ with one as (select {TICKER} as ticker, ts_utc, arg_max(struct_pack(a := avg_vol
   where {TICKER} is not null and ts_utc is not null group by 1, 2),
  days as (select ticker, {NY_DATE.format("ts_utc")} as d, sum(v.a) as a, count(v.a) as na, sum(v.r) as r, count(v.r) as nr from one group by 1, 2),
  each as (select ticker, d, 'avg_volume_5' as measure, a as x from days where na > 0 union all select ticker, d, 'rel_volume', r from days where nr > 0),
- cal as (select ticker, measure, unnest(generate_series(min(d), max(d) + interval 29 day, interval 1 day))::date as d from each group by 1, 2),
+ cal as (select ticker, measure, unnest(generate_series(min(d), least(max(d) + interval 29 day, (select max(d) from days)), interval 1 day))::date as d from each group by 1, 2),
  dense as (select ticker, measure, d, x from cal left join each using (ticker, measure, d)),
  roll as (select ticker, measure, d, coalesce(sum(x) over (w rows 6 preceding), 0) as t7, coalesce(sum(x) over (w rows 29 preceding), 0) as t30, count(x) over (w rows 29 preceding) as n
    from dense window w as (partition by ticker, measure order by d))
