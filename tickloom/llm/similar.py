@@ -1,6 +1,6 @@
 """Most similar vectors, by collision-counting hashing.
 
-A vector is projected on single random directions, and each projection is kept as a sorted array. A query opens a window
+A vector is projected on single directions, and each projection is kept as a sorted array. A query opens a window
 around its own value in every array; virtual rehashing widens the windows step by step instead of building new tables. A
 vector that lies in the windows of enough arrays (the collision threshold) is verified by its exact distance.
 
@@ -45,12 +45,9 @@ def _distance(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.sqrt(np.where(known, d, 0).sum(-1) / n), n
 
 
-def _directions(dims: int, seed: int, count: int | None = None) -> np.ndarray:
-    r = np.random.default_rng(seed)
-    if count is None:  # an orthonormal basis
-        return np.linalg.qr(r.normal(size=(dims, dims)))[0]
-    a = r.normal(size=(count, dims))
-    return a / np.linalg.norm(a, axis=1, keepdims=True)
+def _basis(dims: int, seed: int) -> np.ndarray:
+    """A random orthonormal basis."""
+    return np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))[0]
 
 
 def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: int, seed: int = 7) -> DataFrame:
@@ -70,7 +67,7 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
     """
     groups = max(1, dims - least_shared + 1)
     parts = [list(range(g, dims, groups)) for g in range(groups)]
-    bases = [_directions(len(p), seed + g) for g, p in enumerate(parts)]
+    bases = [_basis(len(p), seed + g) for g, p in enumerate(parts)]
     half = radius * dims**0.5 * (1 + 1e-9) + 1e-12
     width = 8 * half
     spark = vectors.sparkSession
@@ -196,83 +193,122 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
     return across.unionAll(within.select(F.col("id").alias("id_a"), "id_b", F.lit(0.0).alias("distance"), "shared"))
 
 
-#: Projections, collision threshold and half-width of a window over the radius it is to cover: a vector within the radius
-#: lies in a window with probability 0.77, and in at least LEAST of the windows with 0.97.
-ARRAYS, LEAST, REACH = 24, 15, 1.2
-START, WIDEN = 0.5, 1.3
-
-
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, dims: int, k: int, least_shared: int = 5, seed: int = 11) -> DataFrame:
+#: Half-width of a window over the radius that it is to cover, and the share of the arrays known to both in whose windows a
+#: vector must lie to be verified. A vector within the radius lies in a window with probability 0.77.
+REACH, THRESHOLD = 1.2, 2 / 3
+#: The first radius, and by how much virtual rehashing widens it each time.
+START, WIDEN = 0.25, 1.3
+#: Queries that are asked together at most.
+BATCH = 200_000
+
+
+class SortedArrays:
+    """A block of vectors with a sorted array for each component. A vector is left out of the arrays of the components that
+    it does not know, so the collision threshold counts only arrays that both the query and the vector are in."""
+
+    def __init__(self, ids: np.ndarray, z: np.ndarray):
+        self.ids, self.known = ids, ~np.isnan(z)
+        self.z, self.n, self.dims = np.nan_to_num(z), len(ids), z.shape[1]
+        lines = np.where(self.known, z, np.inf)
+        self.order = np.argsort(lines, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.size = self.known.sum(0)
+        rows = [lines[o[:m], j] for j, (o, m) in enumerate(zip(self.order, self.size))]
+        self.base = np.cumsum(self.size) - self.size
+        # all arrays in one, set so far apart that windows stay within their own after clipping
+        self.apart = 4 * max([1.0, *(float(np.abs(r).max()) for r in rows if len(r))])
+        self.line = np.concatenate([r + j * self.apart for j, r in enumerate(rows)])
+        self.needs: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+    def nearest(self, i: int, z: np.ndarray, k: int, least_shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, distances and shared components of the k most similar vectors of the block, the one with id i left out."""
+        known = ~np.isnan(z)
+        arrays = np.flatnonzero(known)
+        if known.tobytes() not in self.needs:
+            shared = self.known[:, arrays].sum(1)
+            if len(self.needs) > 64:
+                self.needs.clear()
+            self.needs[known.tobytes()] = np.maximum(1, np.ceil(THRESHOLD * shared)).astype(np.uint8), shared
+        need, shared = self.needs[known.tobytes()]
+        q = np.clip(np.nan_to_num(z), -self.apart / 4, self.apart / 4)
+        at = q[arrays] + arrays * self.apart
+        first, last = self.base[arrays], self.base[arrays] + self.size[arrays]
+        count, done = np.zeros(self.n, np.uint8), (shared < least_shared) | (self.ids == i)
+        lo = hi = np.searchsorted(self.line, at)
+        best, where, radius, zero = np.zeros(0), np.zeros(0, np.int64), START, np.nan_to_num(z)
+        while True:
+            wide = min(REACH * radius, self.apart)
+            new_lo = np.clip(np.searchsorted(self.line, at - wide), first, last)
+            new_hi = np.clip(np.searchsorted(self.line, at + wide, "right"), first, last)
+            lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
+            for a, (j, b) in enumerate(zip(arrays, first)):
+                o = self.order[j]
+                count[o[new_lo[a] - b : lo[a] - b]] += 1
+                count[o[hi[a] - b : new_hi[a] - b]] += 1
+            lo, hi = new_lo, new_hi
+            fresh = np.flatnonzero((count >= need) & ~done)
+            done[fresh] = True
+            d = np.sqrt((((self.z[fresh] - zero) ** 2) * (self.known[fresh] & known)).sum(1) / shared[fresh])
+            best, where = np.r_[best, d], np.r_[where, fresh]
+            if len(best) > k:
+                top = np.lexsort((self.ids[where], best))[:k]
+                best, where = best[top], where[top]
+            if (len(best) >= k and best.max() <= radius) or ((lo == first) & (hi == last)).all():
+                return where, best, shared[where]
+            radius *= WIDEN
+
+
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, dims: int, k: int, least_shared: int = 5) -> DataFrame:
     """For each query the k most similar other vectors, with a small loss: id, neighbour, rank, distance, shared.
 
-    vectors, queries: id bigint, vec array<double>; queries may be all vectors or some. Every vector is indexed: the vectors
-    are dealt into blocks of BLOCK, each with its own sorted arrays, and the queries are asked in every block, in batches.
-    Windows start at START and widen by WIDEN until the k best verified vectors of the block lie within the radius that the
-    windows cover, or the windows cover all of it. Unknown components count as 0 in the projections (centre the vectors) and
-    are left out of the distance. The k best of all blocks are ranked by distance, then id.
+    vectors, queries: id bigint, vec array<double> of at most 255 components of comparable scale; queries may be all vectors
+    or some. Every vector is indexed: the vectors are dealt into blocks of about BLOCK, each with its own sorted arrays, and
+    every batch of queries is asked in every block, a task for each block and batch. Windows are widened until the k best
+    verified vectors of the block lie within the radius that the windows cover, or the windows cover the block. The k best of
+    all blocks are ranked by distance, then id. The work grows as vectors times queries (about 33 ns a pair at 12
+    components), spread evenly over tasks whatever the vectors' distribution.
 
     Nulls: see distinct_vectors; queries are treated alike. Fewer than k vectors that share enough components give fewer rows.
     """
     v, q = distinct_vectors(vectors), distinct_vectors(queries)
     blocks = v.count() // BLOCK + 1
-    key = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    both = v.select(key.alias("block"), F.lit(True).alias("kept"), "id", "vec").unionAll(
-        q.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("kept"), "id", "vec")
+    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+    batches = max(1, min(-(-tasks // blocks), q.count() // 500 + 1), q.count() // BATCH + 1)
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = v.select(part(blocks).alias("block"), every(batches).alias("batch"), F.lit(True).alias("kept"), "id", "vec").unionAll(
+        q.select(every(blocks).alias("block"), part(batches).alias("batch"), F.lit(False).alias("kept"), "id", "vec")
     )
-    axes = _directions(dims, seed, ARRAYS)
-
-    def ask(z0: np.ndarray, ids: np.ndarray, qz: np.ndarray, qids: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
-        h = np.nan_to_num(z0) @ axes.T
-        order = np.argsort(h, axis=0).T.astype(np.int32).copy()
-        lines = np.take_along_axis(h.T, order.astype(np.int64), 1)
-        n = len(ids)
-        for z, i, at in zip(qz, qids, np.nan_to_num(qz) @ axes.T):
-            count, seen = np.zeros(n, np.uint8), ids == i
-            best_d, best_at, best_n = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            lo = hi = np.array([np.searchsorted(x, a) for x, a in zip(lines, at)])
-            radius = START
-            while True:
-                new_lo = np.array([np.searchsorted(x, a - REACH * radius) for x, a in zip(lines, at)])
-                new_hi = np.array([np.searchsorted(x, a + REACH * radius, "right") for x, a in zip(lines, at)])
-                for j in range(ARRAYS):
-                    count[order[j, new_lo[j] : lo[j]]] += 1
-                    count[order[j, hi[j] : new_hi[j]]] += 1
-                lo, hi = new_lo, new_hi
-                fresh = np.flatnonzero((count >= LEAST) & ~seen)
-                seen[fresh] = True
-                d, shared = _distance(z0[fresh], z)
-                ok = shared >= least_shared
-                best_d, best_at, best_n = np.r_[best_d, d[ok]], np.r_[best_at, fresh[ok]], np.r_[best_n, shared[ok]]
-                if len(best_d) > k:
-                    top = np.lexsort((ids[best_at], best_d))[:k]
-                    best_d, best_at, best_n = best_d[top], best_at[top], best_n[top]
-                if (len(best_d) >= k and (best_d * np.sqrt(best_n)).max() <= radius) or (hi - lo).min() >= n:
-                    break
-                radius *= WIDEN
-            for d, j, m in zip(best_d, best_at, best_n):
-                yield int(i), int(ids[j]), float(d), int(m)
+    rows = rows.withColumn("task", F.col("block") * batches + F.col("batch"))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t = pa.Table.from_batches(held).combine_chunks()
-        block, kept, ids = (t.column(c).to_numpy() for c in ("block", "kept", "id"))
-        vec = t.column("vec").combine_chunks()
-        z = _matrix(vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec, dims)
-        for b in np.unique(block):
-            data, asks = np.flatnonzero((block == b) & kept), np.flatnonzero((block == b) & ~kept)
-            if not len(data):
-                continue
-            found = list(ask(z[data], ids[data], z[asks], ids[asks]))
-            cols = list(zip(*found)) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["id", "neighbour", "distance", "shared"])
-
-    found = both.repartitionById(blocks, "block").mapInArrow(search, "id bigint, neighbour bigint, distance double, shared bigint")
+        t = pa.Table.from_batches(held)
+        kept, ids, vec = t.column("kept").to_numpy(), t.column("id").to_numpy(), pa.concat_arrays(t.column("vec").chunks)
+        z = _matrix(vec, dims)
+        if not kept.any():
+            return
+        index = SortedArrays(ids[kept], z[kept])
+        out: list[tuple] = []
+        for i, x in zip(ids[~kept].tolist(), z[~kept]):
+            where, d, n = index.nearest(i, x, k, least_shared)
+            out.append((np.full(len(d), i), index.ids[where], d, n))
+            if len(out) == 2000:
+                yield _found(out)
+                out = []
+        if out:
+            yield _found(out)
+
+    found = rows.repartitionById(blocks * batches, "task").mapInArrow(search, "id bigint, neighbour bigint, distance double, shared bigint")
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "neighbour", "rank", "distance", "shared")
 
 
+def _found(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "neighbour", "distance", "shared"])
+
+
 def record_vectors(records: DataFrame, stats: DataFrame, centre: bool) -> DataFrame:
     """id and vec of feature records: each feature of feature_stat divided by its standard deviation, null where the key is
     absent or the value null; with centre, less the mean first. feature_stat is a small fixed table, one row for a feature."""
