@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import similar, tokens
+from tickloom.llm import content, mixing, similar, tokens
 from tickloom.registry import Registry, table
 
 R = Registry()
@@ -69,3 +69,36 @@ def p1_evidence_distance(spark: SparkSession, folder: str) -> DataFrame:
 @R.query("p7_ids")
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
+
+
+@R.query("p8_mix")
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each mixture and how often each is used."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
+
+
+@R.query("p8_shares")
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The actual share of each source in each mixture beside its target."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return content.score(docs, content.fitted(table(spark, folder, "content_example"), docs), keep=("source",))
+
+
+@R.query("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).filter(F.col("score") >= content.CUT).select("doc_id")
+
+
+@R.query("p9_scores")
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(spark, folder).drop("source")
+
+
+@R.query("p9_rates")
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of documents with abusive, hateful or sexual content of each source."""
+    return content.rates(_scored(spark, folder))
