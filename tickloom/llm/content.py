@@ -26,12 +26,14 @@ CLASSES = ["none", "abusive", "hateful", "sexual"]
 BUCKETS, DIM, GRAMS = 1 << 16, 24, (3, 4, 5)
 #: Words of a window, of a sentence that is still scored as one, between windows, and of a sentence that stands alone.
 WINDOW, WHOLE, STRIDE, SHORT = 8, 13, 2, 3
+#: How much more than all others together the class none weighs in training: most texts are of it.
+NEUTRAL = 1.3
 #: Labelled rows that a model is fitted on at most.
 LABELLED = 20_000
 #: What an n-gram never seen in training counts in the average, compared with one seen.
 UNSEEN = 0.35
 #: Score from which a document counts as a case.
-CUT = 0.35
+CUT = 0.4
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters in words.
 LOOKALIKES = str.maketrans("абвгезикмнорстухѕіјԁһӏԛԝαβεηικνορτυχωɡı", "abbre3nkmhopctyxsijdhlqwabenikvoptuxwgi")
@@ -204,8 +206,8 @@ def vocabulary(folder: str | None = None, names: tuple[str, ...] = ("byte_bpe_50
 def train(texts: list[str], labels: list[str], background: list[list[list[str]]], seed: int = 5, epochs: int = 15) -> Model:
     """A model from labelled texts, in two rounds. A label other than none holds for some part of its text: the first round
     learns from whole texts, the second from the part of each that the first finds worst, and takes the rest for neutral.
-    background: lists of phrases (of one word or more) that are neutral by default, drawn from alike; the beginning and the
-    end of a labelled text that consist of such phrases of PHRASE words are neutral from the first round on."""
+    background: lists of phrases (of one word or more) that are neutral by default, drawn from alike; where a labelled
+    text has such phrases of PHRASE words, only the longest part between them bears the label, from the first round on."""
     rng = np.random.default_rng(seed)
     usual = {tuple(p) for b in background for p in b if len(p) == PHRASE}
     whole: list[tuple[list[str], int]] = []
@@ -214,9 +216,11 @@ def train(texts: list[str], labels: list[str], background: list[list[list[str]]]
         covered = np.zeros(len(ws), bool)
         for i in range(len(ws) - PHRASE + 1):
             covered[i : i + PHRASE] |= tuple(ws[i : i + PHRASE]) in usual
-        own = np.flatnonzero(~covered)
-        if k and covered.any() and len(own) >= SHORT:
-            whole += [(x, y) for x, y in ((ws[own[0] : own[-1] + 1], k), (ws[: own[0]], 0), (ws[own[-1] + 1 :], 0)) if x]
+        at = np.flatnonzero(np.diff(np.r_[True, covered, True].astype(int)))
+        runs = [(b - a, a, b) for a, b in zip(at[::2], at[1::2])]  # between the usual phrases
+        if k and covered.any() and runs and (longest := max(runs))[0] >= SHORT:
+            _, a, b = longest
+            whole += [(x, y) for x, y in ((ws[a:b], k), (ws[:a], 0), (ws[b:], 0)) if len(x) >= PHRASE or y]
         else:
             whole.append((ws, k))
     first = _fit(whole, background, rng, max(1, epochs // 3))
@@ -295,7 +299,7 @@ def _fit(cores: list[tuple[list[str], int]], background: list[list[list[str]]],
     kind = np.array([k for _, k in rows])
     y = np.eye(len(CLASSES))[kind]
     share = np.bincount(kind, minlength=len(CLASSES)) / len(rows)
-    weight = np.where(kind == 0, 1.0, (share[0] / (3 * np.maximum(share, 1e-9)))[kind])
+    weight = np.where(kind == 0, NEUTRAL, (share[0] / (3 * np.maximum(share, 1e-9)))[kind])
     emb, sq = rng.normal(0, 0.05, (BUCKETS, DIM)), np.full((BUCKETS, 1), 1e-6)
     out, bias = rng.normal(0, 0.3, (DIM, len(CLASSES))), np.zeros(len(CLASSES))
     out_sq, bias_sq = np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
@@ -343,7 +347,7 @@ def fitted(examples: DataFrame, docs: DataFrame) -> Model:
     key = hash((tuple(map(tuple, rows)), str(common)))
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = train([r[0] for r in rows], [r[1] for r in rows], [vocabulary(), *common])
+        _MODELS[key] = train([r[0] for r in rows], [r[1] for r in rows], [vocabulary(), *common, common[1]])
     return _MODELS[key]
 
 
