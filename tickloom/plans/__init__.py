@@ -4,6 +4,6 @@ from tickloom.registry import Registry
 
 
 def registries() -> list[Registry]:
-    from tickloom.plans import data
+    from tickloom.plans import data, market
 
-    return [data.R]
+    return [data.R, market.R]
