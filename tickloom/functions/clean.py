@@ -39,3 +39,9 @@ def ny_minutes(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     et = F.from_utc_timestamp(c.cast("timestamp"), NEW_YORK)
     return F.hour(et) * 60 + F.minute(et)
+
+
+def half_even(x: Column, digits: int) -> Column:
+    """x rounded half to even as a decimal would be: what lies within 0.0001 units of a tie counts as one."""
+    unit = float(10**digits)
+    return F.bround(F.round(x * unit, 4), 0) / unit

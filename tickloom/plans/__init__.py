@@ -4,6 +4,6 @@ from tickloom.registry import Registry
 
 
 def registries() -> list[Registry]:
-    from tickloom.plans import data, market
+    from tickloom.plans import data, evidence, market
 
-    return [data.R, market.R]
+    return [data.R, market.R, evidence.R]
