@@ -4,6 +4,6 @@ from tickloom.registry import Registry
 
 
 def registries() -> list[Registry]:
-    from tickloom.plans import data, evidence, market
+    from tickloom.plans import data, evidence, market, misc
 
-    return [data.R, market.R, evidence.R]
+    return [data.R, market.R, evidence.R, misc.R]
