@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import clean
+from tickloom.ordered import change, prefix_scan, ranged, scan
 
 
 def clean_ticks(ticks: DataFrame) -> DataFrame:
@@ -95,25 +98,56 @@ def throttle(quotes: DataFrame, gap_ms: int = 100) -> DataFrame:
     return quotes.withColumn("close", close).groupBy("ticker", "session_date").agg(F.count_if("close").alias("within"), F.count_if(~F.col("close")).alias("apart"))
 
 
-def reference_prices(asks: DataFrame, ticks: DataFrame, quotes: DataFrame, bars: DataFrame, quote_s: int = 30, tick_s: int = 60) -> DataFrame:
-    """For each ask (id, ticker, ts) the price to refer to: the middle of the last quote with both sides if at most quote_s
-    seconds old, else the last tick's price if at most tick_s old, else the last bar's close: id, price, kind.
+def latest_known(asks: DataFrame, records: DataFrame, kinds: int, rows: int, per: int | None = None) -> DataFrame:
+    """For each ask the latest record of each kind of its entity at or before its time: id, and for each kind k the time t<k>
+    (microseconds) and the value v<k>, null without one. Of records at one instant the largest value.
 
-    Everything is put on one line by ticker and time, and the latest of each kind is carried forward; nothing is joined by
-    range. An ask at the time of a record sees it. Without any of them the price and the kind are null.
+    asks: entity string, time bigint, id bigint; records: entity, time, kind int (0 to kinds - 1), value double. All lie in one
+    order by (entity, time), split into partitions anywhere; the latest records before a partition come from a prefix scan
+    over one record of each kind for each partition. Rows with a null entity or time, and records with a null kind or value,
+    are left out. rows: about how many both have.
     """
-    none = {"q": "struct<ts:timestamp,price:double>", "t": "struct<ts:timestamp,price:double>", "b": "struct<ts:timestamp,price:double>"}
-
-    def line(df: DataFrame, own: str, price) -> DataFrame:
-        cols = [F.struct("ts", price.alias("price")).alias(own) if own == k else F.lit(None).cast(v).alias(k) for k, v in none.items()]
-        return df.filter(price.isNotNull()).select("ticker", "ts", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), *cols)
-
-    asked = asks.select("ticker", "ts", F.lit(1).alias("kind"), "id", *(F.lit(None).cast(v).alias(k) for k, v in none.items()))
-    all_ = line(quotes, "q", (F.col("bid") + F.col("ask")) / 2).unionAll(line(ticks, "t", F.col("price"))).unionAll(line(bars, "b", F.col("c"))).unionAll(asked)
-    w = Window.partitionBy("ticker").orderBy("ts", "kind", F.coalesce("q.price", "t.price", "b.price")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = all_.withColumns({k: F.last(k, True).over(w) for k in none}).filter("kind = 1")
-    fresh = lambda k, s: F.unix_seconds("ts") - F.unix_seconds(f"{k}.ts") <= s
+    none = F.lit(None)
+    r = records.filter("kind is not null and value is not null").select("entity", "time", F.col("kind").cast("int").alias("kind"), "value", none.cast("bigint").alias("id"))
+    a = asks.select("entity", "time", F.lit(kinds).alias("kind"), none.cast("double").alias("value"), "id")
+    both = r.unionAll(a).filter("entity is not null and time is not null")
+    table = ranged(both, ["entity", "time", "kind", "value", "id"], rows, "latest", **({"per": per} if per else {}))
+    last = [F.max(F.when(F.col("kind") == k, F.struct("entity", "time", "value"))).alias(f"k{k}") for k in range(kinds)]
+    edges = table.groupBy("_pid").agg(*last).orderBy("_pid").collect()  # one row for each partition
+    newer = lambda x, y: tuple(q or p for p, q in zip(x, y))
+    scanned = prefix_scan([tuple(tuple(e[f"k{k}"]) if e[f"k{k}"] else None for k in range(kinds)) for e in edges], newer, (None,) * kinds)
+    carry = {e["_pid"]: c for e, c in zip(edges, scanned)}
+
+    def look(pid: int, t: pa.Table) -> pa.Table:
+        n, kind, time = t.num_rows, t.column("kind").to_numpy(), t.column("time").to_numpy()
+        value, ent, at = t.column("value").fill_null(0.0).to_numpy(), np.cumsum(change(t, "entity")), np.arange(n)
+        q = np.flatnonzero(kind == kinds)
+        out = {"id": t.column("id").take(pa.array(q))}
+        first = t.column("entity")[0].as_py()
+        for k in range(kinds):
+            near = np.maximum.accumulate(np.where(kind == k, at, -1))[q]
+            ok = (near >= 0) & (ent[near] == ent[q])
+            ts, v = time[near].copy(), value[near].copy()
+            if (c := carry[pid][k]) and c[0] == first:
+                old = ~ok & (ent[q] == 1)
+                ts[old], v[old], ok = c[1], c[2], ok | old
+            out |= {f"t{k}": pa.array(ts, mask=~ok), f"v{k}": pa.array(v, mask=~ok)}
+        return pa.table(out)
+
+    return scan(table, look, "id bigint, " + ", ".join(f"t{k} bigint, v{k} double" for k in range(kinds)))
+
+
+def reference_prices(asks: DataFrame, ticks: DataFrame, quotes: DataFrame, bars: DataFrame, rows: int, quote_s: int = 30, tick_s: int = 60, per: int | None = None) -> DataFrame:
+    """For each ask (id, ticker, ts) the price to refer to: the middle of the last quote with both sides if at most quote_s
+    seconds old, else the last tick's price if at most tick_s old, else the last bar's close: id, price, kind. An ask at the
+    time of a record sees it. Without any of them the price and the kind are null. See latest_known."""
+    us = F.unix_micros("ts")
+    line = lambda df, k, price: df.select(F.col("ticker").alias("entity"), us.alias("time"), F.lit(k).alias("kind"), price.alias("value"))
+    records = line(quotes, 0, (F.col("bid") + F.col("ask")) / 2).unionAll(line(ticks, 1, F.col("price"))).unionAll(line(bars, 2, F.col("c")))
+    seen = latest_known(asks.select(F.col("ticker").alias("entity"), us.alias("time"), "id"), records, 3, rows, per)
+    seen = seen.join(asks.select("id", F.unix_seconds("ts").alias("now")), "id")
+    fresh = lambda k, s: F.col("now") - F.floor(F.col(f"t{k}") / 1_000_000) <= s
     return seen.select(
-        "id", F.when(fresh("q", quote_s), F.col("q.price")).when(fresh("t", tick_s), F.col("t.price")).otherwise(F.col("b.price")).alias("price"),
-        F.when(fresh("q", quote_s), "quote").when(fresh("t", tick_s), "tick").when(F.col("b").isNotNull(), "bar").alias("kind"),
+        "id", F.when(fresh(0, quote_s), F.col("v0")).when(fresh(1, tick_s), F.col("v1")).otherwise(F.col("v2")).alias("price"),
+        F.when(fresh(0, quote_s), "quote").when(fresh(1, tick_s), "tick").when(F.col("v2").isNotNull(), "bar").alias("kind"),
     )

@@ -301,4 +301,5 @@ select id, case when qa <= 30 then qp when ta <= 60 then tp else bp end as price
 def reference_prices(spark: SparkSession, folder: str) -> DataFrame:
     r = table(spark, folder, "analogue_record").select(F.col("record_id").alias("id"), clean.ticker("ticker").alias("ticker"), F.col("as_of_utc").cast("timestamp").alias("ts"))
     asks = r.dropna().groupBy("id").agg(F.first("ticker").alias("ticker"), F.first("ts").alias("ts"))
-    return tape.reference_prices(asks, _ticks(spark, folder), _quotes(spark, folder), _bars(spark, folder))
+    rows = sum(table(spark, folder, t).count() for t in ("scanner_tick", "scanner_quote", "minute_bar"))
+    return tape.reference_prices(asks, _ticks(spark, folder), _quotes(spark, folder), _bars(spark, folder), rows)
