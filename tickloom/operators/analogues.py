@@ -181,3 +181,24 @@ def candidate_evidence(evidence: DataFrame, records: DataFrame, stats: DataFrame
         clean.half_even(F.try_divide(F.coalesce(total, F.lit(0.0)), triggered), 4).alias("expectancy"),
         F.count_if(F.upper("selection_tier") == "PREFERRED").alias("preferred"), F.count_if(F.upper("selection_tier") == "SECONDARY").alias("secondary"),
     )
+
+
+def setup_aggregates(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int = 24) -> DataFrame:
+    """For each query and setup, the valid scenarios of the query's analogues: numbers and results."""
+    near = analogues(records.drop("scenarios"), queries, stats, n).select("query", "record_id")
+    s = scenario_rows(records).filter("structurally_valid").select("record_id", F.lower("direction").alias("direction"), F.lower("entry_type").alias("entry_type"), "selection_tier", "triggered", "t1_before_stop", "primary_outcome", "resolved_r")
+    upper = lambda c: F.upper(c)
+    return near.join(s, "record_id").groupBy("query", "direction", "entry_type").agg(
+        F.count(F.lit(1)).alias("scenarios"), F.count_if(upper("selection_tier") == "PREFERRED").alias("preferred"), F.count_if(upper("selection_tier") == "SECONDARY").alias("secondary"),
+        F.count_if("triggered").alias("triggered"), F.count_if("t1_before_stop").alias("t1_first"), F.count_if(upper("primary_outcome") == "STOP_BEFORE_T1").alias("stop_first"),
+        F.count("resolved_r").alias("resolved"), clean.half_even(F.try_divide(F.sum("resolved_r").cast("double"), F.count("resolved_r")), 3).alias("mean_r"),
+    )
+
+
+def with_fallback(rows: DataFrame, lookup: DataFrame, key: str, rank: str, ordinal: str, value: str) -> DataFrame:
+    """rows with a value looked up by (key, rank) where the rank is positive and found, else by (key, place): lookup has key,
+    rank, ordinal (from 1) and the value; of repeated ranks the last place counts."""
+    by_rank = lookup.filter(F.col(rank) > 0).groupBy(key, rank).agg(F.max_by(value, ordinal).alias("_r"), F.lit(True).alias("_has"))
+    by_place = lookup.groupBy(key, ordinal).agg(F.max_by(value, ordinal).alias("_o"))
+    x = rows.join(by_rank, [key, rank], "left").join(by_place, [key, ordinal], "left")
+    return x.withColumn(value, F.when(F.col("_has"), F.col("_r")).otherwise(F.col("_o"))).drop("_r", "_o", "_has")

@@ -214,3 +214,60 @@ def coverage(bars: DataFrame, features: DataFrame) -> DataFrame:
         F.min("ts").alias("first_bar"), F.max("ts").alias("last_bar"), F.max(F.when(F.col("has") == 1, F.col("ts"))).alias("last_feature"),
         F.count("has").alias("joined"), (F.count(F.lit(1)) - F.count("has")).alias("missed"),
     )
+
+
+def preferred_bars(minute_bar: DataFrame, order: list[str]) -> DataFrame:
+    """One bar for each ticker and minute by preference of source (earlier in the list first, others last), then the latest
+    provider time, then the largest volume and close: ticker, ts, c, v, source."""
+    minute = F.floor((clean.micros("bar_start_utc") + MINUTE // 2) / F.lit(MINUTE)).cast("bigint")
+    src = clean.source("source")
+    place = F.lit(len(order))
+    for i, s in enumerate(order):
+        place = F.when(src == s, i).otherwise(place)
+    rank = F.struct((-place).alias("p"), "provider_ts_utc", "v", "c", src.alias("source"))
+    b = minute_bar.select(clean.ticker("ticker").alias("ticker"), minute.alias("m"), rank.alias("b")).filter("ticker is not null and m is not null")
+    b = b.groupBy("ticker", "m").agg(F.max("b").alias("b"))
+    return b.select("ticker", F.timestamp_seconds(F.col("m") * 60).alias("ts"), F.col("b.c").cast("double").alias("c"), "b.v", "b.source")
+
+
+def feature_agreement(features: DataFrame, stored: DataFrame, within: float = 1e-4) -> DataFrame:
+    """Computed features against the stored rows in force (the last ingested of a ticker and time): for each ticker the joined
+    rows and how many agree in vwap and in body within a margin; a pair with a null agrees if both are null."""
+    s = stored.select(clean.ticker("ticker").alias("ticker"), F.col("ts_utc").cast("timestamp").alias("ts"), "ingested_utc", F.col("vwap").cast("double").alias("s_vwap"), F.col("body").cast("double").alias("s_body"))
+    s = s.dropna(subset=["ticker", "ts"]).groupBy("ticker", "ts").agg(F.max(F.struct("ingested_utc", "s_vwap", "s_body")).alias("s")).select("ticker", "ts", "s.s_vwap", "s.s_body")
+    same = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= within, F.col(a).isNull() & F.col(b).isNull())
+    return features.join(s, ["ticker", "ts"]).groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(same("vwap", "s_vwap")).alias("same_vwap"), F.count_if(same("body", "s_body")).alias("same_body")
+    )
+
+
+def reference_moves(bars: DataFrame, ticker: str, back: int = 4, share: float = 0.002) -> DataFrame:
+    """The move of a reference ticker over `back` bars of its session: ts, move (up, down, flat)."""
+    w = _session()
+    was = F.lag("c", back).over(w)
+    change = F.try_divide(F.col("c") - was, was)
+    r = bars.filter(F.col("ticker") == ticker).withColumn("change", change).filter("change is not null")
+    return r.select("ts", F.when(F.col("change") > share, "up").when(F.col("change") < -share, "down").otherwise("flat").alias("move"))
+
+
+def replay_instants(summary: DataFrame, minutes: int) -> DataFrame:
+    """The instants at which each session is replayed: every so many minutes from its first bar on, up to one minute after its
+    last bar, each with the last minute that is closed by then. ticker, session_date, at, last_closed."""
+    step = F.expr(f"interval {minutes} minutes")
+    every = F.sequence("first_ts", F.col("last_ts") + F.expr("interval 1 minute"), step)
+    x = summary.select("ticker", "session_date", F.explode(every).alias("at"))
+    return x.withColumn("last_closed", F.date_trunc("minute", "at") - F.expr("interval 1 minute"))
+
+
+def documents(features: DataFrame, recent: int = 60, coarse: int = 5) -> DataFrame:
+    """One nested document for each session: its state, its last `recent` bars, and the earlier ones as bars of `coarse`
+    minutes. ticker, session_date, state struct, bars array, earlier array. A session has at most as many bars as minutes."""
+    keys = ["ticker", "session_date"]
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))
+    f = features.withColumn("_k", back)
+    listed = lambda df, cols, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    near = listed(f.filter(F.col("_k") <= recent), ["ts", "o", "h", "l", "c", "v", "vwap", "rel_volume"], "bars")
+    far = listed(resample(f.filter(F.col("_k") > recent), coarse), ["bucket", "o", "h", "l", "c", "v"], "earlier")
+    state = session_state(features)
+    state = state.select(*keys, F.struct(*(c for c in state.columns if c not in keys)).alias("state"))
+    return state.join(near, keys).join(far, keys, "left").withColumn("earlier", F.coalesce("earlier", F.array()))

@@ -158,3 +158,62 @@ def paired_choices(rows: DataFrame) -> DataFrame:
         "query_record_id", "candidates", F.col("a.evidence_id").alias("by_rank"), F.col("b.evidence_id").alias("by_band"), (F.col("a.evidence_id") != F.col("b.evidence_id")).alias("changed"),
         F.round(F.col("b.actual_r") - F.col("a.actual_r"), 6).alias("delta_r"),
     )
+
+
+def _tier() -> Column:
+    return F.when(F.upper("selection_tier") == "PREFERRED", 0).when(F.upper("selection_tier") == "SECONDARY", 1).otherwise(2)
+
+
+def _band_rank() -> Column:
+    return F.when(F.col("evidence_band") == "STRONG", 0).when(F.col("evidence_band") == "NEUTRAL", 1).when(F.col("evidence_band") == "NEGATIVE", 2).otherwise(3)
+
+
+def policy_choices(rows: DataFrame) -> DataFrame:
+    """What three orders choose among the candidates of each window and query record: by rank (raw), by tier, then rank (tier),
+    and by tier, band, then rank (aware); equal ones by id. One aggregation."""
+    pick = F.struct("evidence_id", "actual_r", F.coalesce("evidence_band", F.lit("INSUFFICIENT")).alias("band"))
+    by = {"raw": [], "tier": [_tier().alias("t")], "aware": [_tier().alias("t"), _band_rank().alias("b")]}
+    return rows.groupBy("evidence_window", "query_record_id").agg(*(F.min_by(pick, F.struct(*o, "scenario_rank", "evidence_id")).alias(k) for k, o in by.items()))
+
+
+def ranking_windows(rows: DataFrame) -> DataFrame:
+    """For each window, how often the orders of policy_choices choose differently, their results where both are resolved, and
+    how often each band is chosen (all four bands, with zeros)."""
+    c = policy_choices(rows)
+    raw, tier, aware = (F.col(f"{k}.actual_r") for k in ("raw", "tier", "aware"))
+    changed = F.col("tier.evidence_id") != F.col("aware.evidence_id")
+    both, both_raw = tier.isNotNull() & aware.isNotNull(), raw.isNotNull() & tier.isNotNull()
+    mean = lambda x, on: F.bround(F.avg(F.when(on, x)), 4)
+    total = lambda x, on: F.round(F.sum(F.when(on, x)), 6)
+    known = F.when(F.col("aware.band").isin(BANDS), F.col("aware.band")).otherwise("INSUFFICIENT")
+    count = lambda on: F.count_if(on)
+    n = F.count(F.lit(1))
+    return c.withColumn("_band", known).groupBy("evidence_window").agg(
+        n.alias("cards"), count(F.col("raw.evidence_id") != F.col("tier.evidence_id")).alias("tier_changed"), count(changed).alias("evidence_changed"),
+        F.bround(count(changed) / n, 4).alias("evidence_changed_rate"), count(both_raw).alias("raw_pairs"), mean(raw, both_raw).alias("raw_mean_r"), mean(tier, both_raw).alias("tier_mean_r_vs_raw"),
+        count(both).alias("pairs"), mean(tier, both).alias("tier_mean_r"), mean(aware, both).alias("aware_mean_r"), total(aware - tier, both).alias("delta_total_r"),
+        count(changed & both & (aware > tier)).alias("better"), count(changed & both & (aware < tier)).alias("worse"), count(changed & both & (aware == tier)).alias("equal"),
+        *(count(F.col("_band") == b).alias(b.lower()) for b in BANDS),
+    )
+
+
+def arm_summary(rows: DataFrame) -> DataFrame:
+    """The results of each order of policy_choices as an arm: states, resolved, wins, losses, mean, median and total."""
+    arms = F.explode(F.array(*(F.struct(F.lit(k).alias("arm"), F.col(f"{k}.actual_r").alias("r")) for k in ("raw", "tier", "aware"))))
+    x = policy_choices(rows).select(arms.alias("a")).select("a.*")
+    return x.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("states"), F.count("r").alias("resolved"), F.count_if(F.col("r") > 0).alias("wins"), F.count_if(F.col("r") < 0).alias("losses"),
+        F.bround(F.avg("r"), 4).alias("mean_r"), F.bround(F.median("r"), 4).alias("median_r"), F.bround(F.sum("r"), 4).alias("total_r"),
+    )
+
+
+def tier_orders(scenarios: DataFrame) -> DataFrame:
+    """For each record the ranks of its scenarios in their own order and by tier, then rank, whether the orders differ, and the
+    scenario chosen: the lowest preferred rank, else the lowest. A record has a few scenarios."""
+    own = F.array_sort(F.collect_list(F.struct("ordinal", "scenario_rank")))
+    tiers = F.array_sort(F.collect_list(F.struct(_tier().alias("t"), "scenario_rank", "ordinal")))
+    rank = lambda a: F.transform(a, lambda x: x["scenario_rank"])
+    out = scenarios.groupBy("record_id").agg(rank(own).alias("own_order"), rank(tiers).alias("tier_order"), F.min_by("scenario_id", F.struct(
+        F.when(F.upper("selection_tier") == "PREFERRED", 0).otherwise(1).alias("p"), "scenario_rank", "scenario_id"
+    )).alias("chosen"))
+    return out.withColumn("changed", F.col("own_order") != F.col("tier_order"))
