@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clip(text: Column, most: int) -> Column:
@@ -37,7 +38,7 @@ def field(line: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(line, rf"\b{name}=(\S+)", 1), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json(text: pd.Series) -> pd.Series:
     """The first JSON object or array that lies balanced in the text and can be read, or null: prose and code fences around
     it are left out. Each start is tried once; strings and escapes are minded by the reader."""
