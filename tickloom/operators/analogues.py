@@ -96,38 +96,44 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
             return
         d = d[np.argsort(ids[d], kind="stable")]
         known, x = ~np.isnan(z), np.nan_to_num(z)
-        tick_day = code["ticker"][d].astype(np.int64) * 100_000 + days[d]
-        out = []
+        tick_day = code["ticker"].astype(np.int64) * 100_000 + days
+        out, kd = [], known[d].astype(float)
+        xd = x[d] * kd
+
+        def extra(i: int, at: np.ndarray) -> np.ndarray:
+            return REGIME_PENALTY * (code["regime"][i] != code["regime"][at]) + SAME_TICKER * (code["ticker"][i] == code["ticker"][at])
+
         for lo in range(0, len(q), 64):
             part_ = q[lo : lo + 64]
-            shared = known[part_].astype(np.int64) @ known[d].T.astype(np.int64)
-            total, norm = np.zeros(shared.shape), np.zeros(shared.shape)
-            for j, w in enumerate(weight):
-                both = known[part_, j][:, None] & known[d, j][None]
-                total += both * (w * (x[part_, j][:, None] - x[d, j][None]) ** 2)
-                norm += both * w
+            kq = known[part_].astype(float)
+            xq = x[part_] * kq
+            # all pairs by matrix products, near enough to choose from; the chosen are computed again
+            total = (weight * xq**2) @ kd.T - 2 * (weight * xq) @ xd.T + (weight * kq) @ (xd**2).T
             with np.errstate(all="ignore"):
-                dist = np.sqrt(total / norm)
-            dist += REGIME_PENALTY * (code["regime"][part_][:, None] != code["regime"][d][None])
-            dist += SAME_TICKER * (code["ticker"][part_][:, None] == code["ticker"][d][None])
-            dist = np.round(np.maximum(dist, 0), 9)
-            ok = (shared >= SHARED) & (days[d][None] < days[part_][:, None]) & (code["setup"][part_][:, None] == code["setup"][d][None])
-            for i in range(len(part_)):
-                can = np.flatnonzero(ok[i])
+                rough = np.sqrt(np.maximum(total, 0) / ((weight * kq) @ kd.T))
+            rough += REGIME_PENALTY * (code["regime"][part_][:, None] != code["regime"][d][None]) + SAME_TICKER * (code["ticker"][part_][:, None] == code["ticker"][d][None])
+            rough = np.maximum(rough, 0)
+            ok = (kq @ kd.T >= SHARED) & (days[d][None] < days[part_][:, None]) & (code["setup"][part_][:, None] == code["setup"][d][None])
+            for r, i in enumerate(part_):
+                can = np.flatnonzero(ok[r])
                 size = 8 * n
                 while True:  # the nearest few first, more if the caps leave too few
-                    if len(can) > size:
-                        cut = np.partition(dist[i, can], size)[size]
-                        top = can[dist[i, can] <= cut]
-                    else:
-                        top = can
-                    top = top[np.lexsort((ids[d[top]], dist[i, top]))]
-                    top = top[_nth(tick_day[top]) < PER_DAY]
-                    top = top[_nth(code["ticker"][d[top]]) < PER_TICKER][:n]
-                    if len(top) == n or len(can) <= size:
+                    cut = np.partition(rough[r, can], size)[size] if len(can) > size else np.inf
+                    top = d[can[rough[r, can] <= cut + 1e-6]]
+                    both = known[top] & known[i]
+                    total_, norm = np.zeros(len(top)), np.zeros(len(top))
+                    for j, w in enumerate(weight):
+                        total_ += both[:, j] * (w * (x[top, j] - x[i, j]) ** 2)
+                        norm += both[:, j] * w
+                    dist = np.round(np.maximum(np.sqrt(total_ / norm) + extra(i, top), 0), 9)
+                    order = np.lexsort((ids[top], dist))
+                    order = order[dist[order] <= max(cut, 0) + 1e-9]
+                    order = order[_nth(tick_day[top[order]]) < PER_DAY]
+                    order = order[_nth(code["ticker"][top[order]]) < PER_TICKER][:n]
+                    if len(order) == n or len(can) <= size:
                         break
                     size *= 4
-                out.append((np.full(len(top), ids[part_[i]]), ids[d[top]], dist[i, top], shared[i, top]))
+                out.append((np.full(len(order), ids[i]), ids[top[order]], dist[order], both[order].sum(1)))
         cols_ = [np.concatenate(c) for c in zip(*out)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols_], ["query", "record_id", "distance", "shared"])
 
