@@ -118,7 +118,8 @@ def daily_amounts(readings: DataFrame, measures: list[str]) -> DataFrame:
 def rolling_state(readings: DataFrame, measures: list[str]) -> DataFrame:
     """The state in force of all readings: entity, measure, day, total_7, total_30, active_30, version (2 where corrections
     reach). Days without readings are included, up to LONG - 1 days after an entity's last active day, but not beyond the last
-    day of the whole table: later days have not come yet. Version 1 is the state of the first deliveries; what later deliveries supersede comes in as corrections. An empty table gives no rows."""
+    day of the whole table: later days have not come yet. The history is laid out at once, and the last day follows from the
+    day before it by the daily step. Version 1 is the state of the first deliveries; what later deliveries supersede comes in as corrections. An empty table gives no rows."""
     days = written(daily_amounts(readings, measures), "days")
     keys = ["entity", "measure", "day"]
     first = days.filter("was_active > 0").select(*keys, F.col("was").alias("amount"), F.col("was_active").alias("active"))
@@ -126,7 +127,10 @@ def rolling_state(readings: DataFrame, measures: list[str]) -> DataFrame:
         *keys, (F.col("is") - F.col("was")).cast("decimal(28,6)").alias("amount"), (F.col("is_active") - F.col("was_active")).alias("active")
     )
     until = days.agg(F.max("day")).first()[0]
-    state = written(backfill(first).filter(F.col("day") <= F.lit(until)), "state")
+    if until is None:
+        return current(backfill(first))
+    history = written(backfill(first).filter(F.col("day") < F.lit(until)), "state")
+    state = written(history.unionByName(advance(history, first, str(until)).select(history.columns)), "state")
     return current(state.unionByName(revise(state, later, 2).filter(F.col("day") <= F.lit(until))))
 
 
