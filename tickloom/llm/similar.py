@@ -108,7 +108,8 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
 
     counted = classes.select("vec").mapInArrow(homes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     # at most one cell for each CELL vectors and group
-    crowded = {r["cell"]: -(-r["n"] // CELL) for r in counted.filter(F.col("n") > CELL).collect()}
+    found = sorted((r["cell"], -(-r["n"] // CELL)) for r in counted.filter(F.col("n") > CELL).collect())
+    crowded, dealt = np.array([k for k, _ in found], np.int64), np.array([m for _, m in found] + [1], np.int64)
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["cell", "block", "grp", "home", "id", "n", "vec"]
@@ -116,9 +117,9 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
             ids, z = b.column("id").to_numpy(), _matrix(b.column("vec"), dims)
             raw = z.astype("<f8").view(f"V{8 * dims}").ravel()
             for g, at, key, home in cells(z):
-                blocks = np.ones(len(key), np.int64)
-                for k, m in crowded.items():
-                    blocks[key == k] = m
+                slot = np.searchsorted(crowded, key)
+                hit = np.isin(key, crowded)
+                blocks = np.where(hit, dealt[np.where(hit, slot, -1)], 1)
                 own = (ids[at] % 1_000_003 * 7919 % 1_000_003) % blocks
                 asks = np.repeat(np.arange(len(key)), blocks)  # asked in every block, kept in its own
                 block = np.arange(len(asks)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
