@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the session's Python workers, once, so that they need no copy of their own."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    at = os.path.join(tempfile.mkdtemp(prefix="tickloom-code-"), f"{root.name}.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(at)
+    _SHIPPED.add(app)
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Query] = {}
@@ -16,7 +38,12 @@ class Registry:
 
     def query(self, name: str, sql: str | None = None) -> Callable[[Query], Query]:
         def add(f: Query) -> Query:
-            self.queries[name] = f
+            @functools.wraps(f)
+            def run(spark: SparkSession, folder: str) -> DataFrame:
+                ship(spark)
+                return f(spark, folder)
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return f
