@@ -263,7 +263,7 @@ def _fit(cores: list[tuple[list[str], int]], background: list[list[list[str]]],
     def side(n: int) -> list[str]:
         if not n:
             return []
-        if rng.random() < 0.3 and background:
+        if rng.random() < 0.5 and background:
             return draw(n)
         return [w for i in rng.integers(0, len(calm), 4) for w in calm[i]][:n] if calm else []
 
@@ -273,7 +273,7 @@ def _fit(cores: list[tuple[list[str], int]], background: list[list[list[str]]],
         for j in range(copies):
             ws = _noise(core, rng) if j % 3 == 1 else core
             if k and j % 2:
-                room = int(rng.integers(0, 1 + max(2, WINDOW - len(ws) + 2)))
+                room = int(rng.integers(0, 1 + max(5, WINDOW - len(ws) + 2)))
                 left = int(rng.integers(0, room + 1))
                 ws = (side(left + 9)[-left:] if left else []) + ws + side(room - left)
                 if len(ws) > WHOLE:
