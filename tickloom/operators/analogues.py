@@ -33,7 +33,7 @@ def feature_stats(records: DataFrame) -> DataFrame:
     """Mean, sample deviation (6 digits) and number of the known values of each feature with at least two of them."""
     f = distinct_records(records).select(F.explode("features").alias("feature_key", "value")).filter("value is not null")
     return f.groupBy("feature_key").agg(
-        F.bround(F.avg(F.col("value").cast("double")), 6).alias("mean"), F.bround(F.stddev_samp(F.col("value").cast("double")), 6).alias("std_dev"),
+        clean.half_even(F.avg(F.col("value").cast("double")), 6).alias("mean"), clean.half_even(F.stddev_samp(F.col("value").cast("double")), 6).alias("std_dev"),
         F.count(F.lit(1)).alias("sample_count"),
     ).filter("sample_count >= 2")
 

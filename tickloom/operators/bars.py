@@ -102,7 +102,7 @@ def session_summary(features: DataFrame) -> DataFrame:
 
 def percent(value: Column, base: Column) -> Column:
     """The change from base in percent with 3 digits, half to even; null where base is null or 0."""
-    return F.bround(F.try_divide(value - base, base) * 100, 3)
+    return clean.half_even(F.try_divide(value - base, base) * 100, 3)
 
 
 def part_summary(bars: DataFrame, from_minute: int, to_minute: int) -> DataFrame:
@@ -142,7 +142,7 @@ def session_state(features: DataFrame) -> DataFrame:
     return s.withColumns({
         "session_change_pct": percent(c, o), "distance_to_vwap_pct": percent(c, vwap), "return_last_5_bars_pct": F.when(two, percent(c, F.col("_c5"))),
         "return_last_15_bars_pct": F.when(two, percent(c, F.col("_c15"))), "regime": regime,
-        "volume_acceleration_ratio": F.bround(F.try_divide(F.col("last_5_bar_volume").cast("double"), F.col("previous_5_bar_volume")), 3),
+        "volume_acceleration_ratio": clean.half_even(F.try_divide(F.col("last_5_bar_volume").cast("double"), F.col("previous_5_bar_volume")), 3),
     }).drop("_c5", "_c15", "_n")
 
 
@@ -203,7 +203,7 @@ def day_volumes(summary: DataFrame, daily: DataFrame, days: int = 5) -> DataFram
     adv = F.try_divide(F.aggregate(past, F.lit(0.0), lambda s, x: s + x), F.size(past).cast("double")).cast("bigint")
     share = F.least(F.lit(1.0), F.col("bars") / 390)
     return one.withColumn("adv", adv).filter("v is not null").select(
-        "ticker", F.col("day").alias("session_date"), "v", "bars", "adv", F.bround(F.try_divide(F.col("v").cast("double"), F.col("adv") * share), 2).alias("rvol")
+        "ticker", F.col("day").alias("session_date"), "v", "bars", "adv", clean.half_even(F.try_divide(F.col("v").cast("double"), F.col("adv") * share), 2).alias("rvol")
     )
 
 

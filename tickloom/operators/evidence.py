@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import clean
+
 
 def latest_outcomes(versions: DataFrame) -> DataFrame:
     """The last version of each scenario by known_utc, then version_no."""
@@ -19,15 +21,15 @@ def metric_columns() -> list[Column]:
     r = F.col("resolved_r").cast("double")
     win, loss = F.when(r > 0, r), F.when(r < 0, r)
     n, triggered, resolved = F.count(F.lit(1)), F.count_if("triggered"), F.count("resolved_r")
-    rate = lambda a, b: F.coalesce(F.bround(F.try_divide(a.cast("double"), b), 4), F.lit(0.0))
+    rate = lambda a, b: F.coalesce(clean.half_even(F.try_divide(a.cast("double"), b), 4), F.lit(0.0))
     mean_win, mean_loss = F.avg(win), F.avg(loss)
     return [
         n.alias("scenarios"), triggered.alias("triggered"), rate(triggered, n).alias("trigger_rate"), F.count_if("t1_before_stop").alias("t1_first"),
         F.count_if(F.col("primary_outcome") == "STOP_BEFORE_T1").alias("stop_first"), F.count_if(F.col("primary_outcome") == "AMBIGUOUS_STOP_T1_SAME_BAR").alias("ambiguous"),
         F.count_if(F.col("primary_outcome") == "OPEN_AT_CLOSE").alias("open_at_close"), resolved.alias("resolved"), rate(F.count(win), resolved).alias("win_rate"),
-        F.bround(F.avg(r), 4).alias("mean_r"), F.bround(F.median(r), 4).alias("median_r"), F.bround(F.sum(r), 4).alias("total_r"),
-        F.bround(F.try_divide(F.sum(win), -F.sum(loss)), 4).alias("profit_factor"), F.bround(mean_win, 4).alias("mean_win"), F.bround(mean_loss, 4).alias("mean_loss"),
-        F.bround(F.try_divide(-mean_loss, mean_win - mean_loss), 4).alias("break_even_rate"), F.bround(F.try_divide(F.sum(r), triggered), 4).alias("expectancy_per_triggered"),
+        clean.half_even(F.avg(r), 4).alias("mean_r"), clean.half_even(F.median(r), 4).alias("median_r"), clean.half_even(F.sum(r), 4).alias("total_r"),
+        clean.half_even(F.try_divide(F.sum(win), -F.sum(loss)), 4).alias("profit_factor"), clean.half_even(mean_win, 4).alias("mean_win"), clean.half_even(mean_loss, 4).alias("mean_loss"),
+        clean.half_even(F.try_divide(-mean_loss, mean_win - mean_loss), 4).alias("break_even_rate"), clean.half_even(F.try_divide(F.sum(r), triggered), 4).alias("expectancy_per_triggered"),
     ]
 
 
@@ -65,8 +67,8 @@ MEASURES = ["mean_r", "expectancy", "distance"]
 
 def _bucket(evidence: Column) -> list[Column]:
     return [
-        F.count(F.lit(1)).alias("rows"), F.bround(F.min(evidence), 4).alias("evidence_min"), F.bround(F.max(evidence), 4).alias("evidence_max"), F.bround(F.avg(evidence), 4).alias("evidence_mean"),
-        F.bround(F.avg("actual_r"), 4).alias("actual_mean_r"), F.bround(F.try_divide(F.count_if("actual_win").cast("double"), F.count(F.lit(1))), 4).alias("actual_win_rate"), F.bround(F.sum("actual_r"), 4).alias("actual_total_r"),
+        F.count(F.lit(1)).alias("rows"), clean.half_even(F.min(evidence), 4).alias("evidence_min"), clean.half_even(F.max(evidence), 4).alias("evidence_max"), clean.half_even(F.avg(evidence), 4).alias("evidence_mean"),
+        clean.half_even(F.avg("actual_r"), 4).alias("actual_mean_r"), clean.half_even(F.try_divide(F.count_if("actual_win").cast("double"), F.count(F.lit(1))), 4).alias("actual_win_rate"), clean.half_even(F.sum("actual_r"), 4).alias("actual_total_r"),
     ]
 
 
@@ -80,9 +82,9 @@ def calibration(rows: DataFrame, least: int = 5) -> DataFrame:
     result, which is null below three rows or without variance."""
     long = _long(rows, least).filter("actual_r is not null")
     total = rows.agg(F.count(F.lit(1)).alias("_all"))
-    corr = F.when((F.count(F.lit(1)) >= 3) & (F.var_pop("x") > 1e-18) & (F.var_pop("actual_r") > 1e-18), F.bround(F.corr("x", "actual_r"), 4))
-    out = long.groupBy("measure").agg(F.count(F.lit(1)).alias("rows"), F.bround(F.avg("x"), 4).alias("evidence_mean"), F.bround(F.avg("actual_r"), 4).alias("actual_mean_r"), corr.alias("pearson"))
-    return out.crossJoin(F.broadcast(total)).select("measure", "rows", F.bround(F.try_divide(F.col("rows").cast("double"), F.col("_all")), 4).alias("coverage"), "evidence_mean", "actual_mean_r", "pearson")
+    corr = F.when((F.count(F.lit(1)) >= 3) & (F.var_pop("x") > 1e-18) & (F.var_pop("actual_r") > 1e-18), clean.half_even(F.corr("x", "actual_r"), 4))
+    out = long.groupBy("measure").agg(F.count(F.lit(1)).alias("rows"), clean.half_even(F.avg("x"), 4).alias("evidence_mean"), clean.half_even(F.avg("actual_r"), 4).alias("actual_mean_r"), corr.alias("pearson"))
+    return out.crossJoin(F.broadcast(total)).select("measure", "rows", clean.half_even(F.try_divide(F.col("rows").cast("double"), F.col("_all")), 4).alias("coverage"), "evidence_mean", "actual_mean_r", "pearson")
 
 
 def quintiles(rows: DataFrame, least: int = 5, parts: int = 5) -> DataFrame:
@@ -139,7 +141,7 @@ def bands(rows: DataFrame, least: int = 5) -> DataFrame:
     got = rows.crossJoin(t).withColumn("band", band)
     every = got.select("evidence_window").distinct().select("evidence_window", F.explode(F.array(*map(F.lit, BANDS))).alias("band"))
     out = got.groupBy("evidence_window", "band").agg(
-        F.count(F.lit(1)).alias("n"), F.bround(F.avg("actual_r"), 4).alias("mean_r"), F.bround(F.try_divide(F.count_if("actual_win").cast("double"), F.count(F.lit(1))), 4).alias("win_rate"), F.bround(F.sum("actual_r"), 4).alias("total_r")
+        F.count(F.lit(1)).alias("n"), clean.half_even(F.avg("actual_r"), 4).alias("mean_r"), clean.half_even(F.try_divide(F.count_if("actual_win").cast("double"), F.count(F.lit(1))), 4).alias("win_rate"), clean.half_even(F.sum("actual_r"), 4).alias("total_r")
     )
     same = (every["evidence_window"].eqNullSafe(out["evidence_window"])) & (every["band"] == out["band"])
     return every.join(out, same, "left").select(every["evidence_window"], every["band"], F.coalesce("n", F.lit(0)).alias("rows"), "mean_r", "win_rate", "total_r")
@@ -183,14 +185,14 @@ def ranking_windows(rows: DataFrame) -> DataFrame:
     raw, tier, aware = (F.col(f"{k}.actual_r") for k in ("raw", "tier", "aware"))
     changed = F.col("tier.evidence_id") != F.col("aware.evidence_id")
     both, both_raw = tier.isNotNull() & aware.isNotNull(), raw.isNotNull() & tier.isNotNull()
-    mean = lambda x, on: F.bround(F.avg(F.when(on, x)), 4)
+    mean = lambda x, on: clean.half_even(F.avg(F.when(on, x)), 4)
     total = lambda x, on: F.round(F.sum(F.when(on, x)), 6)
     known = F.when(F.col("aware.band").isin(BANDS), F.col("aware.band")).otherwise("INSUFFICIENT")
     count = lambda on: F.count_if(on)
     n = F.count(F.lit(1))
     return c.withColumn("_band", known).groupBy("evidence_window").agg(
         n.alias("cards"), count(F.col("raw.evidence_id") != F.col("tier.evidence_id")).alias("tier_changed"), count(changed).alias("evidence_changed"),
-        F.bround(count(changed) / n, 4).alias("evidence_changed_rate"), count(both_raw).alias("raw_pairs"), mean(raw, both_raw).alias("raw_mean_r"), mean(tier, both_raw).alias("tier_mean_r_vs_raw"),
+        clean.half_even(count(changed) / n, 4).alias("evidence_changed_rate"), count(both_raw).alias("raw_pairs"), mean(raw, both_raw).alias("raw_mean_r"), mean(tier, both_raw).alias("tier_mean_r_vs_raw"),
         count(both).alias("pairs"), mean(tier, both).alias("tier_mean_r"), mean(aware, both).alias("aware_mean_r"), total(aware - tier, both).alias("delta_total_r"),
         count(changed & both & (aware > tier)).alias("better"), count(changed & both & (aware < tier)).alias("worse"), count(changed & both & (aware == tier)).alias("equal"),
         *(count(F.col("_band") == b).alias(b.lower()) for b in BANDS),
@@ -203,7 +205,7 @@ def arm_summary(rows: DataFrame) -> DataFrame:
     x = policy_choices(rows).select(arms.alias("a")).select("a.*")
     return x.groupBy("arm").agg(
         F.count(F.lit(1)).alias("states"), F.count("r").alias("resolved"), F.count_if(F.col("r") > 0).alias("wins"), F.count_if(F.col("r") < 0).alias("losses"),
-        F.bround(F.avg("r"), 4).alias("mean_r"), F.bround(F.median("r"), 4).alias("median_r"), F.bround(F.sum("r"), 4).alias("total_r"),
+        clean.half_even(F.avg("r"), 4).alias("mean_r"), clean.half_even(F.median("r"), 4).alias("median_r"), clean.half_even(F.sum("r"), 4).alias("total_r"),
     )
 
 
