@@ -81,10 +81,10 @@ def calibration(rows: DataFrame, least: int = 5) -> DataFrame:
     """For each measure of the evidence with enough records: rows, coverage, means and the correlation with the actual
     result, which is null below three rows or without variance."""
     long = _long(rows, least).filter("actual_r is not null")
-    total = rows.agg(F.count(F.lit(1)).alias("_all"))
+    every = rows.count()
     corr = F.when((F.count(F.lit(1)) >= 3) & (F.var_pop("x") > 1e-18) & (F.var_pop("actual_r") > 1e-18), clean.half_even(F.corr("x", "actual_r"), 4))
     out = long.groupBy("measure").agg(F.count(F.lit(1)).alias("rows"), clean.half_even(F.avg("x"), 4).alias("evidence_mean"), clean.half_even(F.avg("actual_r"), 4).alias("actual_mean_r"), corr.alias("pearson"))
-    return out.crossJoin(F.broadcast(total)).select("measure", "rows", clean.half_even(F.try_divide(F.col("rows").cast("double"), F.col("_all")), 4).alias("coverage"), "evidence_mean", "actual_mean_r", "pearson")
+    return out.select("measure", "rows", clean.half_even(F.try_divide(F.col("rows").cast("double"), F.lit(every)), 4).alias("coverage"), "evidence_mean", "actual_mean_r", "pearson")
 
 
 def quintiles(rows: DataFrame, least: int = 5, parts: int = 5) -> DataFrame:
@@ -135,10 +135,10 @@ BANDS = ["STRONG", "NEUTRAL", "NEGATIVE", "INSUFFICIENT"]
 def bands(rows: DataFrame, least: int = 5) -> DataFrame:
     """For each window and band, also those without rows: rows, mean result, win rate and total. A row without enough records
     or without an expectancy is INSUFFICIENT, below 0 NEGATIVE, from the training threshold on STRONG, else NEUTRAL."""
-    t = F.broadcast(strong_threshold(rows, least).select("threshold"))
+    t = F.lit(strong_threshold(rows, least).first()["threshold"]).cast("double")
     x = F.col("expectancy")
-    band = F.when((F.col("returned_records") < least) | F.col("returned_records").isNull() | x.isNull(), "INSUFFICIENT").when(x < 0, "NEGATIVE").when(x >= F.col("threshold"), "STRONG").otherwise("NEUTRAL")
-    got = rows.crossJoin(t).withColumn("band", band)
+    band = F.when((F.col("returned_records") < least) | F.col("returned_records").isNull() | x.isNull(), "INSUFFICIENT").when(x < 0, "NEGATIVE").when(x >= t, "STRONG").otherwise("NEUTRAL")
+    got = rows.withColumn("band", band)
     every = got.select("evidence_window").distinct().select("evidence_window", F.explode(F.array(*map(F.lit, BANDS))).alias("band"))
     out = got.groupBy("evidence_window", "band").agg(
         F.count(F.lit(1)).alias("n"), clean.half_even(F.avg("actual_r"), 4).alias("mean_r"), clean.half_even(F.try_divide(F.count_if("actual_win").cast("double"), F.count(F.lit(1))), 4).alias("win_rate"), clean.half_even(F.sum("actual_r"), 4).alias("total_r")

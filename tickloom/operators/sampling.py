@@ -55,7 +55,7 @@ def stratified(rows: DataFrame, key: str, stratum: str, size: int, seed: int) ->
     input order. Only the rows at the front of each stratum are kept on the way (a limit within the window)."""
     w = Window.partitionBy(stratum).orderBy(sha_order(F.col(key), seed), key)
     ranked = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size)
-    return ranked.join(F.broadcast(quotas(rows, stratum, size).select(stratum, "take")), stratum).filter(F.col("_n") <= F.col("take")).drop("_n", "take")
+    return ranked.join(quotas(rows, stratum, size).select(stratum, "take"), stratum).filter(F.col("_n") <= F.col("take")).drop("_n", "take")
 
 
 def round_robin(rows: DataFrame, key: str, stratum: str, size: int, seed: int) -> DataFrame:

@@ -115,13 +115,17 @@ def _view(table: DataFrame, columns: list[str], keys: list[str]) -> Callable[[in
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.select(*columns).schema)
     got = scan(table, ends, f"{kinds}, _pid int, _head boolean, _n int").toArrow().sort_by([("_pid", "ascending"), ("_n", "ascending")])
-    pids = sorted(set(got.column("_pid").to_pylist()))
     at, is_head = got.column("_pid").to_numpy(), got.column("_head").to_numpy()
-    part = {h: [got.filter(pa.array((at == p) & (is_head == h))).select(columns) for p in pids] for h in (True, False)}
+    pids, begin = np.unique(at, return_index=True)
+    heads = np.add.reduceat(is_head.astype(np.int64), begin) if len(pids) else begin
+    part: dict[bool, list[pa.Table]] = {True: [], False: []}
+    for b, k, e in zip(begin, heads, [*begin[1:], len(at)]):  # its heads, then its tails
+        part[True].append(got.slice(b, k).select(columns))
+        part[False].append(got.slice(b + k, e - b - k).select(columns))
     none = got.slice(0, 0).select(columns)
     before = prefix_scan(part[False], lambda a, b: (c := pa.concat_tables([a, b])).slice(max(0, c.num_rows - HALO)), none)
     after = prefix_scan(part[True][::-1], lambda a, b: pa.concat_tables([b, a]).slice(0, HALO), none)[::-1]
-    halo = {p: (a, b) for p, a, b in zip(pids, before, after)}
+    halo = {int(p): (a, b) for p, a, b in zip(pids, before, after)}
 
     def view(pid: int, t: pa.Table) -> tuple[pa.Table, int, int]:
         a, b = halo[pid]
