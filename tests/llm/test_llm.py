@@ -35,6 +35,7 @@ def exact(z):
 @pytest.mark.parametrize("cell", [20_000, 8])
 def test_similar_pairs_loses_none(spark, monkeypatch, cell):
     monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "COPIES", cell)
     r = np.random.default_rng(1)
     z = vectors(r, 240)
     z[200:230] = np.nan_to_num(z[5])  # a group of exact copies

@@ -20,6 +20,8 @@ from tickloom.ordered import parts_for, written
 
 #: Vectors of a block of sorted arrays, and rows of a cell that are matched as one block.
 BLOCK, CELL = 50_000, 20_000
+#: Equal vectors that meet as one part when their pairs are written.
+COPIES = 2_000
 
 
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
@@ -181,17 +183,18 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
     pairs = routed.repartition(n_parts, "cell", "block").mapInArrow(match, "id_a bigint, id_b bigint, distance double, shared bigint")
     # members of the classes: of two different ones, and within one
     shared = F.size(F.filter("vec", lambda x: x.isNotNull()))
-    of = members.join(classes.filter("n > 1").select("vec", F.col("id").alias("head")), "vec")
-    of = of.select("head", "id", shared.cast("bigint").alias("shared"))
+    of = members.join(classes.filter("n > 1").select("vec", F.col("id").alias("head"), F.ceil(F.col("n") / COPIES).cast("int").alias("parts")), "vec")
+    of = of.select("head", "id", shared.cast("bigint").alias("shared"), "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     each = of.select("head", F.col("id").alias("member"))
     wide = pairs.join(each.withColumnRenamed("head", "id_a").withColumnRenamed("member", "m_a"), "id_a", "left").join(
         each.withColumnRenamed("head", "id_b").withColumnRenamed("member", "m_b"), "id_b", "left"
     )
     x, y = F.coalesce("m_a", "id_a"), F.coalesce("m_b", "id_b")
     across = wide.select(F.least(x, y).alias("id_a"), F.greatest(x, y).alias("id_b"), "distance", "shared")
-    other = of.select("head", F.col("id").alias("id_b"))
-    within = of.join(other, "head").filter((F.col("id") < F.col("id_b")) & (F.col("shared") >= least_shared))
-    return across.unionAll(within.select(F.col("id").alias("id_a"), "id_b", F.lit(0.0).alias("distance"), "shared"))
+    # a class of many copies is dealt into parts, and its members meet a part at a time
+    asks = of.filter(F.col("shared") >= least_shared).select("head", F.col("id").alias("id_a"), "shared", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = asks.join(of.select("head", "part", F.col("id").alias("id_b")), ["head", "part"]).filter(F.col("id_a") < F.col("id_b"))
+    return across.unionAll(within.select("id_a", "id_b", F.lit(0.0).alias("distance"), "shared"))
 
 
 #: Half-width of a window over the radius that it is to cover, and the share of the arrays known to both in whose windows a
