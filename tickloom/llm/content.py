@@ -8,6 +8,7 @@ windows of the words of longer ones, so one line in a long text counts as much a
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 import zlib
@@ -16,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ NEUTRAL = 1.3
 LABELLED = 20_000
 #: What an n-gram never seen in training counts in the average, compared with one seen.
 UNSEEN = 0.35
+#: Sums of words and pairs that are kept.
+KEPT = 200_000
 #: Score from which a document counts as a case.
 CUT = 0.4
 
@@ -43,29 +47,37 @@ _SPLIT = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\n\r]+|\s-+\s|\s?
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s.\-_*·]{1,3}){3,}[^\W\d_](?![^\W_])", re.UNICODE)
 
 
+_INVISIBLE = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}\p{Co}]+")
+
+
 def plain(text: str) -> str:
     """Without compatibility forms, invisible characters, accents and runs of a letter; in lower case."""
-    t = unicodedata.normalize("NFKD", text).casefold()
-    return "".join(c for c in t if unicodedata.category(c) not in ("Mn", "Me", "Cf", "Co"))
+    if text.isascii():
+        return text.lower()
+    return _INVISIBLE.sub("", unicodedata.normalize("NFKD", text).casefold())
 
 
 def words(piece: str) -> list[str]:
     """The words of a plain piece: look-alikes read as Latin letters, signs within a word as the letters they stand for or as
     a mask, and repeated letters as one."""
     piece = _SPACED.sub(lambda m: re.sub(r"[\s.\-_*·]", "", m[0]), piece)
-    out = []
-    for w in _WORD.findall(piece):
-        if not w.isascii():
-            w = w.translate(LOOKALIKES)
-        if not w.isalpha():
-            letters = sum(c.isalpha() for c in w)
-            if letters == 0 and not any(ord(c) > 0x1F000 for c in w):
-                w = "#"
-            elif letters * 2 >= len(w):
-                w = re.sub(r"['’]", "", w).translate(STAND_INS).lower()
-                w = re.sub(r"[^\w]|[_▁·\d]", "*", w)
-        out.append(re.sub(r"([^\W\d_])\1+", r"\1", w))
-    return out
+    return [_word(w) for w in _WORD.findall(piece)]
+
+
+_REPEATED, _QUOTES, _MASKS = re.compile(r"([^\W\d_])\1+"), re.compile(r"['’]"), re.compile(r"[^\w]|[_▁·\d]")
+
+
+@functools.lru_cache(100_000)
+def _word(w: str) -> str:
+    if not w.isascii():
+        w = w.translate(LOOKALIKES)
+    if not w.isalpha():
+        letters = sum(c.isalpha() for c in w)
+        if letters == 0 and not any(ord(c) > 0x1F000 for c in w):
+            w = "#"
+        elif letters * 2 >= len(w):
+            w = _MASKS.sub("*", _QUOTES.sub("", w).translate(STAND_INS).lower())
+    return _REPEATED.sub(r"\1", w)
 
 
 def sentences(text: str) -> Iterator[list[str]]:
@@ -139,28 +151,30 @@ class Model:
     seen: np.ndarray  # BUCKETS, whether trained
     out: np.ndarray  # DIM x classes
     bias: np.ndarray
-    cache: dict = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)  # where the sum and the weight of a word or pair are kept
+    sums: np.ndarray | None = None
+    weights: np.ndarray | None = None
 
-    def _sum(self, key: str) -> tuple[np.ndarray, float]:
-        got = self.cache.get(key)
-        if got is None:
+    def _row(self, key: str) -> int:
+        at = self.rows.get(key)
+        if at is None:
             f = np.array([_hash(key)] if "\t" in key else word_features(key))
             s = self.seen[f]
-            got = self.emb[f[s]].sum(0), float(s.sum() + UNSEEN * (~s).sum() * ("\t" not in key))
-            if len(self.cache) > 300_000:  # a bound on memory only: entries are computed again when needed
-                self.cache.clear()
-            self.cache[key] = got
-        return got
+            at = self.rows[key] = len(self.rows)
+            self.sums[at], self.weights[at] = self.emb[f[s]].sum(0), s.sum() + UNSEEN * (~s).sum() * ("\t" not in key)
+        return at
 
     def scores(self, pieces: list[list[str]]) -> np.ndarray:
-        """The class probabilities of each piece."""
-        vec, n = np.zeros((len(pieces), DIM)), np.full(len(pieces), 1e-9)
-        for i, p in enumerate(pieces):
-            for key in (*p, *map("\t".join, zip(p, p[1:]))):
-                v, m = self._sum(key)
-                vec[i] += v
-                n[i] += m
-        z = (vec / n[:, None]) @ self.out + self.bias
+        """The class probabilities of each piece (of at least one word)."""
+        new = sum(2 * len(p) for p in pieces)
+        if self.sums is None or len(self.rows) + new > len(self.sums):  # a bound on memory only: rows are made again
+            self.rows.clear()
+            self.sums, self.weights = np.zeros((max(KEPT, new), DIM)), np.zeros(max(KEPT, new))
+        keys = [self._row(k) for p in pieces for k in (*p, *map("\t".join, zip(p, p[1:])))]
+        size = np.array([2 * len(p) - 1 for p in pieces])
+        start = np.cumsum(size) - size
+        vec = np.add.reduceat(self.sums[keys], start, axis=0)
+        z = vec / (np.add.reduceat(self.weights[keys], start) + 1e-9)[:, None] @ self.out + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -169,7 +183,7 @@ class Model:
         top, held = np.zeros(len(CLASSES)), []
         for p in windows(text or ""):
             held.append(p)
-            if len(held) == 4096:
+            if len(held) == 2048:
                 s = self.scores(held)
                 top, held = np.maximum(top, np.c_[1 - s[:, 0], s[:, 1:]].max(0)), []
         if held:
