@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import asknown, grid, nearest, rolling, spikes
 from tickloom.ordered import prefix_scan
+from tickloom.plans import data
 
 LINE = "entity string, time bigint, id bigint"
 
@@ -291,3 +292,33 @@ def test_advance_gives_the_same_as_backfill(spark):
         got = sorted((s.entity, s.total_7, s.total_30, s.active_30) for s in rolling.advance(full, df, day).collect())
         assert got == want
     assert rolling.rolling_state(spark.createDataFrame([], READ), ["x"]).count() == 0
+
+
+def test_bursts_of_days_after_the_last_row(spark, tmp_path):
+    """Every calendar day of TESTDATA's definition is judged: a ticker that is lively in its last week has cases after it."""
+    first, r, rows = date(2026, 1, 5), random.Random(2), []
+    for t, days in (("END", range(40)), ("OLD", range(0, 30, 2))):
+        for i in days:
+            for v in (Decimal(50), Decimal(1000) if i > days[-1] - 4 else Decimal(10)):
+                at = datetime(2026, 1, 5, 15) + timedelta(days=i, minutes=r.randrange(10**6) % 300)
+                rows.append((t, at, v, None if i % 3 == 0 else v / 7, at + timedelta(minutes=len(rows))))
+    rows.append((*rows[-1][:2], Decimal(5), None, rows[-1][4] + timedelta(days=1)))  # supersedes the last row
+    line = "ticker string, ts_utc timestamp, avg_volume_5 decimal(18,6), rel_volume decimal(18,6), ingested_utc timestamp"
+    spark.createDataFrame(rows, line).write.parquet(str(tmp_path / "minute_bar_features.parquet"))
+    last = {}
+    for x in sorted(rows, key=lambda x: x[4]):
+        last[x[:2]] = x
+    want = set()
+    for t in ("END", "OLD"):
+        for m, c in (("avg_volume_5", 2), ("rel_volume", 3)):
+            day = defaultdict(list)
+            for x in last.values():
+                if x[0] == t and x[c] is not None:
+                    day[(x[1].date() - first).days].append(x[c].quantize(Decimal("0.000001")))
+            for i in range(80):
+                tot = lambda n: sum((v for j in range(n) for v in day.get(i - j, [])), Decimal(0))  # noqa: E731, B023
+                if sum(i - j in day for j in range(30)) >= 12 and tot(30) > 0 and tot(7) * 30 >= tot(30) * 14:
+                    want.add((t, int((first + timedelta(days=i)).strftime("%Y%m%d")), m))
+    got = [tuple(x) for x in data.p4_found(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert any(t == "END" and d > 20260213 for t, d, _ in want)  # 13 February is the last day of the table

@@ -115,11 +115,11 @@ def daily_amounts(readings: DataFrame, measures: list[str]) -> DataFrame:
     return days.select("entity", "day", F.explode(each).alias("x")).select("entity", "day", "x.*")
 
 
-def rolling_state(readings: DataFrame, measures: list[str]) -> DataFrame:
+def rolling_state(readings: DataFrame, measures: list[str], ahead: bool = False) -> DataFrame:
     """The state in force of all readings: entity, measure, day, total_7, total_30, active_30, version (2 where corrections
-    reach). Days without readings are included, up to LONG - 1 days after an entity's last active day, but not beyond the last
-    day of the whole table: later days have not come yet. The history is laid out at once, and the last day follows from the
-    day before it by the daily step. Version 1 is the state of the first deliveries; what later deliveries supersede comes in as corrections. An empty table gives no rows."""
+    reach). Days without readings are included, up to LONG - 1 days after an entity's last active day; those beyond the last day
+    of the whole table only with `ahead`. The history is laid out at once, and the table's last day follows from the day before
+    it by the daily step. Version 1 is the state of the first deliveries; what later deliveries supersede comes in as corrections. An empty table gives no rows."""
     days = written(daily_amounts(readings, measures), "days")
     keys = ["entity", "measure", "day"]
     first = days.filter("was_active > 0").select(*keys, F.col("was").alias("amount"), F.col("was_active").alias("active"))
@@ -129,18 +129,19 @@ def rolling_state(readings: DataFrame, measures: list[str]) -> DataFrame:
     until = days.agg(F.max("day")).first()[0]
     if until is None:
         return current(backfill(first))
-    history = written(backfill(first).filter(F.col("day") < F.lit(until)), "state")
+    within = F.lit(ahead) | (F.col("day") <= F.lit(until))
+    history = written(backfill(first).filter(within & (F.col("day") != F.lit(until))), "state")
     state = written(history.unionByName(advance(history, first, str(until)).select(history.columns)), "state")
-    return current(state.unionByName(revise(state, later, 2).filter(F.col("day") <= F.lit(until))))
+    return current(state.unionByName(revise(state, later, 2).filter(within)))
 
 
-def bar_feature_state(features: DataFrame) -> DataFrame:
-    """The rolling state of avg_volume_5 and rel_volume of bar features, by ticker and New York day."""
+def bar_feature_state(features: DataFrame, ahead: bool = False) -> DataFrame:
+    """The rolling state of avg_volume_5 and rel_volume of bar features, by ticker and New York day; ahead: as rolling_state."""
     readings = features.select(
         clean.ticker("ticker").alias("entity"), F.col("ts_utc").alias("key"), clean.ny_date("ts_utc").alias("day"),
         F.col("ingested_utc").alias("arrived"), "avg_volume_5", "rel_volume",
     )
-    return rolling_state(readings, ["avg_volume_5", "rel_volume"])
+    return rolling_state(readings, ["avg_volume_5", "rel_volume"], ahead)
 
 
 def bursts(state: DataFrame, active: int = 12, factor: int = 2) -> DataFrame:

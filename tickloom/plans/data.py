@@ -86,7 +86,8 @@ with one as (select {TICKER} as ticker, ts_utc, arg_max(struct_pack(a := avg_vol
     _rolling_sql("""select ticker, cast(strftime(d, '%Y%m%d') as bigint) as day_key, measure from roll where n >= 12 and t30 > 0 and t7 * 30 >= t30 * 14"""),
 )
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    state = rolling.bar_feature_state(table(spark, folder, "minute_bar_features"))
+    # a case is any calendar day, also after the table's last one; the SQL above ends there
+    state = rolling.bar_feature_state(table(spark, folder, "minute_bar_features"), ahead=True)
     day = F.date_format("day", "yyyyMMdd").cast("bigint").alias("day_key")
     return rolling.bursts(state).select(F.col("entity").alias("ticker"), day, "measure")
 
