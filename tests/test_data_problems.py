@@ -322,3 +322,32 @@ def test_bursts_of_days_after_the_last_row(spark, tmp_path):
     got = [tuple(x) for x in data.p4_found(spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want)
     assert any(t == "END" and d > 20260213 for t, d, _ in want)  # 13 February is the last day of the table
+
+
+def test_tick_flags_where_an_edge_cuts_a_lively_part_off(spark):
+    """The usual move is the whole day's, also in a partition that holds only its lively open."""
+    r, p, out = random.Random(8), 50.0, []
+    for i in range(900):
+        p += r.choice([-1, 1]) * 0.01 * (r.uniform(3.5, 4.5) if i < 200 else r.uniform(0.9, 1.1))
+        out.append(p)
+    for i in range(10, 190, 9):
+        out[i] = max(out[i - 1], out[i + 1]) + 0.01 * r.uniform(10.5, 15)
+    rows = [(j, "HOT", Decimal(f"{x:.6f}"), 1, T0 + timedelta(seconds=j), T0) for j, x in enumerate(out)]
+    got = {x.tick_id for x in spikes.tick_flags(spark.createDataFrame(rows, TICK), per=200).collect()}
+    want = tick_truth(rows)
+    assert got == want and len(want & set(range(10, 190, 9))) > 12
+
+
+def test_bar_flags_where_an_edge_cuts_a_lively_part_off(spark):
+    r, rows = random.Random(9), []
+    for i in range(400):
+        size = 4 if i < 90 else 1
+        up, down = (size * r.uniform(0.09, 0.11) for _ in range(2))
+        if i % 10 == 5 and i < 90:
+            up = r.uniform(0.9, 1.2)
+        rows.append((i, "AA", date(2024, 1, 1) + timedelta(days=i), *(Decimal(f"{x:.6f}") for x in (100, 100 + up, 100 - down, 100)), 1, None, T0))
+    got = {x.bar_id for x in spikes.bar_flags(spark.createDataFrame(rows, DAILY), per=90).collect()}
+    reach = [(x[4] - 100, 100 - x[5]) for x in rows]
+    u = median(y for x in reach for y in x)
+    want = {x[0] for x, y in zip(rows, reach) if max(y) >= 8 * u}
+    assert got == want and len(want) == 9

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import clean
-from tickloom.ordered import change, prefix_scan, ranged, scan
+from tickloom.ordered import change, prefix_scan, ranged, scan, written
 
 #: Readings withheld in a row before the level is moved to them.
 HOLD = 3
@@ -97,9 +97,12 @@ def deviations(p: np.ndarray, source: np.ndarray, longest: int = 3) -> np.ndarra
     return out
 
 
-def _view(table: DataFrame, columns: list[str], keys: list[str]) -> Callable[[int, pa.Table], tuple[pa.Table, int, int]]:
+def _view(
+    table: DataFrame, columns: list[str], keys: list[str], source: list[str]
+) -> tuple[Callable[[int, pa.Table], tuple[pa.Table, int, int]], list[tuple]]:
     """A function that gives a partition without repeated rows, with HALO rows of its neighbours on either side, and the
-    number of rows before and after its own. At most 2 * HALO rows of each partition go to the driver."""
+    number of rows before and after its own; and the sources of the partitions' first and last rows, which alone may be cut.
+    At most 2 * HALO rows of each partition go to the driver."""
 
     def distinct(t: pa.Table) -> pa.Table:
         return t.select(columns).filter(pa.array(change(t, *keys)))
@@ -132,7 +135,25 @@ def _view(table: DataFrame, columns: list[str], keys: list[str]) -> Callable[[in
         t = distinct(t)
         return pa.concat_tables([x.cast(t.schema) for x in (a, t, b)]), a.num_rows, t.num_rows
 
-    return view
+    ends_of = [(x, 0) for x in part[True]] + [(x, x.num_rows - 1) for x in part[False]]
+    cut = sorted({tuple(x.column(c)[i].as_py() for c in source) for x, i in ends_of})
+    return view, cut
+
+
+def _known(usual: DataFrame, source: list[str], cut: list[tuple]) -> dict[tuple, float]:
+    """The usual value of the sources that partitions' edges may cut: at most two for each partition."""
+    if not cut:
+        return {}
+    at = usual.sparkSession.createDataFrame(cut, usual.select(*source).schema)
+    got = usual.join(F.broadcast(at), source).select(*source, "usual").filter("usual is not null").collect()
+    return {tuple(r)[:-1]: r.usual for r in got}
+
+
+def _whole(scale: np.ndarray, g: np.ndarray, v: pa.Table, source: list[str], known: dict[tuple, float]) -> np.ndarray:
+    """scale with the first and last source's value taken from known: of these the view may hold only a part."""
+    for i in {0, v.num_rows - 1}:
+        scale[g[i]] = known.get(tuple(v.column(c)[i].as_py() for c in source), scale[g[i]])
+    return scale
 
 
 def _scales(values: np.ndarray, source: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +176,7 @@ TICK_MOVES, TICK_RUN, BAR_REACHES, BAR_RUN = 10, 12, 8, 4
 #: Standardised innovations above which a reading is proposed. A case of 10 usual moves lies beyond 6 normal deviations of
 #: any forecast, one of 8 usual reaches beyond 5; proposals a little below lose none.
 TICK_THRESHOLD, BAR_THRESHOLD = 3.5, 2.5
-#: With fewer moves in view of a source that is cut by a partition's edge, its scale is unknown there and all are proposed.
+#: With fewer moves in view of a source that is cut by a partition's edge, all are proposed.
 FEW = 64
 
 
@@ -164,7 +185,8 @@ def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
     usual moves a spike lies outside its neighbours).
 
     Distinct ticks with a price are ordered by (ticker, time, id) and range-partitioned, so a ticker of any size is spread
-    over tasks; a partition sees HALO rows of its neighbours. Three scans: edges, usual moves, filter. Nulls: ticks without
+    over tasks; a partition sees HALO rows of its neighbours. Three scans: edges, usual moves, filter, which gets the usual
+    moves of the sources that its edges cut. Nulls: ticks without
     ticker, time, price or id are left out. Repeated deliveries count once. Equal times are ordered by id. An empty table
     gives no rows.
     """
@@ -175,7 +197,7 @@ def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
     ).dropna()
     keys = ["entity", "time", "id"]
     table = ranged(t, keys, rows, "ticks", **({"per": per} if per else {}))
-    view = _view(table, ["entity", "day", "time", "id", "p"], keys)
+    view, cut_at = _view(table, ["entity", "day", "time", "id", "p"], keys, ["entity", "day"])
 
     def moves(v: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, fresh = v.column("p").to_numpy(), change(v, "entity", "day")
@@ -200,11 +222,14 @@ def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
         .groupBy("entity", "day")
         .agg(F.percentile(F.col("move").cast("double"), F.lit(0.5), F.col("n")).alias("usual"))
     )
+    usual = written(usual, "usual")
+    known = _known(usual, ["entity", "day"], cut_at)
 
     def propose(pid: int, t: pa.Table) -> pa.Table:
         v, a, n = view(pid, t)
         p, g, move = moves(v)
         scale, count = _scales(move, g, move > 0)
+        scale = _whole(scale, g, v, ["entity", "day"], known)
         flagged = kalman_flags(p, g, 1.4826 * scale[g], 0.9, 0.3, TICK_THRESHOLD)
         near = np.convolve(flagged, np.ones(2 * HOLD + 1), "same") > 0.5 if len(p) >= 2 * HOLD + 1 else np.full(len(p), flagged.any())
         cut = np.isin(g, [g[0], g[-1]]) & (count[g] < FEW)
@@ -253,7 +278,9 @@ def bar_flags(bars: DataFrame, per: int | None = None) -> DataFrame:
         table.dropDuplicates(keys).select("entity", F.explode(reach).alias("reach")).filter("reach is not null")
         .groupBy("entity").agg(F.percentile("reach", 0.5).alias("usual"))
     )
-    view = _view(table, ["entity", "time", "id", "o", "h", "l", "c"], keys)
+    usual = written(usual, "usual")
+    view, cut_at = _view(table, ["entity", "time", "id", "o", "h", "l", "c"], keys, ["entity"])
+    known = _known(usual, ["entity"], cut_at)
 
     def propose(pid: int, t: pa.Table) -> pa.Table:
         v, a, n = view(pid, t)
@@ -267,7 +294,7 @@ def bar_flags(bars: DataFrame, per: int | None = None) -> DataFrame:
         up, down = (np.where(np.isfinite(x), x, np.nan) for x in (up, down))
         both, twice = np.r_[up, down], np.r_[g, g]
         scale, count = _scales(both, twice, ~np.isnan(both)) if len(g) else (np.zeros(0), np.zeros(0))
-        s = np.maximum(scale[g], 1e-9)
+        s = np.maximum(_whole(scale, g, v, ["entity"], known)[g], 1e-9)
         far = [kalman_flags(np.where(np.isnan(x), s, x), g, 1.2 * s, 0.1, 1.0, BAR_THRESHOLD, 2 * s) for x in (up, down)]
         cut = np.isin(g, [g[0], g[-1]]) & (count[g] < FEW)
         # a source's first reading has no forecast; it is proposed too
