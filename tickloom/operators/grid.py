@@ -14,26 +14,35 @@ from tickloom.functions import clean
 MINUTE = 60_000_000
 
 
-def ssa_fill(x: np.ndarray, window: int = 30, rank: int = 3, tolerance: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """x with its NaNs replaced by iterative singular-spectrum imputation.
+#: Rounds after which a series that does not converge is left as it is, and marked.
+ROUNDS = 5_000
+
+
+def ssa_fill(x: np.ndarray, window: int = 30, rank: int = 3, tolerance: float = 1e-3, rounds: int = ROUNDS) -> np.ndarray:
+    """x with its NaNs replaced by iterative singular-spectrum imputation; see imputed."""
+    return imputed(x, window, rank, tolerance, rounds)[0]
+
+
+def imputed(x: np.ndarray, window: int = 30, rank: int = 3, tolerance: float = 1e-3, rounds: int = ROUNDS) -> tuple[np.ndarray, bool]:
+    """x with its NaNs replaced by iterative singular-spectrum imputation, and whether the iteration converged.
 
     Starting from linear interpolation, the series is embedded into its trajectory (Hankel) matrix, the matrix is cut to its
     `rank` leading singular vectors and averaged along its anti-diagonals, and the missing entries take the result, until
-    they change by less than tolerance times the series' deviation or for `rounds` rounds. Known entries never change. A
+    they change by less than tolerance times the series' deviation, for `rounds` rounds at most. Known entries never change. A
     series without a known entry stays NaN; one shorter than 6 is interpolated only.
     """
     gap = np.isnan(x)
     n = len(x)
     if not gap.any() or gap.all():
-        return x
+        return x, True
     at = np.arange(n)
     y = np.where(gap, np.interp(at, at[~gap], x[~gap]), x)
     length = min(window, n // 2)
     if length < 3:
-        return y
+        return y, True
     mean, dev = y[~gap].mean(), y[~gap].std()
     if dev == 0:
-        return y
+        return y, True
     z = (y - mean) / dev
     count = np.minimum(np.minimum(at + 1, n - at), min(length, n - length + 1))
     r = min(rank, length)
@@ -47,8 +56,8 @@ def ssa_fill(x: np.ndarray, window: int = 30, rank: int = 3, tolerance: float =
         moved = np.abs(new - z)[gap].max()
         z = new
         if moved < tolerance:
-            break
-    return np.where(gap, z * dev + mean, x)
+            return np.where(gap, z * dev + mean, x), True
+    return np.where(gap, z * dev + mean, x), False
 
 
 def _series(minutes: np.ndarray, close: np.ndarray, volume: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -58,19 +67,19 @@ def _series(minutes: np.ndarray, close: np.ndarray, volume: np.ndarray) -> tuple
     c[at], v[at] = np.log(np.where(close > 0, close, np.nan)), np.log1p(np.maximum(volume, 0))
     filled = np.ones(len(grid), bool)
     filled[at] = False
-    c, v = np.exp(ssa_fill(c)), np.expm1(ssa_fill(v))
-    return grid, filled, c, v
+    (c, c_done), (v, v_done) = imputed(c), imputed(v)
+    return grid, filled, np.exp(c), np.expm1(v), c_done and v_done
 
 
 def minute_grid(bars: DataFrame) -> DataFrame:
     """One row for each ticker, New York date and minute between the first and the last bar of the date: ticker,
-    session_date, minute_epoch (seconds), o, h, l, c, v, filled.
+    session_date, minute_epoch (seconds), o, h, l, c, v, filled, converged.
 
     A bar belongs to the whole minute nearest to its start (half a minute rounds up). Of the bars of one minute a final one
     goes before an unfinished one, then the latest provider time, then the highest volume. Bars are reduced to one a minute
     before they are brought together, so a series has at most 1,440 readings however many bars a ticker has. Missing
     minutes get close and volume by singular-spectrum imputation (of log close and log volume), open, high and low equal to
-    the close, and filled = true.
+    the close, and filled = true. converged is false throughout a series whose imputation still moved after ROUNDS rounds.
 
     Nulls: bars without ticker or start are left out; a bar with a null or non-positive close keeps its minute, and its close
     stays as it is. Repeated bars count once; an empty table gives no rows.
@@ -98,7 +107,7 @@ def minute_grid(bars: DataFrame) -> DataFrame:
             o, h, low, c, v = (flat.field(x).to_numpy(zero_copy_only=False) for x in "ohlcv")
             parts, row = [], []
             for i, (s, e) in enumerate(zip(off, off[1:])):
-                grid, filled, close, volume = _series(minutes[s:e], c[s:e], np.nan_to_num(v[s:e]))
+                grid, filled, close, volume, done = _series(minutes[s:e], c[s:e], np.nan_to_num(v[s:e]))
                 at = grid - grid[0]
                 cols = []
                 for k, x in enumerate((o, h, low, c, v)):
@@ -106,14 +115,14 @@ def minute_grid(bars: DataFrame) -> DataFrame:
                     y[minutes[s:e] - grid[0]] = x[s:e]
                     cols.append(y)
                 row.append(np.full(len(at), i))
-                parts.append((grid * 60, filled, *cols))
+                parts.append((grid * 60, filled, np.full(len(at), done), *cols))
             if not parts:
                 continue
             which = pa.array(np.concatenate(row))
             cols = [np.concatenate(x) for x in zip(*parts)]
-            data = [b.column("ticker").take(which), b.column("day").take(which), pa.array(cols[0]), pa.array(cols[1])]
-            data += [pa.array(x, from_pandas=True) for x in cols[2:]]
-            yield from pa.table(data, names=["ticker", "day", "minute_epoch", "filled", "o", "h", "l", "c", "v"]).to_batches(max_chunksize=50_000)
+            data = [b.column("ticker").take(which), b.column("day").take(which), *map(pa.array, cols[:3])]
+            data += [pa.array(x, from_pandas=True) for x in cols[3:]]
+            yield from pa.table(data, names=["ticker", "day", "minute_epoch", "filled", "converged", "o", "h", "l", "c", "v"]).to_batches(max_chunksize=50_000)
 
-    out = series.mapInArrow(fill, "ticker string, day int, minute_epoch bigint, filled boolean, o double, h double, l double, c double, v double")
+    out = series.mapInArrow(fill, "ticker string, day int, minute_epoch bigint, filled boolean, converged boolean, o double, h double, l double, c double, v double")
     return out.withColumn("session_date", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day"))).drop("day")
