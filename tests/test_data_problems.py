@@ -293,26 +293,52 @@ def test_rolling_state_against_brute_force_and_advance(spark):
     got = {(s.entity, s.measure, s.day): s for s in state.collect()}
     for e in ("HOT", "A", "B"):
         for m in "xy":
-            for i in range((until - first).days + 1):
+            for i in range((until - first).days + 40):
                 day = first + timedelta(days=i)
                 tot = lambda n: sum((sum(days.get((e, m, day - timedelta(days=j)), [])) for j in range(n)), Decimal(0))
                 act = sum(bool(days.get((e, m, day - timedelta(days=j)))) for j in range(30))
                 s = got.get((e, m, day))
                 if act or s is not None:
                     assert (s.total_7, s.total_30, s.active_30) == (tot(7), tot(30), act), (e, m, day)
-    assert any(s.version == 2 for s in got.values()) and max(d for *_, d in got) <= until
+    assert any(s.version == 2 for s in got.values()) and max(d for *_, d in got) == until + timedelta(days=29)
 
 
-def test_advance_gives_the_same_as_backfill(spark):
+def test_daily_state_is_advanced_and_corrected_over_sessions(spark, tmp_path):
     r, first = random.Random(5), date(2026, 1, 1)
-    amounts = {(r.choice("AB"), first + timedelta(days=r.randrange(20))): Decimal(r.randrange(50)) for _ in range(12)}
-    df = spark.createDataFrame([(e, "x", d, v, 1) for (e, d), v in amounts.items()], "entity string, measure string, day date, amount decimal(28,6), active int")
-    full = rolling.backfill(df).cache()
-    for i in (3, 10, 25):
-        day = str(first + timedelta(days=i))
-        want = sorted((s.entity, s.total_7, s.total_30, s.active_30) for s in full.filter(F.col("day") == day).collect())
-        got = sorted((s.entity, s.total_7, s.total_30, s.active_30) for s in rolling.advance(full, df, day).collect())
+    day = lambda i: first + timedelta(days=i)
+    amounts = {(r.choice("AB"), day(r.choice([0, 1, 3, 8, 9, 15, 60, 61]))): Decimal(r.randrange(50)) for _ in range(14)}
+    line = "entity string, measure string, day date, amount decimal(28,6), active int"
+    frame = lambda d: spark.createDataFrame([(e, "x", k, v, 1) for (e, k), v in d.items()], line)
+
+    def check(state, upto):
+        got = {(s.entity, s.day): (s.total_7, s.total_30, s.active_30) for s in rolling.current(state.rows()).filter("active_30 > 0").collect()}
+        want = {}
+        for e in "AB":
+            for i in range(upto + 1):
+                tot = lambda n: sum((amounts.get((e, day(i - j)), Decimal(0)) for j in range(n)), Decimal(0))  # noqa: E731, B023
+                if n := sum((e, day(i - j)) in amounts for j in range(30)):
+                    want[e, day(i)] = (tot(7), tot(30), n)
         assert got == want
+
+    path = str(tmp_path / "state")
+    state = rolling.DailyState(spark, path)
+    state.advance(frame(amounts), day(4), first - timedelta(days=1))
+    check(state, 4)
+    for i in (5, 6, 20):  # a day, a day, two weeks
+        state = rolling.DailyState(spark, path)  # as a later session finds it
+        state.advance(frame(amounts), day(i))
+        check(state, i)
+    # amounts of past days are corrected: one changes, one is withdrawn, one is new
+    old = [k for k in amounts if k[1] <= day(15)][:2]
+    change = [(old[0][0], "x", old[0][1], Decimal(7), 0), (old[1][0], "x", old[1][1], -amounts[old[1]], -1), ("B", "x", day(12), Decimal(3), 1)]
+    amounts[old[0]] += 7
+    del amounts[old[1]]
+    amounts["B", day(12)] = Decimal(3)
+    state.correct(spark.createDataFrame(change, line), 2)
+    check(state, 20)
+    state = rolling.DailyState(spark, path)
+    state.advance(frame(amounts), day(95))  # goes on from the corrected state, over days without any amount
+    check(state, 95)
     assert rolling.rolling_state(spark.createDataFrame([], READ), ["x"]).count() == 0
 
 

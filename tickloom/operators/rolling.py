@@ -1,23 +1,28 @@
 """Totals and averages over trailing calendar days, kept as a versioned daily state.
 
 A state row holds, for an entity, measure and day, the totals of the last 7 and 30 days and the number of active days. The
-next day's state follows from yesterday's: plus the day's arrivals, minus the amounts of the day that expires. When amounts
-of past days are corrected, only the dates that they reach are computed again, under a higher version; the state in force
-of a date is the one with the highest version.
+next day's state follows from yesterday's: plus the day's arrivals, minus the amounts of the day that expires. `DailyState`
+keeps the state as a table that grows by blocks of days, each made from the last day of the one before. When amounts of past
+days are corrected, only the dates that they reach are computed again, under a higher version; the state in force of a date
+is the one with the highest version.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import clean
-from tickloom.ordered import written
+from tickloom.ordered import drop_at_exit, shared_dir, written
 
 SHORT, LONG = 7, 30
 STATE = ["total_7", "total_30", "active_30"]
+#: Days that one job advances the state by, at most.
+DAYS = 30
+ROW = "entity string, measure string, day date, total_7 decimal(38,6), total_30 decimal(38,6), active_30 bigint, version int"
 
 
 def _steps(amounts: DataFrame) -> DataFrame:
@@ -32,38 +37,26 @@ def _steps(amounts: DataFrame) -> DataFrame:
     )
 
 
-def backfill(amounts: DataFrame, version: int = 1) -> DataFrame:
-    """The state of every calendar day from an entity's first amount until LONG - 1 days after its last, as advancing day by
-    day would leave it. amounts: entity, measure, day date, amount decimal, active int; one row for each entity, measure and
-    day. An entity has as many rows here as days, however many readings it has."""
-    keys = ["entity", "measure"]
-    steps = _steps(amounts).groupBy(*keys, "day").agg(
-        F.sum("d7").alias("d7"), F.sum("d30").alias("d30"), F.sum("dn").alias("dn")
-    )
+def advance(state: DataFrame, amounts: DataFrame, since: date, until: date, version: int = 1) -> DataFrame:
+    """The state of the days after `since` up to `until`, from the state on `since`: yesterday's totals joined with each
+    day's arrivals and the amounts that expire on it, day after day. amounts: entity, measure, day date, amount decimal,
+    active int; one row for each entity, measure and day, of which those of the last LONG days before `since` and of the
+    days to make are read. An entity without an active day left drops out, and comes back with its next amount."""
+    keys, first, last = ["entity", "measure"], F.lit(since), F.lit(until)
+    was = state.filter(F.col("day") == first).select(*keys, "day", F.col("total_7").alias("d7"), F.col("total_30").alias("d30"), F.col("active_30").alias("dn"))
+    near = amounts.filter((F.col("day") > F.date_sub(first, LONG)) & (F.col("day") <= last))
+    changes = _steps(near).filter((F.col("day") > first) & (F.col("day") <= last))
+    steps = was.unionByName(changes).groupBy(*keys, "day").agg(*(F.sum(c).alias(c) for c in ("d7", "d30", "dn")))
     w = Window.partitionBy(*keys).orderBy("day")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    state = steps.select(
-        *keys, "day", F.sum("d7").over(run).alias("total_7"), F.sum("d30").over(run).alias("total_30"), F.sum("dn").over(run).alias("active_30"),
-        F.lead("day").over(w).alias("next"),
+    made = steps.select(
+        *keys, "day", *(F.sum(c).over(run).alias(n) for c, n in zip(("d7", "d30", "dn"), STATE)), F.lead("day").over(w).alias("next"),
     )
-    # between two steps nothing changes: the days between take yesterday's totals
-    days = F.sequence(F.col("day"), F.date_sub("next", 1))
-    state = state.filter("next is not null").withColumn("day", F.explode(days)).drop("next")
-    return state.select(*keys, "day", *STATE, F.lit(version).alias("version"))
-
-
-def advance(state: DataFrame, amounts: DataFrame, day: str, version: int = 1) -> DataFrame:
-    """The state of one day from yesterday's: joined with the day's arrivals and the amounts that expire on it. An entity
-    without an active day left drops out."""
-    keys, today = ["entity", "measure"], F.lit(day).cast("date")
-    was = state.filter(F.col("day") == F.date_sub(today, 1)).select(*keys, *STATE)
-    part = lambda back, sign, t7, t30: amounts.filter(F.col("day") == F.date_sub(today, back)).select(
-        *keys, (F.lit(sign * t7) * F.col("amount")).alias("total_7"), (F.lit(sign * t30) * F.col("amount")).alias("total_30"), (F.lit(sign * t30) * F.col("active")).alias("active_30")
-    )
-    both = reduce(DataFrame.unionByName, [was, part(0, 1, 1, 1), part(SHORT, -1, 1, 0), part(LONG, -1, 0, 1)])
-    out = both.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in STATE))
-    alive = amounts.filter(F.col("day").between(F.date_sub(today, LONG - 1), today)).select(*keys).distinct()
-    return out.join(alive, keys, "left_semi").select(*keys, today.alias("day"), *STATE, F.lit(version).alias("version"))
+    # between two steps nothing arrives and nothing expires: the days between keep yesterday's totals
+    days = F.sequence(F.col("day"), F.date_sub(F.coalesce("next", F.date_add(last, 1)), 1))
+    made = made.filter("active_30 > 0").withColumn("day", F.explode(days)).filter(F.col("day") > first)
+    kinds = dict(x.split(" ", 1) for x in ROW.split(", "))
+    return made.withColumn("version", F.lit(version)).select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()))
 
 
 def revise(state: DataFrame, corrections: DataFrame, version: int) -> DataFrame:
@@ -115,33 +108,74 @@ def daily_amounts(readings: DataFrame, measures: list[str]) -> DataFrame:
     return days.select("entity", "day", F.explode(each).alias("x")).select("entity", "day", "x.*")
 
 
-def rolling_state(readings: DataFrame, measures: list[str], ahead: bool = False) -> DataFrame:
+class DailyState:
+    """A daily state kept as a table of blocks of days at `path` in a folder that all executors share. It goes on from where an
+    earlier session left it: `advance` makes the days that are not there yet, `correct` adds rows of a higher version."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.blocks = spark, path, 0
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            self.blocks = sum(x.isDirectory() for x in fs.listStatus(at))
+
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(ROW).parquet(path)
+
+    def rows(self) -> DataFrame:
+        """All rows of all versions."""
+        return self._read(f"{self.path}/*") if self.blocks else self.spark.createDataFrame([], ROW)
+
+    def _add(self, rows: DataFrame) -> DataFrame:
+        at = f"{self.path}/{self.blocks:06d}"
+        rows.write.option("compression", "zstd").mode("overwrite").parquet(at)
+        self.blocks += 1
+        return self._read(at)
+
+    def advance(self, amounts: DataFrame, until: date, since: date | None = None) -> None:
+        """Makes the days after the last one there, up to `until`, at most DAYS a job. since: the day before the first one to
+        be made, of a table that is still empty."""
+        since = self.rows().filter("version = 1").agg(F.max("day")).first()[0] if self.blocks else since
+        last = current(self.rows().filter(F.col("day") == F.lit(since)))
+        while since is not None and since < until:
+            to = min(since + timedelta(DAYS), until)
+            last = self._add(advance(last, amounts, since, to))
+            since = to
+
+    def correct(self, corrections: DataFrame, version: int) -> None:
+        """Adds the rows, under a new version, of the dates there that corrections reach; see revise."""
+        end = self.rows().filter("version = 1").agg(F.max("day")).first()[0]
+        self._add(revise(self.rows(), corrections, version).filter(F.col("day") <= F.lit(end)))
+
+
+def rolling_state(readings: DataFrame, measures: list[str]) -> DataFrame:
     """The state in force of all readings: entity, measure, day, total_7, total_30, active_30, version (2 where corrections
-    reach). Days without readings are included, up to LONG - 1 days after an entity's last active day; those beyond the last day
-    of the whole table only with `ahead`. The history is laid out at once, and the table's last day follows from the day before
-    it by the daily step. Version 1 is the state of the first deliveries; what later deliveries supersede comes in as corrections. An empty table gives no rows."""
+    reach), of every calendar day with an active day among the LONG that end with it, so also of the days after an entity's
+    or the table's last reading. The daily step makes version 1 from the first deliveries; what later deliveries supersede
+    comes in as corrections. An empty table gives no rows."""
+    spark = readings.sparkSession
     days = written(daily_amounts(readings, measures), "days")
-    keys = ["entity", "measure", "day"]
-    first = days.filter("was_active > 0").select(*keys, F.col("was").alias("amount"), F.col("was_active").alias("active"))
+    first = days.filter("was_active > 0").select("entity", "measure", "day", F.col("was").alias("amount"), F.col("was_active").alias("active"))
     later = days.filter("was <> is or was_active <> is_active").select(
-        *keys, (F.col("is") - F.col("was")).cast("decimal(28,6)").alias("amount"), (F.col("is_active") - F.col("was_active")).alias("active")
+        "entity", "measure", "day", (F.col("is") - F.col("was")).cast("decimal(28,6)").alias("amount"), (F.col("is_active") - F.col("was_active")).alias("active")
     )
-    until = days.agg(F.max("day")).first()[0]
-    if until is None:
-        return current(backfill(first))
-    within = F.lit(ahead) | (F.col("day") <= F.lit(until))
-    history = written(backfill(first).filter(within & (F.col("day") != F.lit(until))), "state")
-    state = written(history.unionByName(advance(history, first, str(until)).select(history.columns)), "state")
-    return current(state.unionByName(revise(state, later, 2).filter(within)))
+    begin, end = days.agg(F.min("day"), F.max("day")).first()
+    state = DailyState(spark, drop_at_exit(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"))
+    if begin is not None:
+        until = end + timedelta(LONG - 1)
+        state.advance(first, until, begin - timedelta(1))
+        state._add(revise(state.rows(), later, 2))
+    return current(state.rows())
 
 
-def bar_feature_state(features: DataFrame, ahead: bool = False) -> DataFrame:
-    """The rolling state of avg_volume_5 and rel_volume of bar features, by ticker and New York day; ahead: as rolling_state."""
+def bar_feature_state(features: DataFrame) -> DataFrame:
+    """The rolling state of avg_volume_5 and rel_volume of bar features, by ticker and New York day."""
     readings = features.select(
         clean.ticker("ticker").alias("entity"), F.col("ts_utc").alias("key"), clean.ny_date("ts_utc").alias("day"),
         F.col("ingested_utc").alias("arrived"), "avg_volume_5", "rel_volume",
     )
-    return rolling_state(readings, ["avg_volume_5", "rel_volume"], ahead)
+    return rolling_state(readings, ["avg_volume_5", "rel_volume"])
 
 
 def bursts(state: DataFrame, active: int = 12, factor: int = 2) -> DataFrame:

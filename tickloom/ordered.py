@@ -44,12 +44,16 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> str:
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage and survives the loss of executors. Dropped when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = drop_at_exit(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -74,7 +74,7 @@ with one as (select {TICKER} as ticker, ts_utc, arg_max(struct_pack(a := avg_vol
   where {TICKER} is not null and ts_utc is not null group by 1, 2),
  days as (select ticker, {NY_DATE.format("ts_utc")} as d, sum(v.a) as a, count(v.a) as na, sum(v.r) as r, count(v.r) as nr from one group by 1, 2),
  each as (select ticker, d, 'avg_volume_5' as measure, a as x from days where na > 0 union all select ticker, d, 'rel_volume', r from days where nr > 0),
- cal as (select ticker, measure, unnest(generate_series(min(d), least(max(d) + interval 29 day, (select max(d) from days)), interval 1 day))::date as d from each group by 1, 2),
+ cal as (select ticker, measure, unnest(generate_series(min(d), max(d) + interval 29 day, interval 1 day))::date as d from each group by 1, 2),
  dense as (select ticker, measure, d, x from cal left join each using (ticker, measure, d)),
  roll as (select ticker, measure, d, coalesce(sum(x) over (w rows 6 preceding), 0) as t7, coalesce(sum(x) over (w rows 29 preceding), 0) as t30, count(x) over (w rows 29 preceding) as n
    from dense window w as (partition by ticker, measure order by d))
@@ -86,20 +86,22 @@ with one as (select {TICKER} as ticker, ts_utc, arg_max(struct_pack(a := avg_vol
     _rolling_sql("""select ticker, cast(strftime(d, '%Y%m%d') as bigint) as day_key, measure from roll where n >= 12 and t30 > 0 and t7 * 30 >= t30 * 14"""),
 )
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    # a case is any calendar day, also after the table's last one; the SQL above ends there
-    state = rolling.bar_feature_state(table(spark, folder, "minute_bar_features"), ahead=True)
+    state = rolling.bar_feature_state(table(spark, folder, "minute_bar_features"))
     day = F.date_format("day", "yyyyMMdd").cast("bigint").alias("day_key")
     return rolling.bursts(state).select(F.col("entity").alias("ticker"), day, "measure")
 
 
 @R.query(
     "p4_totals",
-    _rolling_sql("select ticker, d as day, measure, cast(t7 as double) as total_7, cast(t30 as double) as total_30, cast(n as bigint) as active_30 from roll where n > 0"),
+    _rolling_sql("""select ticker, d as day, measure, cast(t7 as double) as total_7, cast(t30 as double) as total_30,
+  cast(t7 as double) / 7 as average_7, cast(t30 as double) / 30 as average_30, cast(n as bigint) as active_30 from roll where n > 0"""),
 )
 def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
     state = rolling.bar_feature_state(table(spark, folder, "minute_bar_features")).filter("active_30 > 0")
+    short, long = (F.col(f"total_{n}").cast("double") for n in (rolling.SHORT, rolling.LONG))
     return state.select(
-        F.col("entity").alias("ticker"), "day", "measure", F.col("total_7").cast("double").alias("total_7"), F.col("total_30").cast("double").alias("total_30"),
+        F.col("entity").alias("ticker"), "day", "measure", short.alias("total_7"), long.alias("total_30"),
+        (short / rolling.SHORT).alias("average_7"), (long / rolling.LONG).alias("average_30"),
         F.col("active_30").cast("bigint").alias("active_30"),
     )
 
