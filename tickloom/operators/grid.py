@@ -16,6 +16,8 @@ MINUTE = 60_000_000
 
 #: Rounds after which a series that does not converge is left as it is, and marked.
 ROUNDS = 5_000
+#: Rounds after which a series is taken nearer to its fixed point by itself.
+SLOW = 150
 #: Entries of the trajectory matrices that are worked on side by side: bounds a task's memory.
 CELLS = 2_000_000
 
@@ -38,8 +40,9 @@ def impute_all(x: np.ndarray, window: int = 30, rank: int = 3, tolerance: float
     Starting from linear interpolation, each series is embedded into its trajectory (Hankel) matrix, the matrix is cut to its
     `rank` leading singular vectors and averaged along its anti-diagonals, and the missing entries take the result, until a
     round moves them by less than tolerance times the series' deviation, for `rounds` rounds at most. Steps are lengthened by
-    the ratio of successive moves (squared extrapolation), which leaves the fixed point where it is; whether a series has
-    converged is always judged by a plain round. All series are worked on side by side, each until it converges. Known
+    the ratio of successive moves (squared extrapolation), and a series that still moves after SLOW rounds is taken nearer by
+    damped Newton steps; both leave the fixed point where it is, and whether a series has converged is always judged by a
+    plain round. All series are worked on side by side, each until it converges. Known
     entries never change. A series without a known entry stays NaN; with fewer than two windows of two, or without any
     deviation, the interpolation is the fixed point that is taken.
     """
@@ -74,6 +77,29 @@ def impute_all(x: np.ndarray, window: int = 30, rank: int = 3, tolerance: float
             total[:, j : j + wide] += low[:, :, j]
         return np.where(g, total / count - z, 0)
 
+    def settle(z: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """One series nearer to its fixed point, by damped Newton steps on what a round changes."""
+        at, damp = np.flatnonzero(g), 1e-3
+        f = move(z[None], g[None])[0, at]
+        for _ in range(25):
+            if np.abs(f).max() < tolerance:
+                break
+            near = np.repeat(z[None], len(at), 0)
+            near[np.arange(len(at)), at] += 1e-5
+            slope = ((move(near, np.repeat(g[None], len(at), 0))[:, at] - f) / 1e-5).T
+            normal, down = slope.T @ slope, slope.T @ f
+            for _ in range(8):
+                new = z.copy()
+                new[at] -= np.linalg.solve(normal + damp * np.eye(len(at)), down)
+                then = move(new[None], g[None])[0, at]
+                if (then**2).sum() < (f**2).sum():
+                    z, f, damp = new, then, damp / 10
+                    break
+                damp *= 10
+            else:
+                break
+        return z
+
     # extrapolated steps may not lead further from the fixed point than where plain rounds would: a longer move is undone
     best, least, step = z, np.full(len(z), np.inf), 0
     while len(todo) and step < rounds:
@@ -102,6 +128,10 @@ def impute_all(x: np.ndarray, window: int = 30, rank: int = 3, tolerance: float
         alpha = np.where(worse | (norm == 0), 1.0, np.clip(np.sqrt((first**2).sum(1)) / np.maximum(norm, 1e-300), 1.0, 64.0))[:, None]
         # from the point before the first move: twice alpha along it, alpha squared along the turn
         z = z - first + 2 * alpha * first + alpha**2 * turn
+        if step in (SLOW, 5 * SLOW):
+            for i in range(len(z)):
+                z[i] = settle(best[i], g[i])
+            least = np.full(len(z), np.inf)
     out[todo] = np.where(g, z * dev[:, None] + mean[:, None], x[todo])
     done[todo] = False
     return out, done
@@ -159,13 +189,13 @@ def minute_grid(bars: DataFrame) -> DataFrame:
             gaps = np.bincount(which, filled, len(size)) > 0
             for n in np.unique(size[gaps]):  # series of one length side by side
                 same = np.flatnonzero(gaps & (size == n))
-                step = max(1, CELLS // (int(n) * 30))
+                step = max(1, CELLS // (int(n) * 60))
                 for k in range(0, len(same), step):
                     part = same[k : k + step]
                     cells = base[part][:, None] + np.arange(n)
-                    for x in (close, volume):
-                        x[cells], ended = impute_all(x[cells])
-                        done[part] &= ended
+                    both, ended = impute_all(np.concatenate([close[cells], volume[cells]]))
+                    close[cells], volume[cells] = both[: len(part)], both[len(part) :]
+                    done[part] = ended[: len(part)] & ended[len(part) :]
             close, volume = np.exp(close), np.expm1(volume)
             cols = {x: (volume if x == "v" else close).copy() for x in "ohlcv"}
             for x, v in cols.items():
