@@ -11,14 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import asknown, grid, nearest, rolling, spikes
-from tickloom.ordered import prefix_scan
+from tickloom import ordered
 from tickloom.plans import data
 
 LINE = "entity string, time bigint, id bigint"
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_nearest_against_brute_force(spark, seed):
+def test_nearest_against_brute_force(spark, hand_over, seed):
     r = random.Random(seed)
     # one entity holds most rows, times repeat, some rows come twice
     name = lambda: "HOT" if r.random() < 0.6 else r.choice(["A", "B", "C"])
@@ -43,14 +43,36 @@ def test_nearest_empty_sides_and_clashing_columns(spark):
     assert [tuple(x) for x in nearest.nearest_in_time(some, some, 2, 5).collect()] == [(1, 1, 0)]
 
 
-def test_prefix_scan_is_exclusive():
-    assert prefix_scan([1, 2, 3, 4, 5], lambda a, b: (a or 0) + (b or 0), 0) == [0, 1, 3, 6, 10]
-    assert prefix_scan([], max) == []
-    assert prefix_scan([None, "a", None, "b"], lambda a, b: b or a) == [None, None, "a", "a"]
+@pytest.mark.parametrize("group", [1000, 3])
+def test_prefix_and_neighbours_of_partitions(spark, monkeypatch, group):
+    monkeypatch.setattr(ordered, "GROUP", group)
+    r = random.Random(group)
+    edges = [(p, r.choice([None, r.randrange(99)]), r.choice([None, r.randrange(99)])) for p in range(20) if p % 7]  # some partitions are empty
+    got = {x._pid: (x.a, x.b) for x in ordered.prefix(spark.createDataFrame(edges, "_pid int, a int, b int"), 20, ["a"], ["b"]).collect()}
+    for p, _, _ in edges:
+        assert got[p] == (max((a for q, a, _ in edges if q < p and a is not None), default=None), min((b for q, _, b in edges if q > p and b is not None), default=None))
+    rows = {p: [(p, i) for i in range(r.choice([1, 2, 9]))] for p, _, _ in edges}
+    line = [(p, x[:4], x[-4:]) for p, x in rows.items()]
+    kind = "array<struct<p:int,i:int>>"
+    near = ordered.neighbours(spark.createDataFrame(line, f"_pid int, head {kind}, tail {kind}"), 20, 4).collect()
+    assert {x._pid for x in near} == set(rows)
+    for x in near:
+        assert [tuple(y) for y in x.before or []] == [y for p in sorted(rows) if p < x._pid for y in rows[p]][-4:]
+        assert [tuple(y) for y in x.after or []] == [y for p in sorted(rows) if p > x._pid for y in rows[p]][:4]
+    none = spark.createDataFrame([], f"_pid int, a int, head {kind}, tail {kind}")
+    assert ordered.prefix(none, 20, ["a"]).count() == ordered.neighbours(none, 20, 4).count() == 0
+
+
+@pytest.fixture(params=["sent", "shuffled"])
+def hand_over(request, monkeypatch):
+    """Both ways in which partitions get the records of their neighbours."""
+    if request.param == "shuffled":
+        monkeypatch.setattr(ordered, "CARRIES", 0)
+        monkeypatch.setattr(ordered, "GROUP", 3)
 
 
 @pytest.mark.parametrize("seed", [3, 4, 5])
-def test_as_known_against_brute_force(spark, seed):
+def test_as_known_against_brute_force(spark, hand_over, seed):
     r = random.Random(seed)
     ent = lambda: 7 if r.random() < 0.5 else r.randrange(5)
     # facts may become known long after they are valid, and before
@@ -144,7 +166,7 @@ def tick_truth(rows):
 
 
 @pytest.mark.parametrize("seed,per", [(1, 60), (2, 23), (3, 100_000)])
-def test_tick_flags_against_brute_force(spark, seed, per):
+def test_tick_flags_against_brute_force(spark, seed, per, hand_over):
     r = random.Random(seed)
     rows = tick_series(r, "HOT", 700, 1000) + tick_series(r, "quiet ", 200, 5000, 0.0001, 3.0) + tick_series(r, "LIVE", 200, 7000, 2.0, 900.0) + tick_series(r, "TINY", 2, 9000)
     r.shuffle(rows)
@@ -158,7 +180,7 @@ DAILY = "bar_id bigint, ticker string, bar_date date, o decimal(18,6), h decimal
 
 
 @pytest.mark.parametrize("per", [15, 100_000])
-def test_bar_flags_against_brute_force(spark, per):
+def test_bar_flags_against_brute_force(spark, per, hand_over):
     r, rows, n = random.Random(7), [], 0
     for t in ("AA", "BB"):
         p = 20.0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import clean
-from tickloom.ordered import change, prefix_scan, ranged, scan
+from tickloom.ordered import change, prefix, ranged, scan
 
 
 class PersistentTree:
@@ -86,13 +86,11 @@ def as_known(events: DataFrame, facts: DataFrame, rows: int, payload: str, per:
         "entity", "time", F.lit(1).cast("tinyint").alias("kind"), "event",
         *(F.lit(None).cast("bigint").alias(c) for c in ("valid", "known", "version")), F.lit(None).cast(payload).alias("payload"),
     ).filter("entity is not null and time is not null and event is not null")
-    table = ranged(f.unionAll(e), ["entity", "time", "kind", "valid", "known", "version", "event"], rows, "asknown", **({"per": per} if per else {}))
-    best = F.max(F.when(F.col("kind") == 0, F.struct("entity", "valid", "known", F.coalesce("version", F.lit(0)).alias("version"), "payload")))
-    edges = table.groupBy("_pid").agg(best.alias("last")).orderBy("_pid").collect()  # one row for each partition
-    scanned = prefix_scan([e["last"] for e in edges], lambda a, b: b if a is None or (b is not None and tuple(b)[:4] >= tuple(a)[:4]) else a)
-    carry = {e["_pid"]: x for e, x in zip(edges, scanned)}
+    table = ranged(f.unionAll(e), ["entity", "time", "kind", "valid", "known", "version", "event"], rows, "asknown", per)
+    best = F.max(F.when(F.col("kind") == 0, F.struct("entity", "valid", "known", "version", "payload")))
+    carry = prefix(table.df.groupBy("_pid").agg(best.alias("last")), table.parts, ["last"])
 
-    def lookup(pid: int, t: pa.Table) -> pa.Table:
+    def lookup(pid: int, t: pa.Table, own: pa.Table | None) -> pa.Table | None:
         kind = t.column("kind").to_numpy()
         facts, asks = t.filter(pa.array(kind == 0)), t.filter(pa.array(kind == 1))
         if not asks.num_rows:
@@ -104,9 +102,10 @@ def as_known(events: DataFrame, facts: DataFrame, rows: int, payload: str, per:
             pay = pay.combine_chunks()
         pay_type = t.schema.field("payload").type
         cols = [facts.column(c).fill_null(0).to_numpy() for c in ("entity", "time", "valid", "known", "version")]
-        if (x := carry[pid]) is not None and x["entity"] == t.column("entity")[0].as_py():
-            cols = [np.r_[v, c] for v, c in zip((x["entity"], max(x["valid"], x["known"]), x["valid"], x["known"], x["version"]), cols)]
-            pay = pa.concat_arrays([pa.array([x["payload"].asDict() if x["payload"] is not None else None], pay_type), pay.cast(pay_type)])
+        x = own.column("last")[0].as_py() if own is not None else None
+        if x is not None and x["entity"] == t.column("entity")[0].as_py():
+            cols = [np.r_[v, c] for v, c in zip((x["entity"], max(x["valid"], x["known"]), x["valid"], x["known"], x["version"] or 0), cols)]
+            pay = pa.concat_arrays([pa.array([x["payload"]], pay_type), pay.cast(pay_type)])
         fe, ft, fv, fk, fn = cols
         found = np.full(len(entity), -1)
         if len(fe):
@@ -128,7 +127,7 @@ def as_known(events: DataFrame, facts: DataFrame, rows: int, payload: str, per:
         take = pa.array(found, pa.int64(), mask=found < 0)
         return pa.table({"event": asks.column("event"), "entity": asks.column("entity"), "fact": pay.cast(pay_type).take(take)})
 
-    return scan(table, lookup, f"event bigint, entity bigint, fact {payload}")
+    return scan(table, lookup, f"event bigint, entity bigint, fact {payload}", carry)
 
 
 PAYLOAD = "struct<resolved_r:decimal(18,6),triggered:boolean>"
@@ -137,7 +136,7 @@ PAYLOAD = "struct<resolved_r:decimal(18,6),triggered:boolean>"
 def evidence_as_known(evidence: DataFrame, versions: DataFrame) -> DataFrame:
     """Each distinct evidence row's analogue scenarios with their outcome as known at as_of_utc: event (evidence_id), entity
     (scenario_id), fact. A scenario named twice by one row counts once."""
-    rows = 5 * evidence.count() + versions.count()
+    rows = (evidence.agg(F.sum(F.size("analogue_scenario_ids"))).first()[0] or 0) + versions.count()
     events = evidence.select(
         F.explode(F.array_distinct("analogue_scenario_ids")).alias("entity"), clean.micros("as_of_utc").alias("time"), F.col("evidence_id").alias("event")
     ).filter("event is not null")

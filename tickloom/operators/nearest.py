@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import clean
-from tickloom.ordered import change, prefix_scan, ranged, scan
+from tickloom.ordered import change, prefix, ranged, scan
 
 
 def nearest_in_time(
@@ -37,24 +37,16 @@ def nearest_in_time(
         return df.dropna()
 
     both = side(right, 0).unionAll(side(left, 1))
-    table = ranged(both, ["entity", "time", "kind", "id"], rows, "nearest", **({"per": per} if per else {}))
+    table = ranged(both, ["entity", "time", "kind", "id"], rows, "nearest", per)
     right_rows = F.col("kind") == 0
-    edges = (
-        table.groupBy("_pid")
-        .agg(
-            F.max(F.when(right_rows, F.struct("entity", "time", (-F.col("id")).alias("n")))).alias("last"),
-            F.min(F.when(right_rows, F.struct("entity", "time", F.col("id").alias("n")))).alias("first"),
-        )
-        .orderBy("_pid")
-        .collect()  # one row for each partition
+    edges = table.df.groupBy("_pid").agg(
+        F.max(F.when(right_rows, F.struct("entity", "time", (-F.col("id")).alias("n")))).alias("last"),
+        F.min(F.when(right_rows, F.struct("entity", "time", F.col("id").alias("n")))).alias("first"),
     )
-    pids = [e["_pid"] for e in edges]
-    last = prefix_scan([tuple(e["last"]) if e["last"] else None for e in edges], lambda a, b: b or a)
-    first = prefix_scan([tuple(e["first"]) if e["first"] else None for e in edges][::-1], lambda a, b: b or a)[::-1]
-    carry = {p: (x, y) for p, x, y in zip(pids, last, first)}
+    carry = prefix(edges, table.parts, ["last"], ["first"])
 
-    def pair(pid: int, t: pa.Table) -> pa.Table:
-        before, after = carry[pid]
+    def pair(pid: int, t: pa.Table, own: pa.Table | None) -> pa.Table:
+        before, after = (own.column(c)[0].as_py() if own is not None else None for c in ("last", "first"))
         n = t.num_rows
         time, kind, ids = (t.column(c).to_numpy() for c in ("time", "kind", "id"))
         other = change(t, "entity")
@@ -79,14 +71,14 @@ def nearest_in_time(
         offer((p >= 0) & (ent[p] == ent[q]), time[p], ids[p])
         offer((nxt[q] < n) & (ent[x] == ent[q]), time[x], ids[x])
         names = t.column("entity")
-        if before and before[0] == names[0].as_py():
-            offer(ent[q] == 1, np.int64(before[1]), np.int64(-before[2]))
-        if after and after[0] == names[n - 1].as_py():
-            offer(ent[q] == ent[-1], np.int64(after[1]), np.int64(after[2]))
+        if before and before["entity"] == names[0].as_py():
+            offer(ent[q] == 1, np.int64(before["time"]), np.int64(-before["n"]))
+        if after and after["entity"] == names[n - 1].as_py():
+            offer(ent[q] == ent[-1], np.int64(after["time"]), np.int64(after["n"]))
         keep = gap <= tolerance_us
         return pa.table({"left_id": ids[q][keep], "right_id": best[keep], "gap_us": gap[keep]})
 
-    return scan(table, pair, "left_id bigint, right_id bigint, gap_us bigint")
+    return scan(table, pair, "left_id bigint, right_id bigint, gap_us bigint", carry)
 
 
 def tick_quotes(ticks: DataFrame, quotes: DataFrame, tolerance_us: int = 2_000_000) -> DataFrame:

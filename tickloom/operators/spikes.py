@@ -2,8 +2,9 @@
 
 A local-level state-space model is filtered for each source: the forecast of a reading is the level after the readings
 before it, and a reading whose standardised innovation exceeds a threshold is flagged and withheld from the update. After
-`HOLD` withheld readings in a row the level moves to the new one (a real jump). A source whose innovation variance vanishes
-over a window is stuck. The filter proposes the cases; an exact check against the source's usual move or reach follows.
+`HOLD` withheld readings in a row the level moves to the new one (a real jump). A source whose innovation variance over a
+window of readings vanishes is stuck there. The filter proposes the cases; an exact check against the source's usual move or
+reach, or the length of the run, follows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import clean
-from tickloom.ordered import change, prefix_scan, ranged, scan, written
+from tickloom.ordered import Ranged, change, neighbours, ranged, scan, written
 
 #: Readings withheld in a row before the level is moved to them.
 HOLD = 3
@@ -25,10 +26,11 @@ HALO = 16
 SEGMENT = 512
 
 
-def kalman_flags(
+def kalman(
     y: np.ndarray, source: np.ndarray, scale: np.ndarray, drift: float, noise: float, threshold: float, ceiling: np.ndarray | None = None
-) -> np.ndarray:
-    """Which readings have a standardised innovation above the threshold under a local-level model of their source.
+) -> tuple[np.ndarray, np.ndarray]:
+    """Which readings have a standardised innovation above the threshold under a local-level model of their source, and the
+    innovations (0 for the first reading of a source).
 
     y: readings; source: non-decreasing group numbers; scale: normal deviation of each reading's source. The level's variance
     grows by (drift * scale)^2 a step and a reading's is (noise * scale)^2. Flagged readings do not update the level. With a
@@ -36,9 +38,9 @@ def kalman_flags(
     HALO readings early, and all segments are filtered side by side.
     """
     n = len(y)
-    out = np.zeros(n, bool)
+    out, innovation = np.zeros(n, bool), np.zeros(n)
     if not n:
-        return out
+        return out, innovation
     begin = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
     end = np.r_[begin[1:], n]
     cuts = (end - begin + SEGMENT - 1) // SEGMENT
@@ -62,12 +64,37 @@ def kalman_flags(
         nu = y[i] - forecast
         size = np.abs(nu) if ceiling is None else nu
         odd = size > threshold * np.sqrt(var)
-        out[i[odd & (i >= first[:m])]] = True
+        mine = i >= first[:m]
+        out[i[odd & mine]] = True
+        innovation[i[mine]] = nu[mine]
         moved = odd & (held[:m] >= HOLD)
         gain = np.where(moved, 1.0, np.where(odd, 0.0, p[:m] / var))
         x[:m] += gain * (y[i] - x[:m])
         p[:m] = np.where(moved, r[:m], (1 - gain) * p[:m])
         held[:m] = np.where(odd & ~moved, held[:m] + 1, 0)
+    return out, innovation
+
+
+def kalman_flags(y: np.ndarray, source: np.ndarray, scale: np.ndarray, drift: float, noise: float, threshold: float, ceiling: np.ndarray | None = None) -> np.ndarray:
+    """The flags alone; see kalman."""
+    return kalman(y, source, scale, drift, noise, threshold, ceiling)[0]
+
+
+#: Share of a source's normal deviation below which the root of the innovation variance counts as vanished.
+VANISHED = 0.01
+
+
+def vanishing(innovation: np.ndarray, source: np.ndarray, scale: np.ndarray, window: int) -> np.ndarray:
+    """The readings in whose window (they and the `window` - 1 before them, of their source) the innovation variance vanishes,
+    and those before them in the window."""
+    n = len(innovation)
+    out = np.zeros(n, bool)
+    if n < window:
+        return out
+    power = np.lib.stride_tricks.sliding_window_view(innovation**2, window).mean(1)  # of the window that ends window - 1 later
+    still = (power <= (VANISHED * scale[window - 1 :]) ** 2) & (source[: n - window + 1] == source[window - 1 :])
+    for j in range(window):
+        out[j : n - window + 1 + j] |= still
     return out
 
 
@@ -97,67 +124,54 @@ def deviations(p: np.ndarray, source: np.ndarray, longest: int = 3) -> np.ndarra
     return out
 
 
-def _view(
-    table: DataFrame, columns: list[str], keys: list[str], source: list[str]
-) -> tuple[Callable[[int, pa.Table], tuple[pa.Table, int, int]], list[tuple]]:
-    """A function that gives a partition without repeated rows, with HALO rows of its neighbours on either side, and the
-    number of rows before and after its own; and the sources of the partitions' first and last rows, which alone may be cut.
-    At most 2 * HALO rows of each partition go to the driver."""
-
-    def distinct(t: pa.Table) -> pa.Table:
-        return t.select(columns).filter(pa.array(change(t, *keys)))
-
-    def ends(pid: int, t: pa.Table) -> pa.Table:
-        t = distinct(t)
-        head, tail = t.slice(0, HALO), t.slice(max(0, t.num_rows - HALO))
-        both = pa.concat_tables([head, tail])
-        tags = {"_pid": [pid] * both.num_rows, "_head": [True] * head.num_rows + [False] * tail.num_rows, "_n": list(range(both.num_rows))}
-        for k, v in tags.items():
-            both = both.append_column(k, pa.array(v, pa.int32() if k != "_head" else pa.bool_()))
-        return both
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.select(*columns).schema)
-    got = scan(table, ends, f"{kinds}, _pid int, _head boolean, _n int").toArrow().sort_by([("_pid", "ascending"), ("_n", "ascending")])
-    at, is_head = got.column("_pid").to_numpy(), got.column("_head").to_numpy()
-    pids, begin = np.unique(at, return_index=True)
-    heads = np.add.reduceat(is_head.astype(np.int64), begin) if len(pids) else begin
-    part: dict[bool, list[pa.Table]] = {True: [], False: []}
-    for b, k, e in zip(begin, heads, [*begin[1:], len(at)]):  # its heads, then its tails
-        part[True].append(got.slice(b, k).select(columns))
-        part[False].append(got.slice(b + k, e - b - k).select(columns))
-    none = got.slice(0, 0).select(columns)
-    before = prefix_scan(part[False], lambda a, b: (c := pa.concat_tables([a, b])).slice(max(0, c.num_rows - HALO)), none)
-    after = prefix_scan(part[True][::-1], lambda a, b: pa.concat_tables([b, a]).slice(0, HALO), none)[::-1]
-    halo = {int(p): (a, b) for p, a, b in zip(pids, before, after)}
-
-    def view(pid: int, t: pa.Table) -> tuple[pa.Table, int, int]:
-        a, b = halo[pid]
-        t = distinct(t)
-        return pa.concat_tables([x.cast(t.schema) for x in (a, t, b)]), a.num_rows, t.num_rows
-
-    ends_of = [(x, 0) for x in part[True]] + [(x, x.num_rows - 1) for x in part[False]]
-    cut = sorted({tuple(x.column(c)[i].as_py() for c in source) for x, i in ends_of})
-    return view, cut
-
-
-def _known(usual: DataFrame, source: list[str], cut: list[tuple]) -> dict[tuple, float]:
-    """The usual value of the sources that partitions' edges may cut: at most two for each partition."""
-    if not cut:
-        return {}
-    at = usual.sparkSession.createDataFrame(cut, usual.select(*source).schema)
-    got = usual.join(F.broadcast(at), source).select(*source, "usual").filter("usual is not null").collect()
-    return {tuple(r)[:-1]: r.usual for r in got}
-
-
-def _whole(scale: np.ndarray, g: np.ndarray, v: pa.Table, source: list[str], known: dict[tuple, float]) -> np.ndarray:
-    """scale with the first and last source's value taken from known: of these the view may hold only a part."""
-    for i in {0, v.num_rows - 1}:
-        scale[g[i]] = known.get(tuple(v.column(c)[i].as_py() for c in source), scale[g[i]])
+def _edges(table: Ranged, columns: list[str]) -> DataFrame:
+    """The first and last HALO rows of each partition, without repeated rows: _pid, head, tail. Written, as it is read twice."""
+    kinds, keys = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in table.df.select(*columns).schema), table.keys
+
+    def ends(pid: int, t: pa.Table, _: pa.Table | None) -> pa.Table:
+        t = _distinct(t, columns, keys)
+        parts = [t.slice(0, HALO), t.slice(max(0, t.num_rows - HALO))]
+        lists = [pa.ListArray.from_arrays(pa.array([0, x.num_rows], pa.int32()), x.combine_chunks().to_struct_array().combine_chunks()) for x in parts]
+        return pa.table({"_pid": pa.array([pid], pa.int32()), "head": lists[0], "tail": lists[1]})
+
+    return written(scan(table, ends, f"_pid int, head array<struct<{kinds}>>, tail array<struct<{kinds}>>"), "edges")
+
+
+def _distinct(t: pa.Table, columns: list[str], keys: list[str]) -> pa.Table:
+    return t.select(columns).filter(pa.array(change(t, *keys)))
+
+
+def _view(t: pa.Table, own: pa.Table, columns: list[str], keys: list[str]) -> tuple[pa.Table, int, int]:
+    """A partition without repeated rows, with HALO rows of its neighbours on either side, and how many rows come before its
+    own and how many are its own."""
+    t = _distinct(t, columns, keys)
+    parts = []
+    for side in ("before", "after"):
+        rows = own.column(side).chunk(0).flatten()
+        parts.append(pa.Table.from_struct_array(rows).select(columns).cast(t.schema) if len(rows) else t.slice(0, 0))
+    return pa.concat_tables([parts[0], t, parts[1]]), parts[0].num_rows, t.num_rows
+
+
+def _with_usual(carry: DataFrame, edges: DataFrame, usual: DataFrame, source: list[str]) -> DataFrame:
+    """carry with the usual value of the sources of each partition's first and last row, which alone its edges may cut."""
+    ends = edges.select("_pid", F.col("head")[0].alias("a"), F.element_at("tail", -1).alias("b"))
+    for x, name in (("a", "usual_first"), ("b", "usual_last")):
+        at = ends.select("_pid", *(F.col(f"{x}.{c}").alias(c) for c in source))
+        carry = carry.join(at.join(usual, source).select("_pid", F.col("usual").alias(name)), "_pid", "left")
+    return carry
+
+
+def _whole(scale: np.ndarray, g: np.ndarray, own: pa.Table, a: int, n: int) -> np.ndarray:
+    """scale with the values of the partition's first and last source taken from the whole source: the view may hold only a
+    part of these."""
+    for i, c in ((a, "usual_first"), (a + n - 1, "usual_last")):
+        if (x := own.column(c)[0].as_py()) is not None:
+            scale[g[i]] = x
     return scale
 
 
-def _scales(values: np.ndarray, source: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The median of the used values of each source, 0 without any, and how many there are; by group number."""
+def _scales(values: np.ndarray, source: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The median of the used values of each source, 0 without any; by group number."""
     groups = int(source[-1]) + 1 if len(source) else 0
     g, v = source[use], values[use]
     o = np.lexsort((v, g))
@@ -168,7 +182,7 @@ def _scales(values: np.ndarray, source: np.ndarray, use: np.ndarray) -> tuple[np
     has = count > 0
     s, c = start[has], count[has]
     out[has] = (v[s + (c - 1) // 2] + v[s + c // 2]) / 2
-    return out, count
+    return out
 
 
 #: Fixed values of the definition of a case.
@@ -176,8 +190,9 @@ TICK_MOVES, TICK_RUN, BAR_REACHES, BAR_RUN = 10, 12, 8, 4
 #: Standardised innovations above which a reading is proposed. A case of 10 usual moves lies beyond 6 normal deviations of
 #: any forecast, one of 8 usual reaches beyond 5; proposals a little below lose none.
 TICK_THRESHOLD, BAR_THRESHOLD = 3.5, 2.5
-#: With fewer moves in view of a source that is cut by a partition's edge, all are proposed.
-FEW = 64
+#: Readings of the window in which the innovation variance is to vanish. Of a run of equal prices the first innovation may be
+#: anything and is followed until the level moves (HOLD readings); each later one is a tenth of the one before.
+TICK_STILL, BAR_STILL = 7, 3
 
 
 def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
@@ -186,8 +201,7 @@ def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
 
     Distinct ticks with a price are ordered by (ticker, time, id) and range-partitioned, so a ticker of any size is spread
     over tasks; a partition sees HALO rows of its neighbours. Three scans: edges, usual moves, filter, which gets the usual
-    moves of the sources that its edges cut. Nulls: ticks without
-    ticker, time, price or id are left out. Repeated deliveries count once. Equal times are ordered by id. An empty table
+    moves of the sources that its edges cut. Nulls: ticks without ticker, time, price or id are left out. Repeated deliveries count once. Equal times are ordered by id. An empty table
     gives no rows.
     """
     rows = ticks.count()
@@ -196,8 +210,10 @@ def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
         clean.micros("time_utc").alias("time"), F.col("tick_id").cast("bigint").alias("id"), (F.col("price") * 1_000_000).cast("bigint").alias("p"),
     ).dropna()
     keys = ["entity", "time", "id"]
-    table = ranged(t, keys, rows, "ticks", **({"per": per} if per else {}))
-    view, cut_at = _view(table, ["entity", "day", "time", "id", "p"], keys, ["entity", "day"])
+    table = ranged(t, keys, rows, "ticks", per)
+    columns, source = ["entity", "day", "time", "id", "p"], ["entity", "day"]
+    edges = _edges(table, columns)
+    carry = neighbours(edges, table.parts, HALO)
 
     def moves(v: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, fresh = v.column("p").to_numpy(), change(v, "entity", "day")
@@ -206,8 +222,8 @@ def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
         move[fresh] = 0
         return p, np.cumsum(fresh) - 1, move
 
-    def histogram(pid: int, t: pa.Table) -> pa.Table:
-        v, a, n = view(pid, t)
+    def histogram(pid: int, t: pa.Table, own_: pa.Table) -> pa.Table:
+        v, a, n = _view(t, own_, columns, keys)
         _, g, move = moves(v)
         own = np.arange(a, a + n)
         own = own[move[own] > 0]
@@ -218,31 +234,32 @@ def tick_flags(ticks: DataFrame, per: int | None = None) -> DataFrame:
         return v.select(["entity", "day"]).take(pa.array(at)).append_column("move", pa.array(move[at])).append_column("n", pa.array(n_each, pa.int64()))
 
     usual = (
-        scan(table, histogram, "entity string, day int, move bigint, n bigint")
+        scan(table, histogram, "entity string, day int, move bigint, n bigint", carry)
         .groupBy("entity", "day")
         .agg(F.percentile(F.col("move").cast("double"), F.lit(0.5), F.col("n")).alias("usual"))
     )
     usual = written(usual, "usual")
-    known = _known(usual, ["entity", "day"], cut_at)
+    carry = _with_usual(carry, edges, usual, source)
 
-    def propose(pid: int, t: pa.Table) -> pa.Table:
-        v, a, n = view(pid, t)
+    def propose(pid: int, t: pa.Table, own_: pa.Table) -> pa.Table:
+        v, a, n = _view(t, own_, columns, keys)
         p, g, move = moves(v)
-        scale, count = _scales(move, g, move > 0)
-        scale = _whole(scale, g, v, ["entity", "day"], known)
-        flagged = kalman_flags(p, g, 1.4826 * scale[g], 0.9, 0.3, TICK_THRESHOLD)
+        scale = _whole(_scales(move, g, move > 0), g, own_, a, n)[g]
+        flagged, innovation = kalman(p, g, 1.4826 * scale, 0.9, 0.3, TICK_THRESHOLD)
         near = np.convolve(flagged, np.ones(2 * HOLD + 1), "same") > 0.5 if len(p) >= 2 * HOLD + 1 else np.full(len(p), flagged.any())
-        cut = np.isin(g, [g[0], g[-1]]) & (count[g] < FEW)
-        same = (move == 0) & ~change(v, "entity", "day")
-        run = run_lengths(same)
+        # a run of equal prices is looked at if the innovation variance vanishes anywhere in it
+        same = (move == 0) & ~change(v, *source)
+        of = np.cumsum(~same) - 1
+        still = np.bincount(of, vanishing(innovation, g, scale, TICK_STILL)) > 0 if len(p) else np.zeros(0, bool)
+        run = np.where(still[of], run_lengths(same), 0)
         own = np.arange(len(p))
         own = (own >= a) & (own < a + n)
-        dev = np.where(near | cut, deviations(p, g), 0)
+        dev = np.where(near, deviations(p, g), 0)
         keep = own & ((p <= 0) | (run >= TICK_RUN) | (dev > 0))
-        out = v.select(["id", "entity", "day"]).filter(pa.array(keep))
+        out = v.select(["id", *source]).filter(pa.array(keep))
         return out.append_column("p", pa.array(p[keep])).append_column("run", pa.array(run[keep], pa.int64())).append_column("dev", pa.array(dev[keep]))
 
-    found = scan(table, propose, "id bigint, entity string, day int, p bigint, run bigint, dev bigint")
+    found = scan(table, propose, "id bigint, entity string, day int, p bigint, run bigint, dev bigint", carry)
     reason = F.when(F.col("p") <= 0, "impossible").when(F.col("run") >= TICK_RUN, "stuck").when(
         (F.col("dev") > 0) & (F.col("dev") >= TICK_MOVES * F.col("usual")), "spike"
     )
@@ -268,22 +285,23 @@ def bar_flags(bars: DataFrame, per: int | None = None) -> DataFrame:
         F.col("bar_id").cast("bigint").alias("id"), micro("o"), micro("h"), micro("l"), micro("c"),
     ).dropna(subset=["entity", "time", "id"])
     keys = ["entity", "time", "id"]
-    table = ranged(t, keys, rows, "bars", **({"per": per} if per else {}))
+    table = ranged(t, keys, rows, "bars", per)
     top, low = "greatest(o, c)", "least(o, c)"
     reach = F.expr(
         f"array(if(o is null or c is null, null, try_divide(cast(h - {top} as double), cast({top} as double))),"
         f" if(o is null or c is null, null, try_divide(cast({low} - l as double), cast({low} as double))))"
     )
     usual = (
-        table.dropDuplicates(keys).select("entity", F.explode(reach).alias("reach")).filter("reach is not null")
+        table.df.dropDuplicates(keys).select("entity", F.explode(reach).alias("reach")).filter("reach is not null")
         .groupBy("entity").agg(F.percentile("reach", 0.5).alias("usual"))
     )
     usual = written(usual, "usual")
-    view, cut_at = _view(table, ["entity", "time", "id", "o", "h", "l", "c"], keys, ["entity"])
-    known = _known(usual, ["entity"], cut_at)
+    columns = ["entity", "time", "id", "o", "h", "l", "c"]
+    edges = _edges(table, columns)
+    carry = _with_usual(neighbours(edges, table.parts, HALO), edges, usual, ["entity"])
 
-    def propose(pid: int, t: pa.Table) -> pa.Table:
-        v, a, n = view(pid, t)
+    def propose(pid: int, t: pa.Table, own_: pa.Table) -> pa.Table:
+        v, a, n = _view(t, own_, columns, keys)
         o, h, low, c = (v.column(x).to_numpy().astype(float) for x in "ohlc")  # nulls become NaN
         fresh = change(v, "entity")
         g = np.cumsum(fresh) - 1
@@ -293,15 +311,18 @@ def bar_flags(bars: DataFrame, per: int | None = None) -> DataFrame:
             impossible = (low <= 0) | (h < low) | (h < body_top) | (low > body_low)
         up, down = (np.where(np.isfinite(x), x, np.nan) for x in (up, down))
         both, twice = np.r_[up, down], np.r_[g, g]
-        scale, count = _scales(both, twice, ~np.isnan(both)) if len(g) else (np.zeros(0), np.zeros(0))
-        s = np.maximum(_whole(scale, g, v, ["entity"], known)[g], 1e-9)
+        scale = _scales(both, twice, ~np.isnan(both))
+        s = np.maximum(_whole(scale, g, own_, a, n)[g], 1e-9)
         far = [kalman_flags(np.where(np.isnan(x), s, x), g, 1.2 * s, 0.1, 1.0, BAR_THRESHOLD, 2 * s) for x in (up, down)]
-        cut = np.isin(g, [g[0], g[-1]]) & (count[g] < FEW)
         # a source's first reading has no forecast; it is proposed too
-        odd = far[0] | far[1] | cut | fresh
+        odd = far[0] | far[1] | fresh
         same = np.zeros(len(h), bool)
         same[1:] = (h[1:] == h[:-1]) & (low[1:] == low[:-1]) & ~fresh[1:]
-        run = run_lengths(same)
+        # h and l as levels without noise: the innovation variance of both vanishes where they stay the same
+        ones = np.ones(len(g))
+        still = [vanishing(kalman(np.where(np.isnan(x), -1.0 - np.arange(len(x)), x), g, ones, 1.0, 0.0, np.inf)[1], g, ones, BAR_STILL) for x in (h, low)]
+        of = np.cumsum(~same) - 1
+        run = np.where((np.bincount(of, still[0] & still[1]) > 0)[of], run_lengths(same), 0)
         worst = np.where(odd, np.fmax(up, down), np.nan)
         own = np.arange(len(h))
         own = (own >= a) & (own < a + n)
@@ -309,7 +330,7 @@ def bar_flags(bars: DataFrame, per: int | None = None) -> DataFrame:
         out = v.select(["id", "entity"]).filter(pa.array(keep)).append_column("impossible", pa.array(impossible[keep]))
         return out.append_column("run", pa.array(run[keep], pa.int64())).append_column("reach", pa.array(worst[keep], from_pandas=True))
 
-    found = scan(table, propose, "id bigint, entity string, impossible boolean, run bigint, reach double")
+    found = scan(table, propose, "id bigint, entity string, impossible boolean, run bigint, reach double", carry)
     reason = F.when(F.col("impossible"), "impossible").when(F.col("run") >= BAR_RUN, "stuck").when(
         (F.col("reach") > 0) & (F.col("reach") >= BAR_REACHES * F.col("usual")), "spike"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import clean
-from tickloom.ordered import change, prefix_scan, ranged, scan
+from tickloom.ordered import change, prefix, ranged, scan
 
 
 def clean_ticks(ticks: DataFrame) -> DataFrame:
@@ -111,14 +111,11 @@ def latest_known(asks: DataFrame, records: DataFrame, kinds: int, rows: int, per
     r = records.filter("kind is not null and value is not null").select("entity", "time", F.col("kind").cast("int").alias("kind"), "value", none.cast("bigint").alias("id"))
     a = asks.select("entity", "time", F.lit(kinds).alias("kind"), none.cast("double").alias("value"), "id")
     both = r.unionAll(a).filter("entity is not null and time is not null")
-    table = ranged(both, ["entity", "time", "kind", "value", "id"], rows, "latest", **({"per": per} if per else {}))
+    table = ranged(both, ["entity", "time", "kind", "value", "id"], rows, "latest", per)
     last = [F.max(F.when(F.col("kind") == k, F.struct("entity", "time", "value"))).alias(f"k{k}") for k in range(kinds)]
-    edges = table.groupBy("_pid").agg(*last).orderBy("_pid").collect()  # one row for each partition
-    newer = lambda x, y: tuple(q or p for p, q in zip(x, y))
-    scanned = prefix_scan([tuple(tuple(e[f"k{k}"]) if e[f"k{k}"] else None for k in range(kinds)) for e in edges], newer, (None,) * kinds)
-    carry = {e["_pid"]: c for e, c in zip(edges, scanned)}
+    carry = prefix(table.df.groupBy("_pid").agg(*last), table.parts, [f"k{k}" for k in range(kinds)])
 
-    def look(pid: int, t: pa.Table) -> pa.Table:
+    def look(pid: int, t: pa.Table, own: pa.Table | None) -> pa.Table:
         n, kind, time = t.num_rows, t.column("kind").to_numpy(), t.column("time").to_numpy()
         value, ent, at = t.column("value").fill_null(0.0).to_numpy(), np.cumsum(change(t, "entity")), np.arange(n)
         q = np.flatnonzero(kind == kinds)
@@ -128,13 +125,14 @@ def latest_known(asks: DataFrame, records: DataFrame, kinds: int, rows: int, per
             near = np.maximum.accumulate(np.where(kind == k, at, -1))[q]
             ok = (near >= 0) & (ent[near] == ent[q])
             ts, v = time[near].copy(), value[near].copy()
-            if (c := carry[pid][k]) and c[0] == first:
+            c = own.column(f"k{k}")[0].as_py() if own is not None else None
+            if c and c["entity"] == first:
                 old = ~ok & (ent[q] == 1)
-                ts[old], v[old], ok = c[1], c[2], ok | old
+                ts[old], v[old], ok = c["time"], c["value"], ok | old
             out |= {f"t{k}": pa.array(ts, mask=~ok), f"v{k}": pa.array(v, mask=~ok)}
         return pa.table(out)
 
-    return scan(table, look, "id bigint, " + ", ".join(f"t{k} bigint, v{k} double" for k in range(kinds)))
+    return scan(table, look, "id bigint, " + ", ".join(f"t{k} bigint, v{k} double" for k in range(kinds)), carry)
 
 
 def reference_prices(asks: DataFrame, ticks: DataFrame, quotes: DataFrame, bars: DataFrame, rows: int, quote_s: int = 30, tick_s: int = 60, per: int | None = None) -> DataFrame:
