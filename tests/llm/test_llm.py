@@ -147,16 +147,41 @@ def docs(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
 
 
-def test_held_out_accuracy(spark, examples, docs):
+def unlabelled(docs):
+    return sorted({r.text for r in docs.select("text").collect() if r.text})
+
+
+def test_held_out_accuracy(examples, docs):
     rows = examples.orderBy("example_id").collect()
     r = random.Random(6)
     r.shuffle(rows)
     held, used = rows[:120], rows[120:]
-    background = [content.vocabulary(), *content.common_phrases(docs)]
-    m = content.train([x.text for x in used], [x.category for x in used], background)
-    said = [m.document(x.text)[0] >= content.CUT for x in held]
-    true = [x.category != "none" for x in held]
-    assert np.mean([a == b for a, b in zip(said, true)]) >= 0.93
+    m = content.train([x.text for x in used], [x.category for x in used], content.vocabulary(), unlabelled(docs))
+    said = m.documents([x.text for x in held])[:, 0] >= content.CUT
+    true = np.array([x.category != "none" for x in held])
+    assert (said == true).mean() >= 0.93
+
+
+def test_a_flood_of_an_offence_is_not_neutral(examples, docs):
+    """Offending lines that fill a twentieth of the texts without labels are found as before, and calm ones stay calm."""
+    rows = examples.orderBy("example_id").collect()
+    bad = [x.text for x in rows if x.category != "none" and len(x.text) < 90][::14]
+    texts, r = unlabelled(docs), random.Random(3)
+    flood = [f"{r.choice(texts)[:200]} {x}" for x in bad for _ in range(len(texts) // 20 // len(bad) + 1)] + bad * 5
+    m = content.train([x.text for x in rows], [x.category for x in rows], content.vocabulary(), texts[:1900] + flood)
+    assert (m.documents(bad)[:, 0] >= content.CUT).all()
+    calm = [x.text for x in rows if x.category == "none"]
+    assert (m.documents(calm)[:, 0] < content.CUT).mean() > 0.98
+
+
+def test_pieces_cover_every_word_and_scores_do_not_depend_on_neighbours(examples, docs):
+    for sizes in ([], [1], [1, 1], [2, 30, 1], [13, 14, 15], [200]):
+        seen = {i for a, n in content.spans(sizes) for i in range(a, a + n)}
+        assert seen == set(range(sum(sizes)))
+    m = content.fitted(examples, docs)
+    texts = [x.text for x in docs.limit(60).collect()]
+    together, alone = m.documents(texts), np.array([m.document(t) for t in texts])
+    assert np.allclose(together, alone, atol=1e-9)
 
 
 def test_scores(spark, examples, docs):
