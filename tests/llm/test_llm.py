@@ -54,7 +54,7 @@ def test_similar_pairs_of_an_empty_table(spark):
 
 
 def test_nearest_vectors_recall(spark, monkeypatch):
-    monkeypatch.setattr(similar, "BLOCK", 700)
+    monkeypatch.setattr(similar, "LEAF", 100)
     r = np.random.default_rng(2)
     z = vectors(r, 1500)
     d, n = exact(z)

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tickloom.ordered import parts_for, written
 
-#: Vectors of a block of sorted arrays, and rows of a cell that are matched as one block.
-BLOCK, CELL = 50_000, 20_000
+#: Rows of a cell that are matched as one block.
+CELL = 20_000
+#: Projections in which a pair need not collide.
+SPARE = 3
 #: Equal vectors that meet as one part when their pairs are written.
 COPIES = 2_000
 
@@ -57,13 +59,14 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
     distance, shared.
 
     The components are dealt into dims - least_shared + 1 groups, so that any such pair has a group that both know fully. In
-    each group the projections on an orthonormal basis are the hash functions. A pair within the radius differs by at most
-    radius * sqrt(dims) in every one of them, so windows of that half-width collide in all and none is lost; the threshold is
-    every projection that both have. The first projections route the vectors: a vector is kept in one cell of a grid on them
-    and asks in each cell its window reaches. In a cell the last projection of the group is the sorted array that the windows
-    are cut from; collisions are then counted over the projections of all groups. Cells of more than CELL vectors are dealt
-    into blocks that are asked apart, so a crowded cell is spread over tasks. Equal vectors are taken together and only
-    their pairs are written out one by one.
+    each group the projections on an orthonormal basis are the hash functions. The first ones route the vectors: a vector is
+    kept in one cell of a grid on them and asks in each cell its window reaches. In a cell the last projection of the group is
+    the sorted array that the windows are cut from, radius * sqrt(dims) to either side, which no such pair exceeds. Collisions
+    are then counted over the projections that both have, in windows of radius * sqrt(dims / (SPARE + 1)): the squares of
+    the differences add up to radius^2 * dims at most, so no more than SPARE of them lie outside, and what collides in all
+    but SPARE is verified by distance. None is lost. Cells of more than CELL vectors are dealt into blocks that are asked
+    apart, so a crowded cell is spread over tasks. Equal vectors are taken together (one representative, see `classes`), and
+    only their pairs are written out one by one.
 
     Nulls: see distinct_vectors. An empty table gives no rows.
     """
@@ -71,6 +74,7 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
     parts = [list(range(g, dims, groups)) for g in range(groups)]
     bases = [_basis(len(p), seed + g) for g, p in enumerate(parts)]
     half = radius * dims**0.5 * (1 + 1e-9) + 1e-12
+    narrow = half / (SPARE + 1) ** 0.5
     width = 8 * half
     spark = vectors.sparkSession
     members = written(distinct_vectors(vectors).withColumn("vec", F.transform("vec", lambda x: F.when(~F.isnan(x), x + F.lit(0.0)))), "vectors")
@@ -166,9 +170,11 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
             b = data[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo[part], many)]
             ok = (ids[a] < ids[b]) & (table[a] == table[b])
             a, b = a[ok], b[ok]
-            for j in range(dims):  # a projection that both have and that does not collide falls below the threshold
-                ok = ~(np.abs(h[a, j] - h[b, j]) > half)
-                a, b = a[ok], b[ok]
+            missed = np.zeros(len(a), np.int8)  # of the projections that both have, those that do not collide
+            for j in range(dims):
+                missed += np.abs(h[a, j] - h[b, j]) > narrow
+            ok = missed <= SPARE
+            a, b = a[ok], b[ok]
             first = np.full(len(a), -1)
             for g in range(groups - 1, -1, -1):
                 first[~np.isnan(h[a][:, parts[g]] + h[b][:, parts[g]]).any(1)] = g
@@ -202,115 +208,237 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
 REACH, THRESHOLD = 1.2, 2 / 3
 #: The first radius, and by how much virtual rehashing widens it each time.
 START, WIDEN = 0.25, 1.3
-#: Queries that are asked together at most.
-BATCH = 200_000
+#: Half-width of a window over the radius in the arrays that the vectors are partitioned by.
+ROUTE = 1.5
+#: Vectors of a leaf, leaves at most (beyond them leaves hold more), and vectors of the sample that the splits are taken from,
+#: for each leaf and in all at least.
+LEAF, LEAVES, SAMPLE = 2_000, 1 << 16, (8, 50_000)
+#: Pairs of a query and a vector of a leaf that are looked at side by side, and queries that are held at most.
+PAIRS, ASKS = 4_000_000, 20_000
+
+
+class Splits:
+    """A partition of vectors by ranges of single components: each node splits the sorted array of one component in its middle.
+    A vector that does not know the component lies on both sides, and a query that does not know it asks on both."""
+
+    def __init__(self, z: np.ndarray, leaves: int):
+        self.comp, self.at, self.child = [], [], []
+        self.leaves = 0
+        self._grow(z, np.arange(len(z)), leaves)
+
+    def _grow(self, z: np.ndarray, rows: np.ndarray, leaves: int) -> int:
+        x = z[rows]
+        if leaves > 1 and len(rows) > 1:
+            known = ~np.isnan(x)
+            with np.errstate(all="ignore"):
+                spread = np.where(known.sum(0) > 1, np.nanstd(np.where(known.any(0), x, 0.0), 0), 0) * known.mean(0) ** 2
+            j = int(np.argmax(spread))
+            at = float(np.nanmedian(x[:, j])) if spread[j] > 0 else np.inf
+            if (x[:, j] > at).any():
+                node = len(self.comp)
+                self.comp.append(j)
+                self.at.append(at)
+                self.child.append((0, 0))
+                halves = [self._grow(z, rows[side], -(-leaves // 2)) for side in (~(x[:, j] > at), ~(x[:, j] <= at))]
+                self.child[node] = tuple(halves)
+                return node
+        self.leaves += 1
+        return -self.leaves
+
+    def reached(self, z: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows and leaves of which the windows of half-width `wide` around a row reach the leaf."""
+        rows, leaf = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo = [(0 if self.comp else -1, np.arange(len(z)))]
+        while todo:
+            node, at = todo.pop()
+            if not len(at):
+                continue
+            if node < 0:
+                rows.append(at)
+                leaf.append(np.full(len(at), -node - 1))
+                continue
+            x, w = z[at, self.comp[node]], wide[at]
+            low, high = self.child[node]
+            todo += [(low, at[~(x - w > self.at[node])]), (high, at[~(x + w <= self.at[node])])]
+        return np.concatenate(rows), np.concatenate(leaf)
+
+    def home(self, z: np.ndarray) -> np.ndarray:
+        """One leaf of each row; where it does not know a component, the low side."""
+        rows, leaf = self.reached(np.where(np.isnan(z), -np.inf, z), np.zeros(len(z)))
+        out = np.empty(len(z), np.int64)
+        out[rows] = leaf
+        return out
 
 
 class SortedArrays:
-    """A block of vectors with a sorted array for each component. A vector is left out of the arrays of the components that
-    it does not know, so the collision threshold counts only arrays that both the query and the vector are in."""
-
-    def __init__(self, ids: np.ndarray, z: np.ndarray):
-        self.ids, self.known = ids, ~np.isnan(z)
-        self.z, self.n, self.dims = np.nan_to_num(z), len(ids), z.shape[1]
-        lines = np.where(self.known, z, np.inf)
-        self.order = np.argsort(lines, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.size = self.known.sum(0)
-        rows = [lines[o[:m], j] for j, (o, m) in enumerate(zip(self.order, self.size))]
-        self.base = np.cumsum(self.size) - self.size
-        # all arrays in one, set so far apart that windows stay within their own after clipping
-        self.apart = 4 * max([1.0, *(float(np.abs(r).max()) for r in rows if len(r))])
-        self.line = np.concatenate([r + j * self.apart for j, r in enumerate(rows)])
-        self.needs: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-    def nearest(self, i: int, z: np.ndarray, k: int, least_shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, distances and shared components of the k most similar vectors of the block, the one with id i left out."""
-        known = ~np.isnan(z)
-        arrays = np.flatnonzero(known)
-        if known.tobytes() not in self.needs:
-            shared = self.known[:, arrays].sum(1)
-            if len(self.needs) > 64:
-                self.needs.clear()
-            self.needs[known.tobytes()] = np.maximum(1, np.ceil(THRESHOLD * shared)).astype(np.uint8), shared
-        need, shared = self.needs[known.tobytes()]
-        q = np.clip(np.nan_to_num(z), -self.apart / 4, self.apart / 4)
-        at = q[arrays] + arrays * self.apart
-        first, last = self.base[arrays], self.base[arrays] + self.size[arrays]
-        count, done = np.zeros(self.n, np.uint8), (shared < least_shared) | (self.ids == i)
-        lo = hi = np.searchsorted(self.line, at)
-        best, where, radius, zero = np.zeros(0), np.zeros(0, np.int64), START, np.nan_to_num(z)
-        while True:
-            wide = min(REACH * radius, self.apart)
-            new_lo = np.clip(np.searchsorted(self.line, at - wide), first, last)
-            new_hi = np.clip(np.searchsorted(self.line, at + wide, "right"), first, last)
-            lo, hi = np.clip(lo, first, last), np.clip(hi, first, last)
-            for a, (j, b) in enumerate(zip(arrays, first)):
-                o = self.order[j]
-                count[o[new_lo[a] - b : lo[a] - b]] += 1
-                count[o[hi[a] - b : new_hi[a] - b]] += 1
-            lo, hi = new_lo, new_hi
-            fresh = np.flatnonzero((count >= need) & ~done)
-            done[fresh] = True
-            d = np.sqrt((((self.z[fresh] - zero) ** 2) * (self.known[fresh] & known)).sum(1) / shared[fresh])
-            best, where = np.r_[best, d], np.r_[where, fresh]
-            if len(best) > k:
-                top = np.lexsort((self.ids[where], best))[:k]
-                best, where = best[top], where[top]
-            if (len(best) >= k and best.max() <= radius) or ((lo == first) & (hi == last)).all():
-                return where, best, shared[where]
-            radius *= WIDEN
+    """The vectors of a leaf with a sorted array for each component, kept as the rank of each vector. A vector is left out of
+    the arrays of the components that it does not know, so the collision threshold counts only arrays that both are in."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, z: np.ndarray):
+        self.ids, self.n, self.z, self.known = ids, n, z, ~np.isnan(z)
+        kind = np.uint16 if len(z) < 30_000 else np.uint32
+        self.rank = np.full(z.shape[::-1], np.iinfo(kind).max, kind)
+        self.line = []
+        for j, k in enumerate(self.known.T):
+            at = np.flatnonzero(k)
+            at = at[np.argsort(z[at, j], kind="stable")]
+            self.rank[j, at] = np.arange(len(at))
+            self.line.append(z[at, j])
+
+    def colliding(self, q: np.ndarray, wide: np.ndarray, least_shared: int) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and vectors that lie in each other's windows in enough of the arrays that both are in."""
+        count = np.zeros((len(q), len(self.ids)), np.uint8)
+        for j, line in enumerate(self.line):
+            x = np.where(np.isnan(q[:, j]), np.inf, q[:, j])
+            lo, hi = np.searchsorted(line, x - wide), np.searchsorted(line, x + wide, "right")
+            hi = np.where(np.isnan(q[:, j]), lo, hi)
+            kind = self.rank.dtype
+            count += (self.rank[j] - lo.astype(kind)[:, None]) < (hi - lo).astype(kind)[:, None]
+        shared = (~np.isnan(q)).astype(np.float32) @ self.known.T.astype(np.float32)
+        return np.nonzero((count >= np.maximum(1, np.ceil(THRESHOLD * shared))) & (shared >= least_shared))
+
+    def nearest(self, q: np.ndarray, radius: np.ndarray | None, want: int, least_shared: int) -> tuple[np.ndarray, ...]:
+        """For each query the most similar vectors of the leaf that stand for `want` rows together: rows of q, positions,
+        distances and shared components. Windows start narrow and are widened until so many verified vectors lie within
+        the radius that they cover; with a radius, they cover that one, and what lies beyond it is left out."""
+        out: list[tuple[np.ndarray, ...]] = []
+        todo, wide = np.arange(len(q)), np.full(len(q), START) if radius is None else radius
+        span = max([0.0, *(float(x[-1] - x[0]) for x in self.line if len(x))])
+        far = np.nanmax(np.abs(np.where(np.isnan(q), 0, q)), 1) + span + max([0.0, *(float(np.abs(x).max()) for x in self.line if len(x))])
+        step = max(1, PAIRS // max(1, len(self.ids)))
+        while len(todo):
+            left = []
+            for i in range(0, len(todo), step):
+                part = todo[i : i + step]
+                a, b = self.colliding(q[part], REACH * wide[part], least_shared)
+                d, shared = _distance(q[part[a]], self.z[b])
+                order = np.lexsort((self.ids[b], d, a))
+                a, b, d, shared = a[order], b[order], d[order], shared[order]
+                n = np.minimum(self.n[b], want)
+                total = np.cumsum(n)
+                first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
+                before = total - n - np.repeat((total - n)[first], np.diff(np.r_[first, len(a)]))
+                keep = before < want
+                if radius is None:
+                    enough = np.zeros(len(part), bool)  # so many rows within the radius covered
+                    enough[a[keep & (before + n >= want) & (d <= wide[part[a]])]] = True
+                    enough |= REACH * wide[part] >= far[part]
+                    left.append(part[~enough])
+                    keep &= enough[a]
+                else:
+                    keep &= d <= wide[part[a]]
+                out.append((part[a[keep]], b[keep], d[keep], shared[keep].astype(np.int64)))
+            todo = np.concatenate(left) if left else todo[:0]
+            if radius is None:
+                wide[todo] *= WIDEN
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 2 + (np.zeros(0), np.zeros(0, int))
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, dims: int, k: int, least_shared: int = 5) -> DataFrame:
     """For each query the k most similar other vectors, with a small loss: id, neighbour, rank, distance, shared.
 
     vectors, queries: id bigint, vec array<double> of at most 255 components of comparable scale; queries may be all vectors
-    or some. Every vector is indexed: the vectors are dealt into blocks of about BLOCK, each with its own sorted arrays, and
-    every batch of queries is asked in every block, a task for each block and batch. Windows are widened until the k best
-    verified vectors of the block lie within the radius that the windows cover, or the windows cover the block. The k best of
-    all blocks are ranked by distance, then id. The work grows as vectors times queries (about 33 ns a pair at 12
-    components), spread evenly over tasks whatever the vectors' distribution.
+    or some. Every vector is indexed. The vectors are partitioned into leaves of about LEAF by ranges of single components
+    (Splits, taken from a hash sample of at most SAMPLE[0] vectors for each leaf, SAMPLE[1] at least), each leaf with its own
+    sorted arrays. A query first asks in the leaf it lies in: its windows are widened, without building anything new, until
+    the k best verified vectors lie within the radius covered (virtual rehashing). That radius then opens windows in the arrays
+    that the vectors are partitioned by, ROUTE times as wide, and the query asks in the other leaves they reach, at the
+    width it has come to. Vectors in the windows of THRESHOLD of the arrays known to both are verified by distance. The k best
+    of all leaves are ranked by distance, then id. Equal vectors are indexed and asked for once. A query meets the leaves near
+    it, not all vectors.
 
     Nulls: see distinct_vectors; queries are treated alike. Fewer than k vectors that share enough components give fewer rows.
     """
-    v, q = distinct_vectors(vectors), distinct_vectors(queries)
-    blocks = v.count() // BLOCK + 1
-    tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
-    batches = max(1, min(-(-tasks // blocks), q.count() // 500 + 1), q.count() // BATCH + 1)
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = v.select(part(blocks).alias("block"), every(batches).alias("batch"), F.lit(True).alias("kept"), "id", "vec").unionAll(
-        q.select(every(blocks).alias("block"), part(batches).alias("batch"), F.lit(False).alias("kept"), "id", "vec")
-    )
-    rows = rows.withColumn("task", F.col("block") * batches + F.col("batch"))
+    spark, want = vectors.sparkSession, k + 1  # the query itself may be one
+    clean_ = lambda df: distinct_vectors(df).withColumn("vec", F.transform("vec", lambda x: F.when(~F.isnan(x), x + F.lit(0.0))))
+    # of equal vectors the smallest ids, as many as can be asked for; the window is cut before its shuffle
+    v = clean_(vectors).withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("_n") <= want)
+    v = written(v.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("vec", F.col("ids")[0].alias("cid"), "ids"), "indexed")
+    q = clean_(queries)
+    q = written(q.join(q.groupBy("vec").agg(F.min("id").alias("qid")), "vec"), "queries")
+    asked = q.filter(F.col("id") == F.col("qid")).select("qid", "vec")
+    rows = v.count()
+    leaves = min(LEAVES, max(1, rows // LEAF))
+    sample = v.orderBy(F.xxhash64("cid"), "cid").limit(max(SAMPLE[0] * leaves, SAMPLE[1])).select("vec").toArrow().column("vec")
+    splits = spark.sparkContext.broadcast(Splits(_matrix(pa.concat_arrays(sample.chunks), dims) if sample.length() else np.zeros((0, dims)), leaves))
+    names = ["leaf", "kept", "id", "n", "radius", "vec"]
+    line = "leaf bigint, kept boolean, id bigint, n bigint, radius double, vec binary"
+
+    def packed(leaf: np.ndarray, kept: bool, ids: np.ndarray, n: np.ndarray, radius: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+        vec = pa.array([x.tobytes() for x in z.astype("<f8").view(f"V{8 * dims}").ravel()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(np.full(len(leaf), kept)), pa.array(ids), pa.array(n.astype(np.int64)), pa.array(radius), vec], names)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = _matrix(b.column("vec"), dims)
+            at, leaf = splits.value.reached(z, np.zeros(len(z)))
+            yield packed(leaf, True, b.column("cid").to_numpy()[at], b.column("n").to_numpy()[at], np.zeros(len(at)), z[at])
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        kept, ids, vec = t.column("kept").to_numpy(), t.column("id").to_numpy(), pa.concat_arrays(t.column("vec").chunks)
-        z = _matrix(vec, dims)
-        if not kept.any():
-            return
-        index = SortedArrays(ids[kept], z[kept])
-        out: list[tuple] = []
-        for i, x in zip(ids[~kept].tolist(), z[~kept]):
-            where, d, n = index.nearest(i, x, k, least_shared)
-            out.append((np.full(len(d), i), index.ids[where], d, n))
-            if len(out) == 2000:
-                yield _found(out)
-                out = []
-        if out:
-            yield _found(out)
-
-    found = rows.repartitionById(blocks * batches, "task").mapInArrow(search, "id bigint, neighbour bigint, distance double, shared bigint")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "neighbour", "rank", "distance", "shared")
-
-
-def _found(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["id", "neighbour", "distance", "shared"])
+    def home(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = _matrix(b.column("vec"), dims)
+            yield packed(splits.value.home(z), False, b.column("qid").to_numpy(), np.zeros(len(z)), np.zeros(len(z)), z)
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z, radius = _matrix(b.column("vec"), dims), b.column("radius").to_numpy()
+            at, leaf = splits.value.reached(z, ROUTE * radius)
+            other = leaf != splits.value.home(z)[at]
+            at, leaf = at[other], leaf[other]
+            yield packed(leaf, False, b.column("qid").to_numpy()[at], np.zeros(len(at)), radius[at], z[at])
+
+    kept = v.select("cid", F.size("ids").cast("bigint").alias("n"), "vec").mapInArrow(place, line)
+
+    def ask(asks: DataFrame, given: bool) -> DataFrame:
+        def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, index, held, waiting = -1, None, [], []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                nonlocal index, held, waiting
+                if held:  # all vectors of a leaf come before its queries
+                    t = pa.Table.from_batches(held)
+                    index, held = SortedArrays(t.column("id").to_numpy(), t.column("n").to_numpy(), unpacked(t)), []
+                if waiting and index is not None:
+                    t = pa.Table.from_batches(waiting)
+                    i, where, d, shared = index.nearest(unpacked(t), t.column("radius").to_numpy() if given else None, want, least_shared)
+                    data = [t.column("id").to_numpy()[i], index.ids[where], np.minimum(index.n[where], want), d, shared]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in data], ["qid", "cid", "n", "distance", "shared"])
+                waiting = []
+
+            for b in batches:
+                leaf, is_kept = b.column("leaf").to_numpy(), b.column("kept").to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero((np.diff(leaf) != 0) | (is_kept[1:] != is_kept[:-1])) + 1).tolist(), len(leaf)]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if hi == lo:
+                        continue
+                    if leaf[lo] != at:
+                        yield from flush()
+                        at, index = leaf[lo], None
+                    (held if is_kept[lo] else waiting).append(b.slice(lo, hi - lo))
+                    if sum(x.num_rows for x in waiting) >= ASKS:
+                        yield from flush()
+            yield from flush()
+
+        both = kept.unionAll(asks).repartition(max(2 * spark.sparkContext.defaultParallelism, leaves // 16), "leaf").sortWithinPartitions("leaf", F.desc("kept"))
+        return both.mapInArrow(search, "qid bigint, cid bigint, n bigint, distance double, shared bigint")
+
+    def unpacked(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column("vec").to_pylist()), "<f8").reshape(-1, dims)
+
+    near = written(ask(asked.mapInArrow(home, line), False), "near")
+    radius = near.groupBy("qid").agg(F.sum("n").alias("n"), F.max("distance").alias("d")).select("qid", F.when(F.col("n") >= want, F.col("d")).alias("radius"))
+    more = asked.join(radius, "qid", "left").select("qid", "vec", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
+    found = near.unionAll(ask(more.mapInArrow(spread, line), True)).groupBy("qid", "cid").agg(F.first("n").alias("n"), F.first("distance").alias("distance"), F.first("shared").alias("shared"))
+    best = Window.partitionBy("qid").orderBy("distance", "cid")
+    found = found.withColumn("_before", F.coalesce(F.sum("n").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("_before") < want)
+    found = found.join(v.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("neighbour"), "distance", "shared")
+    w = Window.partitionBy("qid").orderBy("distance", "neighbour")
+    lists = found.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= want).groupBy("qid").agg(
+        F.sort_array(F.collect_list(F.struct("distance", "neighbour", "shared"))).alias("list")  # want rows at most
+    )
+    own = q.select("id", "qid").join(lists, "qid").select("id", F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("list"))
+    out = own.select("id", F.posexplode("list").alias("rank", "x"))
+    return out.select("id", F.col("x.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("x.distance").alias("distance"), F.col("x.shared").alias("shared"))
 
 
 def record_vectors(records: DataFrame, stats: DataFrame, centre: bool) -> DataFrame:
