@@ -46,7 +46,7 @@ CUT = 0.3
 LOOKALIKES = str.maketrans("абвгезикмнорстухѕіјԁһӏԛԝαβεηικνορτυχωɡı", "abbre3nkmhopctyxsijdhlqwabenikvoptuxwgi")
 STAND_INS = str.maketrans("01345789@$!|€", "oleastbgasile")
 _WORD = re.compile(r"[^\W_]+(?:['’*_▁·@$!|.\-]+[^\W_]+)*|[🍆🍑💦🔞]", re.UNICODE)
-_SPLIT = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\n\r]+|\s-+\s|\s?//\s?|\s?\.\.\.\s?|[\"“”«»()\[\]]+|\s\|\s")
+_SPLIT = re.compile(r"[.!?]\s+|[。！？]\s*|[\n\r]+|\s(?:-+\s|//\s?|\.\.\.\s?|\|\s)|//\s?|\.\.\.\s?|[\"“”«»()\[\]]+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][\s.\-_*·]{1,3}){3,}[^\W\d_](?![^\W_])", re.UNICODE)
 
 
@@ -78,6 +78,8 @@ _REPEATED, _QUOTES, _MASKS = re.compile(r"([^\W\d_])\1+"), re.compile(r"['’]")
 def _word(w: str) -> str:
     if not w.isascii():
         w = w.translate(LOOKALIKES)
+    elif w.upper() == w.lower():  # no letter
+        return "#"
     if not w.isalpha():
         letters = sum(c.isalpha() for c in w)
         if letters == 0 and not any(ord(c) > 0x1F000 for c in w):
