@@ -16,23 +16,63 @@ def latest_outcomes(versions: DataFrame) -> DataFrame:
 
 
 def metric_columns() -> list[Column]:
-    """The measures of a set of scenarios with triggered, t1_before_stop, primary_outcome and resolved_r. Rates over nothing
-    are 0, means and ratios over nothing null."""
+    """The measures of a set of scenarios with structurally_valid, triggered, t1_before_stop, primary_outcome and resolved_r.
+    Rates over nothing are 0, means and ratios over nothing null. The break-even rate is the one at which a mean win pays for
+    losses of one unit."""
     r = F.col("resolved_r").cast("double")
     win, loss = F.when(r > 0, r), F.when(r < 0, r)
-    n, triggered, resolved = F.count(F.lit(1)), F.count_if("triggered"), F.count("resolved_r")
+    is_ = lambda name: F.count_if(F.col("primary_outcome") == name)
+    n, triggered, resolved, t1, stop = F.count(F.lit(1)), F.count_if("triggered"), F.count("resolved_r"), F.count_if("t1_before_stop"), is_("STOP_BEFORE_T1")
     rate = lambda a, b: F.coalesce(clean.half_even(F.try_divide(a.cast("double"), b), 4), F.lit(0.0))
     mean_win, mean_loss = F.avg(win), F.avg(loss)
     return [
-        n.alias("scenarios"), triggered.alias("triggered"), rate(triggered, n).alias("trigger_rate"), F.count_if("t1_before_stop").alias("t1_first"),
-        F.count_if(F.col("primary_outcome") == "STOP_BEFORE_T1").alias("stop_first"), F.count_if(F.col("primary_outcome") == "AMBIGUOUS_STOP_T1_SAME_BAR").alias("ambiguous"),
-        F.count_if(F.col("primary_outcome") == "OPEN_AT_CLOSE").alias("open_at_close"), resolved.alias("resolved"), rate(F.count(win), resolved).alias("win_rate"),
+        n.alias("scenarios"), F.count_if("structurally_valid").alias("accepted"), triggered.alias("triggered"), rate(triggered, n).alias("trigger_rate"), t1.alias("t1_first"), stop.alias("stop_first"),
+        rate(t1, triggered).alias("t1_rate_if_triggered"), rate(t1, t1 + stop).alias("t1_rate_if_resolved"), rate(stop, t1 + stop).alias("stop_rate_if_resolved"),
+        is_("NOT_TRIGGERED").alias("not_triggered"), is_("AMBIGUOUS_STOP_T1_SAME_BAR").alias("ambiguous"), is_("OPEN_AT_CLOSE").alias("open_at_close"),
+        resolved.alias("resolved"), rate(resolved, triggered).alias("coverage_if_triggered"), rate(F.count(win), resolved).alias("win_rate"),
         clean.half_even(F.avg(r), 4).alias("mean_r"), clean.half_even(F.median(r), 4).alias("median_r"), clean.half_even(F.sum(r), 4).alias("total_r"),
-        clean.half_even(F.try_divide(F.sum(win), -F.sum(loss)), 4).alias("profit_factor"), clean.half_even(mean_win, 4).alias("mean_win"), clean.half_even(mean_loss, 4).alias("mean_loss"),
-        clean.half_even(F.try_divide(-mean_loss, mean_win - mean_loss), 4).alias("break_even_rate"), clean.half_even(F.try_divide(F.sum(r), triggered), 4).alias("expectancy_per_triggered"),
+        clean.half_even(F.try_divide(F.sum(win), -F.sum(loss)), 4).alias("profit_factor"), clean.half_even(mean_win, 4).alias("mean_win"), clean.half_even(-mean_loss, 4).alias("mean_loss"),
+        clean.half_even(1 / (1 + mean_win), 4).alias("break_even_rate"), clean.half_even(F.try_divide(F.sum(r), triggered), 4).alias("expectancy_per_triggered"),
     ]
 
 
+def metrics_by_code(outcomes: DataFrame, codes: Column) -> DataFrame:
+    """metric_columns for each code of an array column; a scenario counts once for each distinct code of its own."""
+    return outcomes.withColumn("code", F.explode(F.array_distinct(codes))).groupBy("code").agg(*metric_columns())
+
+
+def metrics_by_combination(outcomes: DataFrame, codes: Column) -> DataFrame:
+    """metric_columns for each combination of codes: the distinct ones sorted and joined with +, empty without any."""
+    joined = F.array_join(F.array_sort(F.array_distinct(codes)), "+")
+    return outcomes.withColumn("combination", joined).groupBy("combination").agg(*metric_columns())
+
+
+def histogram(groups: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """How many groups have each value of each named count: counter, value, groups."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("counter"), c.cast("bigint").alias("value")) for k, c in counts.items())))
+    return groups.select(each.alias("x")).select("x.*").groupBy("counter", "value").agg(F.count(F.lit(1)).alias("groups"))
+
+
+def ordering_test(rows: DataFrame, least: int = 5) -> DataFrame:
+    """For each window: rows, coverage (share with enough records and an expectancy), the correlation of expectancy and result,
+    the mean results of the bands STRONG, NEUTRAL and NEGATIVE, their gaps, and whether they fall in this order; null unless
+    all three have rows. The bands are those of `bands`, so the threshold comes from the training window alone."""
+    b = bands(rows, least)
+    of = lambda name: F.max(F.when(F.col("band") == name, F.col("mean_r")))
+    means = b.groupBy("evidence_window").agg(of("STRONG").alias("strong"), of("NEUTRAL").alias("neutral"), of("NEGATIVE").alias("negative"))
+    enough = (F.col("returned_records") >= least) & F.col("expectancy").isNotNull()
+    x, y = F.when(enough, F.col("expectancy")), F.when(enough, F.col("actual_r"))
+    x = F.when(y.isNotNull(), x)
+    corr = F.when((F.count(x) >= 3) & (F.var_pop(x) > 1e-18) & (F.var_pop(F.when(x.isNotNull(), y)) > 1e-18), clean.half_even(F.corr(x, y), 4))
+    n = F.count(F.lit(1))
+    base = rows.groupBy("evidence_window").agg(n.alias("rows"), clean.half_even(F.count_if(enough) / n, 4).alias("coverage"), corr.alias("pearson"))
+    out = base.join(means, base["evidence_window"].eqNullSafe(means["evidence_window"])).drop(means["evidence_window"])
+    return out.withColumns({
+        "strong_minus_neutral": clean.half_even(F.col("strong") - F.col("neutral"), 4), "neutral_minus_negative": clean.half_even(F.col("neutral") - F.col("negative"), 4),
+        "ordered": F.when(F.col("strong").isNotNull() & F.col("neutral").isNotNull() & F.col("negative").isNotNull(), (F.col("strong") > F.col("neutral")) & (F.col("neutral") > F.col("negative"))),
+    })
+
+
 def metric_block(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """metric_columns over all scenarios and by each of the columns `by` apart: dimension, value and the measures. The columns
     are strings; null is a value of its own. One pass: grouping sets."""

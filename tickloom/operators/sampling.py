@@ -65,3 +65,29 @@ def round_robin(rows: DataFrame, key: str, stratum: str, size: int, seed: int) -
     ranked = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= size)
     top = ranked.orderBy("_n", stratum, key).limit(size)
     return top.withColumn("place", F.row_number().over(Window.orderBy("_n", stratum, key))).drop("_n")
+
+
+def diverse(rows: DataFrame, key: str, stratum: str, limit: str, take: int, seed: int) -> DataFrame:
+    """`take` rows spread over strata: of each value of `limit` (a ticker, say) only the first ceil(take / 4) by hash order
+    are let through at first, and of these the strata give their first by hash order in turn, then their second, strata in
+    the order of their own hash. If they do not suffice, the others follow in another hash order (seed + 17). Adds place
+    (from 1). Of each stratum at most 2 * take rows are carried beyond the windows."""
+    h = lambda s: sha_order(F.col(key), s)
+    x = rows.withColumn("_in", F.row_number().over(Window.partitionBy(limit).orderBy(h(seed), key)) <= max(1, -(-take // 4)))
+    x = x.withColumn("_h", F.when(F.col("_in"), h(seed)).otherwise(h(seed + 17)))
+    x = x.withColumn("_n", F.row_number().over(Window.partitionBy("_in", stratum).orderBy("_h", key))).filter(F.col("_n") <= take)
+    order = [F.desc("_in"), F.when(F.col("_in"), F.col("_n")), F.when(F.col("_in"), sha_order(F.col(stratum), seed + 1)), F.when(~F.col("_in"), F.col("_h")), F.col(key)]
+    top = x.orderBy(*order).limit(take)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("_in", "_h", "_n")
+
+
+def balanced(rows: DataFrame, key: str, stratum: str, limit: str, side: Column, size: int, seed: int) -> DataFrame:
+    """A sample of `size` rows, half with `side` true and half without, each spread as by `diverse`; what one side lacks comes
+    from the other. With an odd size the false side gets one more. Rows with a null side are left out. Adds side."""
+    x = rows.withColumn("side", side).filter("side is not null")
+    n = x.agg(F.count_if("side"), F.count_if(~F.col("side"))).first()
+    yes = min(n[0], size // 2)
+    no = min(n[1], size - yes)
+    yes += min(size - yes - no, n[0] - yes)
+    a = diverse(x.filter("side"), key, stratum, limit, yes, seed)
+    return a.unionByName(diverse(x.filter(~F.col("side")), key, stratum, limit, no, seed + 100_003)).drop("place")

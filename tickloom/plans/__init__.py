@@ -4,6 +4,6 @@ from tickloom.registry import Registry
 
 
 def registries() -> list[Registry]:
-    from tickloom.plans import data, evidence, market, misc, more
+    from tickloom.plans import context, data, evidence, market, misc, more
 
-    return [data.R, market.R, evidence.R, misc.R, more.R]
+    return [data.R, market.R, evidence.R, misc.R, more.R, context.R]

@@ -84,11 +84,15 @@ def candidate_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return analogues.candidate_evidence(table(spark, folder, "temporal_evidence"), _records(spark, folder), table(spark, folder, "feature_stat"))
 
 
-METRICS = """count(*) as scenarios, count(*) filter (triggered) as triggered, round_even(count(*) filter (triggered) / cast(count(*) as double), 4) as trigger_rate, count(*) filter (t1_before_stop) as t1_first,
- count(*) filter (primary_outcome = 'STOP_BEFORE_T1') as stop_first, count(*) filter (primary_outcome = 'AMBIGUOUS_STOP_T1_SAME_BAR') as ambiguous, count(*) filter (primary_outcome = 'OPEN_AT_CLOSE') as open_at_close,
- count(r) as resolved, coalesce(round_even(count(*) filter (r > 0) / nullif(cast(count(r) as double), 0), 4), 0) as win_rate, round_even(avg(r), 4) as mean_r, round_even(median(r), 4) as median_r, round_even(sum(r), 4) as total_r,
- round_even(sum(r) filter (r > 0) / nullif(-sum(r) filter (r < 0), 0), 4) as profit_factor, round_even(avg(r) filter (r > 0), 4) as mean_win, round_even(avg(r) filter (r < 0), 4) as mean_loss,
- round_even(-avg(r) filter (r < 0) / nullif(avg(r) filter (r > 0) - avg(r) filter (r < 0), 0), 4) as break_even_rate, round_even(sum(r) / nullif(cast(count(*) filter (triggered) as double), 0), 4) as expectancy_per_triggered"""
+METRICS = """count(*) as scenarios, count(*) filter (structurally_valid) as accepted, count(*) filter (triggered) as triggered, round_even(count(*) filter (triggered) / cast(count(*) as double), 4) as trigger_rate, count(*) filter (t1_before_stop) as t1_first,
+ count(*) filter (primary_outcome = 'STOP_BEFORE_T1') as stop_first, coalesce(round_even(count(*) filter (t1_before_stop) / nullif(cast(count(*) filter (triggered) as double), 0), 4), 0) as t1_rate_if_triggered,
+ coalesce(round_even(count(*) filter (t1_before_stop) / nullif(cast(count(*) filter (t1_before_stop) + count(*) filter (primary_outcome = 'STOP_BEFORE_T1') as double), 0), 4), 0) as t1_rate_if_resolved,
+ coalesce(round_even(count(*) filter (primary_outcome = 'STOP_BEFORE_T1') / nullif(cast(count(*) filter (t1_before_stop) + count(*) filter (primary_outcome = 'STOP_BEFORE_T1') as double), 0), 4), 0) as stop_rate_if_resolved,
+ count(*) filter (primary_outcome = 'NOT_TRIGGERED') as not_triggered, count(*) filter (primary_outcome = 'AMBIGUOUS_STOP_T1_SAME_BAR') as ambiguous, count(*) filter (primary_outcome = 'OPEN_AT_CLOSE') as open_at_close,
+ count(r) as resolved, coalesce(round_even(count(r) / nullif(cast(count(*) filter (triggered) as double), 0), 4), 0) as coverage_if_triggered,
+ coalesce(round_even(count(*) filter (r > 0) / nullif(cast(count(r) as double), 0), 4), 0) as win_rate, round_even(avg(r), 4) as mean_r, round_even(median(r), 4) as median_r, round_even(sum(r), 4) as total_r,
+ round_even(sum(r) filter (r > 0) / nullif(-sum(r) filter (r < 0), 0), 4) as profit_factor, round_even(avg(r) filter (r > 0), 4) as mean_win, round_even(-avg(r) filter (r < 0), 4) as mean_loss,
+ round_even(1 / (1 + avg(r) filter (r > 0)), 4) as break_even_rate, round_even(sum(r) / nullif(cast(count(*) filter (triggered) as double), 0), 4) as expectancy_per_triggered"""
 LATEST = """
 lat as (select *, cast(resolved_r as double) as r from scenario_summary where scenario_id is not null qualify row_number() over (partition by scenario_id order by known_utc desc, version_no desc) = 1)"""
 BY = ["direction", "entry_type", "grade", "selection_tier"]
