@@ -38,7 +38,7 @@ UNSEEN = 0.35
 #: Words whose sums a task keeps; with more, it begins anew.
 KEPT = 200_000
 #: Words that are scored side by side.
-WORDS = 50_000
+WORDS = 20_000
 #: Score from which a document counts as a case.
 CUT = 0.3
 
