@@ -86,7 +86,7 @@ def odd_texts():
     r = random.Random(3)
     alphabet = "ab z  \n\t'é日本—😀0129.,!?<|>ß́​" + "ا"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 900))) for _ in range(60)]
-    texts += ["x" * 3000, " " * 2500, "word " * 700, "<|endoftext|>" * 60, "日本語の文章。" * 200, "it's we'll " * 150, "a" + " " * 700 + "b", "\n\n \n" * 400]
+    texts += ["x" * 3000, " " * 2500, "word " * 700, "<|endoftext|>" * 60, "日本語の文章。" * 200, "it's we'll " * 150, "a" + " " * 700 + "b", "\n\n \n" * 400, "ab cd " * 40 + "y" * 900 + " ef" * 60 + " " * 500 + "z" * 300]
     return texts
 
 
@@ -132,6 +132,7 @@ def test_mix_shares_caps_and_seed(spark):
     got = {x.source: x for x in shares.collect()}
     assert got["gone"].tokens == got["zero"].tokens == 0 and got["small"].most_uses <= 4 and got["big"].most_uses == 1
     assert got["big"].actual_share == pytest.approx(7 / 9, abs=0.01) and got["small"].actual_share == pytest.approx(2 / 9, abs=0.01)
+    assert all(abs(x.planned - x.tokens) <= 4000 and (x.planned > 0) == (x.tokens > 0) for x in got.values())
     assert len({(x.source, x.id) for x in out}) == len(out) and not {None, 9000, 9001, 9002, 9003} & {x.id for x in out}
     assert sorted(map(tuple, mixing.mix(df.repartition(7), goal)[0].collect())) == sorted(map(tuple, out))
     assert mixing.mix(df.limit(0), goal)[0].count() == 0

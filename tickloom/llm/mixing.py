@@ -113,7 +113,8 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, total: int | None
 
     sizes: id, sources array<string> (in the targets' spelling), size bigint; one row for each document. targets: mix_name,
     source, target_share, max_repeats; a small table. Returns (mix_name, source, id, uses, size) with one row for each source
-    that uses a document, and (mix_name, source, target_share, actual_share, tokens, documents, most_uses).
+    that uses a document, and (mix_name, source, target_share, actual_share, planned, tokens, documents,
+    most_uses), planned being the tokens that the flow routes to the source.
 
     Token sums go to the driver by membership pattern only. For each pattern and source, the last, partial use is given to
     the documents with the smallest seeded hashes until the tokens routed are reached; their running totals are kept by hash
@@ -133,10 +134,12 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, total: int | None
     docs = written(docs, "sizes")
     sums = docs.groupBy("sources").agg(F.sum("size").alias("n")).collect()
     patterns = {frozenset(r["sources"]): int(r["n"]) for r in sums}
-    wanted = []
+    wanted, planned = [], {}
     for name in sorted({g["mix_name"] for g in goals}):
         own = {g["source"]: (float(g["target_share"] or 0), int(g["max_repeats"] or 0)) for g in goals if g["mix_name"] == name}
         routed, _ = plan(patterns, own, total)
+        for (_, s), n in routed.items():
+            planned[name, s] = planned.get((name, s), 0) + sum(n)
         for p in {p for p, _ in routed}:
             begin = 0  # where on the pattern's circle of documents the next source's partial use begins
             for s in sorted(s for q, s in routed if q == p):
@@ -180,11 +183,11 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 17, total: int | None
         F.sum(F.col("uses") * F.col("size")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("uses").alias("most_uses")
     )
     every = Window.partitionBy("mix_name")
-    table = spark.createDataFrame([(g["mix_name"], g["source"], g["target_share"]) for g in goals], "mix_name string, source string, target_share double")
+    table = spark.createDataFrame([(g["mix_name"], g["source"], g["target_share"], planned.get((g["mix_name"], g["source"]), 0)) for g in goals], "mix_name string, source string, target_share double, planned bigint")
     zero = lambda c: F.coalesce(c, F.lit(0))
     shares = table.join(F.broadcast(chosen), ["mix_name", "source"], "left").select(
         "mix_name", "source", "target_share", F.coalesce(F.round(F.try_divide(F.col("tokens"), F.sum("tokens").over(every)), 6), F.lit(0.0)).alias("actual_share"),
-        zero(F.col("tokens")).alias("tokens"), zero(F.col("documents")).alias("documents"), zero(F.col("most_uses")).alias("most_uses"),
+        "planned", zero(F.col("tokens")).alias("tokens"), zero(F.col("documents")).alias("documents"), zero(F.col("most_uses")).alias("most_uses"),
     )
     return rows.select("mix_name", "source", "id", "uses", "size"), shares
 

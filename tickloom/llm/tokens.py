@@ -3,8 +3,8 @@
 Texts up to CHUNK characters are encoded as they are. Longer ones are cut into chunks that overlap, the chunks are
 pre-tokenised in parallel, and neighbouring chunks are stitched at the first place in their overlap where both have a
 pre-token boundary: from a common boundary on, both give the same pre-tokens, as a match depends only on the text that
-follows. The pieces between the stitches are encoded on their own and their ids put together. A text with an overlap
-without a common boundary (one pre-token runs through it) is encoded whole.
+follows. The pieces between the stitches are encoded on their own and their ids put together. Where an overlap has no common
+boundary (one pre-token runs through it), the chunks on both sides make one piece.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, OVERLAP = 8192, 512
@@ -101,10 +101,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("k"), _ids(ids)], ["id", "k", "ids"])
 
     short = docs.filter(~long).mapInArrow(whole, f"id {kind}, ids array<int>")
-    # long texts go by a hash of id and text, each once
+    # long texts go by a digest of id and text, each once
     named = docs.filter(long).groupBy("id", "text").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    named = named.withColumn("key", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("\0")), "text"))
-    owners, docs, kind = named.select("key", F.col("id").alias("owner"), "times"), named.select(F.col("key").alias("id"), "text"), "bigint"
+    named = named.withColumn("key", F.sha2(F.concat_ws("\0", F.when(F.col("id").isNull(), "n").otherwise("i"), F.col("id").cast("string"), "text"), 256))
+    owners, docs, kind = named.select("key", F.col("id").alias("owner"), "times"), named.select(F.col("key").alias("id"), "text"), "string"
     chunks = docs.mapInArrow(cut, f"id {kind}, k int, n int, part string").repartition("id", "k")
     marks = chunks.mapInArrow(pretokenise, f"id {kind}, k int, n int, head array<int>, tail array<int>")
     # the stitch between chunk k - 1 and k, relative to the start of chunk k: matched on (id, k), never a text at a time
@@ -112,21 +112,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name
     stitch = marks.select("id", "k", "n", "head").join(ends, ["id", "k"], "left").select(
         "id", "k", "n", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", "tail"))).alias("at")
     )
-    both = F.array(F.struct(F.col("k").alias("k"), F.col("at").alias("start"), F.lit(None).cast("int").alias("end")), F.struct(
-        (F.col("k") - 1).alias("k"), F.lit(None).cast("int").alias("start"), (F.col("at") + chunk).alias("end")))
-    spans = stitch.select("id", "n", F.explode(both).alias("s")).select("id", "n", "s.*").filter("k >= 0")
-    spans = spans.groupBy("id", "k").agg(F.max("start").alias("start"), F.max("end").alias("end"))
-    open_ = stitch.filter("at is null").select("id").distinct()
+    # chunks without a stitch between them, as one pre-token runs from one into the next, are one piece; w: a row for each chunk
+    w = Window.partitionBy("id").orderBy("k")
+    spans = stitch.withColumns({"piece": F.count("at").over(w), "next": F.lead("at").over(w)})
+    spans = spans.withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy("id", "piece")))
+    spans = spans.select("id", "k", "piece", "chunks", F.coalesce("at", F.lit(0)).alias("start"), F.when(F.col("k") < F.col("n") - 1, chunk + F.coalesce("next", F.lit(0))).alias("end"))
+    spans = chunks.join(spans, ["id", "k"]).withColumn("end", F.coalesce("end", F.length("part")))
+    several = spans.filter("chunks > 1").select("id", "piece", F.struct("k", F.expr("substring(part, start + 1, end - start)").alias("part")).alias("x"))
+    several = several.groupBy("id", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["part"]), "").alias("part"))
+    several = several.select("id", F.col("piece").alias("k"), "part", F.lit(0).alias("start"), F.length("part").alias("end"))
     done = (
-        chunks.join(spans, ["id", "k"]).join(open_, "id", "left_anti")
-        .withColumn("end", F.coalesce("end", F.length("part")))
-        .mapInArrow(pieces, f"id {kind}, k int, ids array<int>")
+        spans.filter("chunks = 1").select("id", F.col("piece").alias("k"), "part", "start", "end").unionAll(several)
+        .mapInArrow(pieces, f"id {kind}, k bigint, ids array<int>")
         .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p"))  # one text's result
         .select("id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
     )
-    rest = docs.join(open_, "id", "left_semi").mapInArrow(whole, "id bigint, ids array<int>")
     again = F.explode(F.array_repeat(F.lit(1), F.col("times")))
-    back = done.unionAll(rest).join(owners, F.col("id") == F.col("key")).select(F.col("owner").alias("id"), "ids", again.alias("_"))
+    back = done.join(owners, F.col("id") == F.col("key")).select(F.col("owner").alias("id"), "ids", again.alias("_"))
     return short.unionAll(back.select("id", "ids")).select(F.col("id").alias(id_col), "ids")
 
 
