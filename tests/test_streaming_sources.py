@@ -121,3 +121,36 @@ def test_stream_into_keyed_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in t.read().collect()] == [("a", 2)]
+
+
+def test_stream_that_starts_in_mid_session_goes_on_from_stored_bars(spark, tmp_path):
+    rows = made()
+    stored = spark.createDataFrame(rows[:6] + rows[2:4] + [("BBB", T0, 1.0, 1.0, 1.0, 1.0, 5), (None, T0, 1.0, 1.0, 1.0, 1.0, 5)], BAR)
+    got = run(spark, tmp_path, lambda s: features.session_features(s, stored), [rows[6:9], rows[9:], [rows[0], ("CCC", T0, 1.0, 2.0, 1.0, 1.5, 7)]], BAR, "seeded")
+    b = spark.createDataFrame(rows, BAR).withColumn("session_date", F.to_date("ts"))
+    want = {r.ts: r for r in batch.session_features(b).collect()}
+    on_time = [r for r in got.collect() if not r.late and r.ticker == "AAA"]
+    assert len(on_time) == len(rows) - 6 and got.filter("late").count() == 1 and got.filter("ticker = 'CCC'").first().delta_close is None
+    for r in on_time:
+        for c in ("vwap", "rel_volume", "avg_volume_5", "delta_close", "delta_vwap"):
+            assert r[c] == pytest.approx(want[r.ts][c])
+        assert r.vwap_cross_up == want[r.ts].vwap_cross_up and r.vwap_cross_down == want[r.ts].vwap_cross_down
+
+
+def test_keyed_table_rewrites_only_what_it_touches(spark, tmp_path):
+    line = "k string, at int, s string"
+    t = sinks.KeyedTable(spark, str(tmp_path / "k"), ["k"], ["at"], buckets=8, keep=2)
+    assert t.read() is None and t.merge(spark.createDataFrame([], line)) == 0 and t.remove(spark.createDataFrame([("a",)], "k string")) == 0
+    rows = [(f"k{i}", 1, "x") for i in range(40)]
+    t.merge(spark.createDataFrame(rows, line))
+    t.merge(spark.createDataFrame([("k3", 2, "y")], line))
+    m = t._manifest()
+    assert sorted(set(m["parts"].values())) == [1, 2] and sum(v == 2 for v in m["parts"].values()) == 1
+    assert sinks.KeyedTable(spark, str(tmp_path / "k"), ["k"], ["at"], buckets=3).buckets == 8
+    t.remove(spark.createDataFrame([("k1",), ("k1",), (None,), ("nobody",)], "k string"))
+    got = {r.k: r.s for r in t.read().collect()}
+    assert len(got) == 39 and got["k3"] == "y" and "k1" not in got
+    new = t.claim(spark.createDataFrame([("k1", 5, "mine"), ("k2", 5, "late"), ("k1", 4, "mine")], line)).collect()
+    assert [(r.k, r.at) for r in new] == [("k1", 5)] and {r.k: r.s for r in t.read().collect()}["k2"] == "x"
+    assert not t.claim(spark.createDataFrame([("k1", 6, "again")], line)).collect()
+    assert len(t.versions()) == 2 and t.read().count() == 40  # versions before the last two are gone, what they share is not

@@ -31,21 +31,26 @@ def clean_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def rolling_vwap(ticks: DataFrame, n: int = 500) -> DataFrame:
-    """Each clean tick with the volume-weighted price of the last n ticks of its ticker and session; null without size."""
-    w = Window.partitionBy("ticker", "session_date").orderBy("ts", "tick_id").rowsBetween(1 - n, 0)
-    money = F.sum(F.round(F.col("price") * 1_000_000).cast("bigint") * F.col("size")).over(w)  # exact, whatever the order
-    v = F.try_divide(money.cast("double"), (F.sum("size").over(w) * 1_000_000).cast("double"))
-    return ticks.select("ticker", "session_date", "ts", "tick_id", v.alias("vwap"))
+    """Each clean tick with the volume-weighted price of the last n ticks of its ticker and session; null without size. The
+    sums of the last n ticks are differences of running sums, which are of whole millionths and so exact: a tick costs the
+    same whatever n is."""
+    w = Window.partitionBy("ticker", "session_date").orderBy("ts", "tick_id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    money = F.sum((F.round(F.col("price") * 1_000_000).cast("decimal(18,0)") * F.col("size")).cast("decimal(28,0)")).over(so_far)
+    x = ticks.select("ticker", "session_date", "ts", "tick_id", money.alias("_m"), F.sum("size").over(so_far).alias("_s"), F.count("size").over(so_far).alias("_c"))
+    within = lambda c: F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0))
+    v = F.when(within("_c") > 0, F.try_divide(within("_m").cast("double"), (within("_s") * 1_000_000).cast("double")))
+    return x.select("ticker", "session_date", "ts", "tick_id", v.alias("vwap"))
 
 
 def tape_flow(ticks: DataFrame, n: int = 100) -> DataFrame:
     """The flow of the last n clean ticks of each ticker and session: ticks, mean size, volume, big prints (at least 2.5 mean
-    sizes), volume on upticks and on downticks, and the move from first to last."""
-    w = Window.partitionBy("ticker", "session_date").orderBy(F.desc("ts"), F.desc("tick_id"))
-    last = ticks.withColumns({"_k": F.row_number().over(w), "_before": F.lead("price").over(w)}).filter(F.col("_k") <= n)
-    mean = last.withColumn("_mean", F.avg("size").over(Window.partitionBy("ticker", "session_date")))
-    before = F.when(F.col("_k") < F.least(F.lit(n), F.col("_n")), F.col("_before"))
-    mean = mean.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("ticker", "session_date"))).withColumn("_b", before)
+    sizes), volume on upticks and on downticks, and the move from first to last. Only the last n ticks are sorted out of a
+    session, before its shuffle."""
+    keys = ["ticker", "session_date"]
+    w = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("tick_id"))
+    last = ticks.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n)
+    mean = last.withColumns({"_b": F.lead("price").over(Window.partitionBy(*keys).orderBy("_k")), "_mean": F.avg("size").over(Window.partitionBy(*keys))})
     size = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("size"))), F.lit(0))
     return mean.groupBy("ticker", "session_date").agg(
         F.count(F.lit(1)).alias("ticks"), F.round(F.avg("size"), 6).alias("mean_size"), F.sum("size").alias("volume"),

@@ -51,25 +51,56 @@ def _one(key: tuple, b, s: tuple) -> tuple[tuple, tuple]:
     return row, s if late else (pv1, v1, n1, last1, float(b.c), float(vwap), b.ts)
 
 
-def session_features(bars: DataFrame) -> DataFrame:
+def seeds(bars: DataFrame) -> DataFrame:
+    """The state of each ticker and session after stored bars (ticker, ts, o, h, l, c, v), as the stream would have it: ticker,
+    session_date, seed struct. Bars without a price or volume are left out, repeated minutes count once."""
+    b = bars.dropna(subset=["ticker", "ts", "o", "h", "l", "c", "v"]).select(clean.ticker("ticker").alias("ticker"), "ts", "h", "l", "c", "v").dropDuplicates(["ticker", "ts"])
+    pv, v = F.sum((F.col("h") + F.col("l") + F.col("c")) / 3 * F.col("v")), F.sum(F.col("v").cast("double"))
+    last = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", F.col("v").cast("double").alias("v"))), lambda x, y: F.when(x["ts"] < y["ts"], -1).otherwise(1)), -5, 5), lambda x: x["v"])
+    # a session has at most as many bars as minutes
+    s = b.groupBy("ticker", clean.ny_date("ts").alias("session_date")).agg(pv.alias("pv"), v.alias("v"), F.count(F.lit(1)).alias("n"), last.alias("last"), F.max_by("c", "ts").alias("c"), F.max("ts").alias("ts"))
+    seed = F.struct("pv", "v", "n", "last", F.col("c").cast("double").alias("c"), F.coalesce(F.try_divide("pv", "v"), F.lit(0.0)).alias("vwap"), F.col("ts").alias("seen"))
+    return s.select("ticker", "session_date", seed.alias("seed"))
+
+
+def session_features(bars: DataFrame, stored: DataFrame | None = None, idle_hours: int = 48) -> DataFrame:
     """Features of a stream of bars (ticker, ts, o, h, l, c, v), as the batch operator gives them for bars in order: the state
     of a ticker and session is a few numbers, and each bar costs the same. A late or repeated bar (not after the last one of
     its session) is projected on the current state, marked late, and does not advance it; nothing is dropped. A new session
-    starts afresh. Bars without ticker, time, price or volume are left out."""
+    starts afresh. Bars without ticker, time, price or volume are left out.
+
+    stored: bars kept so far. A session without state begins from its stored bars, so a stream that starts in mid-session, or
+    has lost its state, goes on as if it had seen them; bars that are stored already count as repeated. State that
+    no bar has come for in idle_hours is dropped, so it is bounded by the sessions that are open."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = state.get if state.exists else (0.0, 0.0, 0, [], None, None, None)
-        s = (*s[:3], list(s[3]), *s[4:])
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
+        if state.exists:
+            s = state.get
+        else:
+            s = (0.0, 0.0, 0, [], None, None, None)
+            if seeded and rows["n"].iloc[0] > 0:
+                x = rows.iloc[0]
+                s = (x["pv"], x["sv"], int(x["n"]), x["last"], x["sc"], x["vwap"], x["seen"])
+        s = (*s[:3], list(s[3]), *s[4:])
         out = []
-        for b in rows.itertuples(index=False):
+        for b in rows[["ts", "o", "h", "l", "c", "v"]].itertuples(index=False):
             row, s = _one(key, b, s)
             out.append(row)
         state.update(s)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in FEATURES.split(", ")]) if out else pd.DataFrame()
+        state.setTimeoutDuration(idle_hours * 3_600_000)
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in FEATURES.split(", ")])
 
+    seeded = stored is not None
     ready = bars.dropna(subset=["ticker", "ts", "o", "h", "l", "c", "v"]).withColumn("session_date", clean.ny_date("ts"))
-    return ready.groupBy("ticker", "session_date").applyInPandasWithState(run, FEATURES, STATE, "append", GroupStateTimeout.NoTimeout)
+    if seeded:
+        # the stored bars are read with each batch
+        s = seeds(stored).select("ticker", "session_date", "seed.pv", F.col("seed.v").alias("sv"), "seed.n", "seed.last", F.col("seed.c").alias("sc"), "seed.vwap", "seed.seen")
+        ready = ready.join(s, ["ticker", "session_date"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return ready.groupBy("ticker", "session_date").applyInPandasWithState(run, FEATURES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def throttled(quotes: DataFrame, gap_ms: int = 100) -> DataFrame:
