@@ -63,15 +63,16 @@ def seeds(bars: DataFrame) -> DataFrame:
     return s.select("ticker", "session_date", seed.alias("seed"))
 
 
-def session_features(bars: DataFrame, stored: DataFrame | None = None, idle_hours: int = 48) -> DataFrame:
+def session_features(bars: DataFrame, stored: DataFrame | None = None, idle_hours: int = 168) -> DataFrame:
     """Features of a stream of bars (ticker, ts, o, h, l, c, v), as the batch operator gives them for bars in order: the state
     of a ticker and session is a few numbers, and each bar costs the same. A late or repeated bar (not after the last one of
-    its session) is projected on the current state, marked late, and does not advance it; nothing is dropped. A new session
-    starts afresh. Bars without ticker, time, price or volume are left out.
+    its session) is projected on the current state, marked late, and does not advance it. A new session starts afresh. Bars
+    without ticker, time, price or volume are left out.
 
     stored: bars kept so far. A session without state begins from its stored bars, so a stream that starts in mid-session, or
-    has lost its state, goes on as if it had seen them; bars that are stored already count as repeated. State that
-    no bar has come for in idle_hours is dropped, so it is bounded by the sessions that are open."""
+    has lost its state, goes on as if it had seen them; bars that are stored already count as repeated. State of
+    sessions whose last bar lies idle_hours behind the newest bar of the stream is dropped, so it is bounded by the sessions of
+    that time; so are bars that come later than that, and none besides."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -84,23 +85,23 @@ def session_features(bars: DataFrame, stored: DataFrame | None = None, idle_hour
             s = (0.0, 0.0, 0, [], None, None, None)
             if seeded and rows["n"].iloc[0] > 0:
                 x = rows.iloc[0]
-                s = (x["pv"], x["sv"], int(x["n"]), x["last"], x["sc"], x["vwap"], x["seen"])
+                s = (float(x["pv"]), float(x["sv"]), int(x["n"]), [float(v) for v in x["last"]], float(x["sc"]), float(x["vwap"]), x["seen"])
         s = (*s[:3], list(s[3]), *s[4:])
         out = []
         for b in rows[["ts", "o", "h", "l", "c", "v"]].itertuples(index=False):
             row, s = _one(key, b, s)
             out.append(row)
         state.update(s)
-        state.setTimeoutDuration(idle_hours * 3_600_000)
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000) + idle_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in FEATURES.split(", ")])
 
     seeded = stored is not None
-    ready = bars.dropna(subset=["ticker", "ts", "o", "h", "l", "c", "v"]).withColumn("session_date", clean.ny_date("ts"))
+    ready = bars.dropna(subset=["ticker", "ts", "o", "h", "l", "c", "v"]).withColumn("session_date", clean.ny_date("ts")).withWatermark("ts", f"{idle_hours} hours")
     if seeded:
         # the stored bars are read with each batch
         s = seeds(stored).select("ticker", "session_date", "seed.pv", F.col("seed.v").alias("sv"), "seed.n", "seed.last", F.col("seed.c").alias("sc"), "seed.vwap", "seed.seen")
         ready = ready.join(s, ["ticker", "session_date"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return ready.groupBy("ticker", "session_date").applyInPandasWithState(run, FEATURES, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ready.groupBy("ticker", "session_date").applyInPandasWithState(run, FEATURES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttled(quotes: DataFrame, gap_ms: int = 100) -> DataFrame:
