@@ -126,6 +126,23 @@ def test_reference_prices(spark):
 RECORD = "record_id bigint, ticker string, session_date_et date, regime string, features map<string,decimal(18,6)>"
 
 
+def test_analogues_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """A ticker with most of the records is spread over blocks by day; the caps hold over all of them."""
+    import random
+    from datetime import date, timedelta
+    from decimal import Decimal
+
+    r = random.Random(7)
+    keys = ["day_change_pct", "session_change_pct", "distance_to_vwap_pct", "rvol_vs_adv", "minutes_since_open", "return_last_5_bars_pct"]
+    stats = spark.createDataFrame([(k, Decimal(1)) for k in keys], "feature_key string, std_dev decimal(18,6)")
+    rows = [(i, r.choice("ABC") if i % 3 else "HOT", date(2026, 3, 1) + timedelta(days=r.randrange(9)), r.choice("xy"), {k: Decimal(r.randrange(300)) / 100 for k in keys}) for i in range(240)]
+    df = spark.createDataFrame(rows, "record_id bigint, ticker string, session_date_et date, regime string, features map<string,decimal(18,6)>")
+    q = df.filter("record_id < 40").withColumnRenamed("record_id", "query")
+    one = sorted(map(tuple, analogues.analogues(df, q, stats, 12).collect()))
+    monkeypatch.setattr(analogues, "BLOCK", 9)
+    assert sorted(map(tuple, analogues.analogues(df, q, stats, 12).collect())) == one and len(one) > 200
+
+
 def test_analogues_keep_to_the_caps(spark):
     one = lambda i, t, d, x: (i, t, date(2026, 1, d), "r", {k: Decimal(x) for k in "abcde"})
     data = [one(1, "A", 1, 1), one(2, "A", 1, 2), one(3, "A", 1, 3), one(4, "B", 1, 4), one(5, "A", 2, 5), one(6, "A", 3, 6), one(7, "A", 4, 7), one(8, "C", 9, 0), (9, "D", date(2026, 1, 1), "r", {"a": Decimal(0)})]

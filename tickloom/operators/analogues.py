@@ -55,9 +55,11 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
     ticker, not below 0; at least SHARED features must be known in both. Distances equal to nine digits go by
     record_id.
 
-    Records are dealt into blocks by ticker, so that what a block returns for a query keeps to the caps and its first n hold
-    all that can be among the query's n; the queries are asked in every block, a task for each block and batch of queries. A
-    ticker of more than BLOCK records is one block.
+    Records are dealt into blocks by ticker and day, so a ticker of any size is spread over blocks, and the cap for a ticker
+    and day is settled within one. A block returns its first n under both caps, and the cap for a ticker is applied once more
+    to what all blocks return. No record of the result is lost by that: where the last cap removes a record of a ticker, as
+    many better ones of the same ticker stand in its place. The queries are asked in every block, a task for each block and
+    batch of queries.
     Nulls: records without id, ticker or session date are left out; a null regime or setup is one of its own.
     """
     keys = [r["feature_key"] for r in stats.orderBy("feature_key").collect()]  # a small fixed table
@@ -74,9 +76,9 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
     many = queries.count()
     batches = max(1, min(-(-tasks // blocks), many // 200 + 1), many // BATCH + 1)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    part = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    rows = data.select(part("ticker", blocks).alias("block"), every(batches).alias("batch"), "*").unionAll(
-        asked.select(every(blocks).alias("block"), part("id", batches).alias("batch"), "*")
+    part = lambda k, *c: F.pmod(F.xxhash64(*c), F.lit(k)).cast("int")
+    rows = data.select(part(blocks, "ticker", "day").alias("block"), every(batches).alias("batch"), "*").unionAll(
+        asked.select(every(blocks).alias("block"), part(batches, "id").alias("batch"), "*")
     )
 
     def search(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +135,15 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
                     if len(order) == n or len(can) <= size:
                         break
                     size *= 4
-                out.append((np.full(len(order), ids[i]), ids[top[order]], dist[order], both[order].sum(1)))
-        cols_ = [np.concatenate(c) for c in zip(*out)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols_], ["query", "record_id", "distance", "shared"])
+                out.append((np.full(len(order), ids[i]), ids[top[order]], dist[order], both[order].sum(1), top[order]))
+        *cols_, at = (np.concatenate(c) for c in zip(*out))
+        named = t.column("ticker").combine_chunks().take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols_), named], ["query", "record_id", "distance", "shared", "ticker"])
 
     task = F.col("block") * batches + F.col("batch")
-    found = rows.withColumn("task", task).repartitionById(blocks * batches, "task").mapInArrow(search, "query bigint, record_id bigint, distance double, shared bigint")
+    found = rows.withColumn("task", task).repartitionById(blocks * batches, "task").mapInArrow(search, "query bigint, record_id bigint, distance double, shared bigint, ticker string")
+    own = Window.partitionBy("query", "ticker").orderBy("distance", "record_id")
+    found = found.withColumn("_t", F.row_number().over(own)).filter(F.col("_t") <= PER_TICKER).drop("_t", "ticker")
     w = Window.partitionBy("query").orderBy("distance", "record_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
