@@ -152,6 +152,11 @@ def unlabelled(docs):
     return sorted({r.text for r in docs.select("text").collect() if r.text})
 
 
+def test_a_model_without_labelled_rows_finds_nothing():
+    for m in (content.train([], [], [], []), content.train(["calm text here"], ["none"], ["word"], ["one more calm text. "])):
+        assert (m.documents(["you idiot", None, "", "a b c d"])[:, 0] < content.CUT).all()
+
+
 def test_held_out_accuracy(examples, docs):
     rows = examples.orderBy("example_id").collect()
     r = random.Random(6)

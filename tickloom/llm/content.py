@@ -265,8 +265,8 @@ def vocabulary(folder: str | None = None, names: tuple[str, ...] = ("byte_bpe_50
 
 #: Words of a phrase by which parts of labelled texts are known from texts of class none.
 PHRASE = 3
-#: Distinct texts without labels that a model is fitted on beside the labelled ones.
-UNLABELLED = 2_000
+#: Distinct texts without labels that a model is fitted on beside the labelled ones, and characters of such a text at most.
+UNLABELLED, LENGTH = 2_000, 50_000
 #: Share of the letter trigrams of both from which a word is close to another.
 CLOSE = 0.5
 
@@ -421,6 +421,9 @@ def _fit(cores: list[tuple[list[str], int]], background: list[list[list[str]]],
         if calm and rng.random() < 0.4:  # among words of the neutral examples
             ws += side(3)
         rows.append((ws, 0))
+    if not any(ws and k for ws, k in rows):  # no offence to learn from: nothing is found
+        return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS, bool), np.zeros((DIM, len(CLASSES))), np.where(np.arange(len(CLASSES)) == 0, 20.0, 0.0))
+    rows = [r for r in rows if r[0]]
     index, owner = [], []
     features = functools.lru_cache(None)(word_features)
     for i, (ws, _) in enumerate(rows):
@@ -476,11 +479,11 @@ _MODELS: dict[int, Model] = {}
 
 def fitted(examples: DataFrame, docs: DataFrame, text_col: str = "text") -> Model:
     """A model fitted on the labelled rows (text, category), on at most LABELLED of them, and on UNLABELLED distinct texts of
-    docs, each the smallest by a hash of the text; rows without text or with another category are left out. The same texts
+    docs of at most LENGTH characters, each the smallest by a hash of the text; rows without text or with another category are left out. The same texts
     give the same model, which is kept."""
     rows = examples.filter(F.col("text").isNotNull() & F.col("category").isin(CLASSES)).select("text", "category").distinct()
     rows = rows.orderBy(F.xxhash64("text"), "text", "category").limit(LABELLED).collect()
-    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    texts = docs.select(F.col(text_col).alias("text")).filter(F.length("text") <= LENGTH).groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
     texts = [r["text"] for r in texts.orderBy("h").limit(UNLABELLED).collect()]
     key = hash((tuple(map(tuple, rows)), tuple(texts)))
     if key not in _MODELS:
