@@ -49,6 +49,11 @@ def test_similar_pairs_loses_none(spark, monkeypatch, cell):
         assert x.distance == pytest.approx(d[x.id_a, x.id_b], abs=1e-9) and x.shared == n[x.id_a, x.id_b]
 
 
+    linked = {x.id: x for x in similar.links(df, 12, 0.02, 10).collect()}
+    assert {i: linked[i].links for i in range(240)} == {i: sum(i in p for p in want) for i in range(240)}
+    assert {linked[i]["class"] for i in range(200, 230)} == {200 if np.isnan(z[5]).any() else 5}
+
+
 def test_similar_pairs_of_an_empty_table(spark):
     assert similar.similar_pairs(spark.createDataFrame([], VEC), 12, 0.02, 10).count() == 0
 

@@ -29,6 +29,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar.similar_pairs(v, FEATURES, 0.02, 10).select(F.col("id_a").alias("record_id_a"), F.col("id_b").alias("record_id_b"))
 
 
+@R.query(
+    "p1_links",
+    f"""{DISTANCES},
+ d as (select a.record_id as a, b.record_id as b, sqrt(avg((a.z - b.z) ** 2)) as d, count(*) as n from z a join z b on a.feature_key = b.feature_key and a.record_id <> b.record_id group by 1, 2),
+ links as (select a, count(*) as links from d where n >= 10 and d <= 0.02 group by 1),
+ known as (select record_id, list((feature_key, z) order by feature_key) as v from z group by 1)
+select record_id, min(record_id) over (partition by v) as class_id, coalesce(links, 0) as links from known left join links on a = record_id
+""",
+)
+def p1_links(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each record: the class of equal feature vectors it is of, by its smallest record, and how many similar
+    records p1_found pairs it with, without writing the pairs."""
+    v = similar.record_vectors(table(spark, folder, "analogue_record"), table(spark, folder, "feature_stat"), centre=False)
+    return similar.links(v, FEATURES, 0.02, 10).select(F.col("id").alias("record_id"), F.col("class").alias("class_id"), "links")
+
+
 @R.query("p1_nearest")
 def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar other records of every record."""

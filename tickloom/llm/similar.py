@@ -54,22 +54,10 @@ def _basis(dims: int, seed: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(dims, dims)))[0]
 
 
-def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: int, seed: int = 7) -> DataFrame:
-    """All pairs of vectors with at least least_shared components known in both and a distance of at most radius: id_a < id_b,
-    distance, shared.
-
-    The components are dealt into dims - least_shared + 1 groups, so that any such pair has a group that both know fully. In
-    each group the projections on an orthonormal basis are the hash functions. The first ones route the vectors: a vector is
-    kept in one cell of a grid on them and asks in each cell its window reaches. In a cell the last projection of the group is
-    the sorted array that the windows are cut from, radius * sqrt(dims) to either side, which no such pair exceeds. Collisions
-    are then counted over the projections that both have, in windows of radius * sqrt(dims / (SPARE + 1)): the squares of
-    the differences add up to radius^2 * dims at most, so no more than SPARE of them lie outside, and what collides in all
-    but SPARE is verified by distance. None is lost. Cells of more than CELL vectors are dealt into blocks that are asked
-    apart, so a crowded cell is spread over tasks. Equal vectors are taken together (one representative, see `classes`), and
-    only their pairs are written out one by one.
-
-    Nulls: see distinct_vectors. An empty table gives no rows.
-    """
+def class_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: int, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The similar pairs between classes of equal vectors, which stand for all pairs: (id_a, id_b, distance, shared) of the
+    classes' smallest ids; the members (id, vec); and the classes (vec, id, n). A class of n equal vectors is one row here,
+    whatever n is. See similar_pairs."""
     groups = max(1, dims - least_shared + 1)
     parts = [list(range(g, dims, groups)) for g in range(groups)]
     bases = [_basis(len(p), seed + g) for g, p in enumerate(parts)]
@@ -187,6 +175,26 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["id_a", "id_b", "distance", "shared"])
 
     pairs = routed.repartition(n_parts, "cell", "block").mapInArrow(match, "id_a bigint, id_b bigint, distance double, shared bigint")
+    return pairs, members, classes
+
+
+def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: int, seed: int = 7) -> DataFrame:
+    """All pairs of vectors with at least least_shared components known in both and a distance of at most radius: id_a < id_b,
+    distance, shared.
+
+    The components are dealt into dims - least_shared + 1 groups, so that any such pair has a group that both know fully. In
+    each group the projections on an orthonormal basis are the hash functions. The first ones route the vectors: a vector is
+    kept in one cell of a grid on them and asks in each cell its window reaches. In a cell the last projection of the group is
+    the sorted array that the windows are cut from, radius * sqrt(dims) to either side, which no such pair exceeds. Collisions
+    are then counted over the projections that both have, in windows of radius * sqrt(dims / (SPARE + 1)): the squares of
+    the differences add up to radius^2 * dims at most, so no more than SPARE of them lie outside, and what collides in all
+    but SPARE is verified by distance. None is lost. Cells of more than CELL vectors are dealt into blocks that are asked
+    apart, so a crowded cell is spread over tasks. Equal vectors are taken together (one representative, see `classes`), and
+    only their pairs are written out one by one.
+
+    Nulls: see distinct_vectors. An empty table gives no rows.
+    """
+    pairs, members, classes = class_pairs(vectors, dims, radius, least_shared, seed)
     # members of the classes: of two different ones, and within one
     shared = F.size(F.filter("vec", lambda x: x.isNotNull()))
     of = members.join(classes.filter("n > 1").select("vec", F.col("id").alias("head"), F.ceil(F.col("n") / COPIES).cast("int").alias("parts")), "vec")
@@ -203,6 +211,19 @@ def similar_pairs(vectors: DataFrame, dims: int, radius: float, least_shared: in
     return across.unionAll(within.select("id_a", "id_b", F.lit(0.0).alias("distance"), "shared"))
 
 
+def links(vectors: DataFrame, dims: int, radius: float, least_shared: int, seed: int = 7) -> DataFrame:
+    """One row for each vector: id, class (the smallest id of the vectors equal to it) and links, the number of other vectors
+    that similar_pairs pairs it with. Pairs are counted between classes, so equal vectors cost no more than one."""
+    pairs, members, classes = class_pairs(vectors, dims, radius, least_shared, seed)
+    both = pairs.select(F.col("id_a").alias("head"), F.col("id_b").alias("other")).unionAll(pairs.select("id_b", "id_a"))
+    size = classes.select(F.col("id").alias("other"), "n")
+    across = both.join(size, "other").groupBy("head").agg(F.sum("n").alias("across"))
+    within = F.when(F.size(F.filter("vec", lambda x: x.isNotNull())) >= least_shared, F.col("n") - 1).otherwise(F.lit(0))
+    of = classes.select("vec", F.col("id").alias("head"), within.alias("within")).join(across, "head", "left")
+    of = of.select("vec", F.col("head").alias("class"), (F.col("within") + F.coalesce("across", F.lit(0))).alias("links"))
+    return members.join(of, "vec").select("id", "class", "links")
+
+
 #: Half-width of a window over the radius that it is to cover, and the share of the arrays known to both in whose windows a
 #: vector must lie to be verified. A vector within the radius lies in a window with probability 0.77.
 REACH, THRESHOLD = 1.2, 2 / 3
