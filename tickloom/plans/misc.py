@@ -94,15 +94,19 @@ def unresolved_scenarios(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.query(
     "decision_changes",
-    f"""with {RECORDS}, c as (select *, lag(raw_verdict) over w is distinct from raw_verdict or lag(regime) over w is distinct from regime or row_number() over w = 1 as changed from rec window w as (partition by ticker order by as_of_utc, record_id))
+    f"""with {RECORDS}, s as (select record_id, unnest(scenarios) as s, generate_subscripts(scenarios, 1) as i from rec), top as (select record_id, arg_min(struct_pack(e := s.entry_type), (coalesce(s.scenario_rank, 2147483647), i)).e as top from s group by 1),
+ r as (select rec.*, top from rec left join top using (record_id)),
+ c as (select *, lag(raw_verdict) over w is distinct from raw_verdict or lag(top) over w is distinct from top or row_number() over w = 1 as changed from r window w as (partition by ticker order by as_of_utc, record_id))
 select record_id, ticker, changed, changed or upper(raw_verdict) = 'TRADE' or minute(as_of_utc) % 15 = 0 as captured from c""",
 )
 def decision_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a record's verdict or regime differs from its ticker's record before it, and whether it is captured: a change, a
-    trade, or a quarter of an hour."""
+    """Whether a record's verdict or the entry type of its first scenario by rank differs from its ticker's record before it, and
+    whether it is captured: a change, a trade, or a quarter of an hour."""
     from tickloom.operators.analogues import distinct_records
 
-    r = merge.changes(distinct_records(table(spark, folder, "analogue_record")), "ticker", ["as_of_utc", "record_id"], [F.col("raw_verdict"), F.col("regime")])
+    ranked = F.transform("scenarios", lambda s, i: F.struct(F.coalesce(s["scenario_rank"], F.lit(2147483647)).alias("r"), i.alias("i"), s["entry_type"].alias("e")))
+    top = F.array_min(ranked)["e"]
+    r = merge.changes(distinct_records(table(spark, folder, "analogue_record")), "ticker", ["as_of_utc", "record_id"], [F.col("raw_verdict"), top])
     return r.select("record_id", "ticker", "changed", (F.col("changed") | (F.upper("raw_verdict") == "TRADE") | (F.minute("as_of_utc") % 15 == 0)).alias("captured"))
 
 
