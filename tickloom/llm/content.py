@@ -316,9 +316,8 @@ class Suspects:
         return best[1] if best[0] >= CLOSE else None
 
     def has(self, ws: list[str]) -> bool:
-        """Whether a piece has a rare offending word, or two pairs of offending words as offending texts have them."""
-        found = [self.like(w) for w in ws]
-        return any(w in self.rare for w in found) or sum(p in self.pairs for n in (1, 2) for p in zip(found, found[n:])) > 1
+        """Whether a piece has a word like a rare offending one, or a pair of offending words as offending texts have it."""
+        return any(self.like(w) in self.rare for w in ws) or any(p in self.pairs for n in (1, 2) for p in zip(ws, ws[n:]))
 
 
 def train(texts: list[str], labels: list[str], vocabulary: list[str], unlabelled: list[str] = (), seed: int = 5, epochs: int = 15) -> Model:
