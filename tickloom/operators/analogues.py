@@ -20,7 +20,10 @@ REGIME_PENALTY, SAME_TICKER = 0.35, -0.05
 #: Most records of one ticker and day, and of one ticker, among a query's analogues; features that must be known in both.
 PER_DAY, PER_TICKER, SHARED = 2, 4, 5
 #: Records of a block, and queries asked together in it.
-BLOCK, BATCH = 20_000, 20_000
+BLOCK, BATCH = 600_000, 50_000
+#: Queries and records of one product, the records of a query's first slice, pairs that are settled together, and regimes that
+#: lie apart.
+TILE, COLUMNS, FIRST, MOST, REGIMES = 256, 2048, 2048, 1_000_000, 7
 
 
 def distinct_records(records: DataFrame) -> DataFrame:
@@ -56,10 +59,10 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
     record_id.
 
     Records are dealt into blocks by ticker and day, so a ticker of any size is spread over blocks, and the cap for a ticker
-    and day is settled within one. A block returns its first n under both caps, and the cap for a ticker is applied once more
-    to what all blocks return. No record of the result is lost by that: where the last cap removes a record of a ticker, as
-    many better ones of the same ticker stand in its place. The queries are asked in every block, a task for each block and
-    batch of queries.
+    and day is settled within one. A block returns its first n under both caps, and with several blocks the cap for a ticker is
+    applied once more to what all blocks return. No record of the result is lost by that: where the last cap removes a record
+    of a ticker, as many better ones of the same ticker stand in its place. The queries are asked in every block, a task for
+    each block and batch of queries; see _Block for the search.
     Nulls: records without id, ticker or session date are left out; a null regime or setup is one of its own.
     """
     keys = [r["feature_key"] for r in stats.orderBy("feature_key").collect()]  # a small fixed table
@@ -72,7 +75,7 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
     data = records.select(F.lit(True).alias("kept"), F.col("record_id").alias("id"), *cols(records))
     asked = queries.select(F.lit(False).alias("kept"), F.col("query").alias("id"), *cols(queries))
     blocks = records.count() // BLOCK + 1
-    tasks = 4 * records.sparkSession.sparkContext.defaultParallelism
+    tasks = 2 * records.sparkSession.sparkContext.defaultParallelism
     many = queries.count()
     batches = max(1, min(-(-tasks // blocks), many // 200 + 1), many // BATCH + 1)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -86,68 +89,255 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
         if not held:
             return
         t = pa.Table.from_batches(held)
+        del held
+        z = pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        t = t.drop_columns(["vec"])
         kept, ids, days = (t.column(c).to_numpy() for c in ("kept", "id", "day"))
-        z = pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
         code = {}
         for c in ("ticker", "regime", "setup"):
             e = t.column(c).combine_chunks()
             e = e.dictionary_encode() if isinstance(e, pa.Array) else e.combine_chunks().dictionary_encode()
             code[c] = e.indices.fill_null(-1).to_numpy()
-        d, q = np.flatnonzero(kept), np.flatnonzero(~kept)
+            if c == "ticker":
+                names = e.dictionary
+        enough = (~np.isnan(z)).sum(1) >= SHARED  # others share too few with any
+        d, q = np.flatnonzero(kept & enough), np.flatnonzero(~kept & enough)
         if not len(d) or not len(q):
             return
-        d = d[np.argsort(ids[d], kind="stable")]
-        known, x = ~np.isnan(z), np.nan_to_num(z)
-        tick_day = code["ticker"].astype(np.int64) * 100_000 + days
-        out, kd = [], known[d].astype(float)
-        xd = x[d] * kd
-
-        def extra(i: int, at: np.ndarray) -> np.ndarray:
-            return REGIME_PENALTY * (code["regime"][i] != code["regime"][at]) + SAME_TICKER * (code["ticker"][i] == code["ticker"][at])
-
-        for lo in range(0, len(q), 64):
-            part_ = q[lo : lo + 64]
-            kq = known[part_].astype(float)
-            xq = x[part_] * kq
-            # all pairs by matrix products, near enough to choose from; the chosen are computed again
-            total = (weight * xq**2) @ kd.T - 2 * (weight * xq) @ xd.T + (weight * kq) @ (xd**2).T
-            with np.errstate(all="ignore"):
-                rough = np.sqrt(np.maximum(total, 0) / ((weight * kq) @ kd.T))
-            rough += REGIME_PENALTY * (code["regime"][part_][:, None] != code["regime"][d][None]) + SAME_TICKER * (code["ticker"][part_][:, None] == code["ticker"][d][None])
-            rough = np.maximum(rough, 0)
-            ok = (kq @ kd.T >= SHARED) & (days[d][None] < days[part_][:, None]) & (code["setup"][part_][:, None] == code["setup"][d][None])
-            for r, i in enumerate(part_):
-                can = np.flatnonzero(ok[r])
-                size = 8 * n
-                while True:  # the nearest few first, more if the caps leave too few
-                    cut = np.partition(rough[r, can], size)[size] if len(can) > size else np.inf
-                    top = d[can[rough[r, can] <= cut + 1e-6]]
-                    both = known[top] & known[i]
-                    total_, norm = np.zeros(len(top)), np.zeros(len(top))
-                    for j, w in enumerate(weight):
-                        total_ += both[:, j] * (w * (x[top, j] - x[i, j]) ** 2)
-                        norm += both[:, j] * w
-                    dist = np.round(np.maximum(np.sqrt(total_ / norm) + extra(i, top), 0), 9)
-                    order = np.lexsort((ids[top], dist))
-                    order = order[dist[order] <= max(cut, 0) + 1e-9]
-                    order = order[_nth(tick_day[top[order]]) < PER_DAY]
-                    order = order[_nth(code["ticker"][top[order]]) < PER_TICKER][:n]
-                    if len(order) == n or len(can) <= size:
-                        break
-                    size *= 4
-                out.append((np.full(len(order), ids[i]), ids[top[order]], dist[order], both[order].sum(1), top[order]))
-        *cols_, at = (np.concatenate(c) for c in zip(*out))
-        named = t.column("ticker").combine_chunks().take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([*map(pa.array, cols_), named], ["query", "record_id", "distance", "shared", "ticker"])
+        side = lambda at: (ids[at], days[at], code["ticker"][at], code["regime"][at], code["setup"][at], z[at])
+        held_, asked_ = side(d), side(q)
+        del z, t
+        for query, record, dist, shared, rank, ticker in _Block(held_, weight, n).search(*asked_):
+            out = [*map(pa.array, (query, record, dist, shared, rank.astype(np.int32))), names.take(pa.array(ticker))]
+            yield pa.RecordBatch.from_arrays(out, ["query", "record_id", "distance", "shared", "rank", "ticker"])
 
     task = F.col("block") * batches + F.col("batch")
-    found = rows.withColumn("task", task).repartitionById(blocks * batches, "task").mapInArrow(search, "query bigint, record_id bigint, distance double, shared bigint, ticker string")
+    kind = "query bigint, record_id bigint, distance double, shared bigint, rank int, ticker string"
+    found = rows.withColumn("task", task).repartitionById(blocks * batches, "task").mapInArrow(search, kind)
+    if blocks == 1:  # one task has seen all records
+        return found.drop("ticker")
     own = Window.partitionBy("query", "ticker").orderBy("distance", "record_id")
-    found = found.withColumn("_t", F.row_number().over(own)).filter(F.col("_t") <= PER_TICKER).drop("_t", "ticker")
+    found = found.drop("rank").withColumn("_t", F.row_number().over(own)).filter(F.col("_t") <= PER_TICKER).drop("_t", "ticker")
     w = Window.partitionBy("query").orderBy("distance", "record_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+class _Block:
+    """The records of a block, laid out for exact search by matrix products, by setup, regime and day.
+
+    A pair lies within T if the weighted sum over the shared features of (difference squared - T squared) is not above 0. As
+    the known features are columns of their own, that is one product of a row for the query, which holds its T, and a column
+    for the record, whatever features are known. T is what the query's n-th analogue so far lets in, so hardly any pair is
+    more than one figure compared with 0. Products are in single precision where that is fine enough; a bound of their error is
+    part of the row and the column, so no pair within T is missed. Pairs that pass are computed exactly. The query's own
+    regime comes first, in slices that grow as T shrinks; for another one T is less by the penalty.
+    """
+
+    def __init__(self, records: tuple, weight: np.ndarray, n: int) -> None:
+        ids, days, ticker, regime, setup, z = records
+        self.weight, self.n = weight, n
+        sizes = np.bincount(regime + 1)
+        large = np.argsort(-sizes, kind="stable")[:REGIMES]
+        self.layout = np.full(len(sizes), REGIMES)  # regimes beyond the largest ones lie together
+        self.layout[large] = np.arange(len(large))
+        self.mixed = len(sizes) > REGIMES
+        group = setup.astype(np.int64) * (REGIMES + 1) + self.layout[regime + 1]
+        order = np.lexsort((days, group))
+        self.ids, self.days, self.ticker, self.regime, self.group = (c[order] for c in (ids, days, ticker, regime, group))
+        z = z[order]
+        self.known = ~np.isnan(z)
+        self.x = np.nan_to_num(z)
+        self.centre = self.x.sum(0) / np.maximum(self.known.sum(0), 1)
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[self.by_id] = np.arange(len(order))
+        self.bits = len(order).bit_length()
+        near = (self.x - self.centre) * self.known
+        size = near**2 @ weight
+        terms = 3 * len(weight) + 10
+        single = 1.1 * terms * 2.0**-24
+        self.kind, self.unit = np.float32, single
+        if (size * single > 0.02).mean() > 0.001 or size.max() > 1e30:
+            self.kind, self.unit = np.float64, 1.1 * terms * 2.0**-53
+        ones = np.ones(len(order))
+        self.columns = np.empty((3 * len(weight) + 2, len(order)), self.kind)
+        f = len(weight)
+        self.columns[:f], self.columns[f : 2 * f], self.columns[2 * f : 3 * f] = self.known.T, near.T, (near**2).T
+        self.columns[3 * f], self.columns[3 * f + 1] = ones, -2 * self.unit * size
+        self.values, self.passed = np.empty(TILE * COLUMNS, self.kind), np.zeros(TILE * COLUMNS + 8, bool)
+
+    def search(self, ids: np.ndarray, days: np.ndarray, ticker: np.ndarray, regime: np.ndarray, setup: np.ndarray, z: np.ndarray) -> Iterator[tuple]:
+        """(query, record, distance, shared, rank, ticker) of the queries' first n under both caps."""
+        at = np.minimum(regime + 1, len(self.layout) - 1)
+        own = np.where(regime + 1 < len(self.layout), self.layout[at], REGIMES)
+        group = setup.astype(np.int64) * (REGIMES + 1) + own
+        order = np.lexsort((days, group))
+        cuts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
+        for lo, hi in zip(cuts, cuts[1:]):
+            for k in range(lo, hi, TILE):
+                q = order[k : min(k + TILE, hi)]
+                zq = z[q]
+                found = _Tile(self, days[q], ticker[q], regime[q], zq).search(int(group[q[0]]))
+                if found is not None:
+                    row, col, dist, shared, rank = found
+                    yield ids[q][row], self.ids[col], dist, shared, rank, self.ticker[col]
+
+
+class _Tile:
+    """Up to TILE queries of one setup and regime, and their analogues so far: row of the query, distance and rank of the
+    record's id, in this order."""
+
+    def __init__(self, block: _Block, days: np.ndarray, ticker: np.ndarray, regime: np.ndarray, z: np.ndarray) -> None:
+        self.b, self.days, self.ticker, self.regime = block, days, ticker, regime
+        self.known, self.x = ~np.isnan(z), np.nan_to_num(z)
+        self.near = (self.x - block.centre) * self.known
+        self.size = self.near**2 @ block.weight
+        self.row, self.dist, self.rank = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.limit = np.full(len(days), np.inf)
+
+    def search(self, group: int) -> tuple | None:
+        b = self.b
+        setup, own = divmod(group, REGIMES + 1)
+        for g in [own, *(g for g in range(REGIMES + 1) if g != own)]:
+            lo, hi = np.searchsorted(b.group, [setup * (REGIMES + 1) + g, setup * (REGIMES + 1) + g + 1])
+            hi = lo + np.searchsorted(b.days[lo:hi], self.days.max())
+            extra = 0.0 if g == own else REGIME_PENALTY
+            step = FIRST
+            while lo < hi:
+                lo = self._slice(lo, min(hi, lo + step), extra)
+                step *= 4
+        if not len(self.row):
+            return None
+        col = b.by_id[self.rank]
+        shared = (b.known[col] & self.known[self.row]).sum(1)
+        return self.row, col, self.dist, shared, _place(self.row) + 1
+
+    def _slice(self, lo: int, hi: int, extra: float) -> int:
+        """Takes in the records lo to hi, or fewer if very many pass; returns up to where."""
+        b = self.b
+        if np.isinf(self.limit).any():
+            self._guess(lo, min(hi, lo + FIRST))
+        reach = self.limit - extra - SAME_TICKER + 1e-8
+        live = np.flatnonzero(reach >= 0)
+        if not len(live):
+            return hi
+        w, t2 = b.weight, np.where(np.isinf(reach[live]), 0, reach[live]) ** 2
+        k, x = self.known[live], self.near[live]
+        share = w * k
+        a = np.concatenate([share * (x**2 - t2[:, None]), -2 * share * x, share, -(b.unit * (2 * self.size[live] + t2 * w.sum()))[:, None], np.ones((len(live), 1))], axis=1)
+        a[np.isinf(reach[live])] = 0  # all pass
+        a = a.astype(b.kind)
+        got_r, got_c, count = [], [], 0
+        while lo < hi and count < MOST:
+            width = min(COLUMNS, hi - lo)
+            size = len(live) * width
+            values = b.values[:size].reshape(len(live), width)
+            np.matmul(a, b.columns[:, lo : lo + width], out=values)
+            np.less_equal(b.values[:size], 0, out=b.passed[:size])
+            up = -(-size // 8) * 8
+            b.passed[size:up] = False
+            words = np.flatnonzero(b.passed[:up].view(np.uint64))  # eight at once, as few pass
+            if len(words):
+                i, j = np.nonzero(b.passed[:up].reshape(-1, 8)[words])
+                r, c = np.divmod(words[i] * 8 + j, width)
+                r, c = live[r], c + lo
+                ok = b.days[c] < self.days[r]
+                got_r.append(r[ok])
+                got_c.append(c[ok])
+                count += len(got_r[-1])
+            lo += width
+        if count:
+            self._settle(*self._exact(np.concatenate(got_r), np.concatenate(got_c)))
+        return lo
+
+    def _exact(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, distance and rank of those pairs that share enough and lie within the row's limit."""
+        b = self.b
+        out = []
+        for k in range(0, max(len(row), 1), 100_000):
+            r, c = row[k : k + 100_000], col[k : k + 100_000]
+            both = b.known[c] & self.known[r]
+            square = both * (b.weight * (b.x[c] - self.x[r]) ** 2)
+            share = both * b.weight
+            total, norm = np.zeros(len(r)), np.zeros(len(r))
+            for j in range(len(b.weight)):
+                total += square[:, j]
+                norm += share[:, j]
+            with np.errstate(all="ignore"):
+                dist = np.sqrt(total / norm) + (REGIME_PENALTY * (self.regime[r] != b.regime[c]) + SAME_TICKER * (self.ticker[r] == b.ticker[c]))
+            dist = np.round(np.maximum(dist, 0), 9)
+            ok = (both.sum(1) >= SHARED) & (dist <= self.limit[r])
+            out.append((r[ok], dist[ok], b.rank[c[ok]]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _guess(self, lo: int, hi: int) -> None:
+        """Limits of the queries that have none, from the nearest few of some records: what more records bring is only nearer."""
+        b, f = self.b, len(self.b.weight)
+        rows = np.flatnonzero(np.isinf(self.limit))
+        few = 3 * self.b.n
+        if hi - lo <= few:
+            return
+        share = b.weight * self.known[rows]
+        a = np.concatenate([share * self.near[rows] ** 2, -2 * share * self.near[rows], share], axis=1).astype(b.kind)
+        with np.errstate(all="ignore"):
+            rough = (a @ b.columns[: 3 * f, lo:hi]) / (share.astype(b.kind) @ b.columns[:f, lo:hi])
+        rough[np.isnan(rough) | (b.days[lo:hi][None] >= self.days[rows][:, None])] = np.inf
+        c = np.argpartition(rough, few, axis=1)[:, :few]
+        r = np.repeat(rows, few)
+        c = c.ravel() + lo
+        ok = b.days[c] < self.days[r]
+        row, dist, rank = self._exact(r[ok], c[ok])
+        row, dist, _ = self._capped(np.r_[self.row, row], np.r_[self.dist, dist], np.r_[self.rank, rank])
+        self.limit = np.minimum(self.limit, self._limits(row, dist))
+
+    def _settle(self, row: np.ndarray, dist: np.ndarray, rank: np.ndarray) -> None:
+        self.row, self.dist, self.rank = self._capped(np.r_[self.row, row], np.r_[self.dist, dist], np.r_[self.rank, rank])
+        self.limit = np.minimum(self.limit, self._limits(self.row, self.dist))
+
+    def _limits(self, row: np.ndarray, dist: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.limit), np.inf)
+        last = _place(row) == self.b.n - 1
+        out[row[last]] = dist[last]
+        return out
+
+    def _capped(self, row: np.ndarray, dist: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs in order of row, distance and id, as far as both caps and n let them in."""
+        b = self.b
+        whole = np.rint(dist * 1e9)
+        room = 55 - b.bits  # TILE rows take eight of 63 bits
+        if room > 0 and (not len(whole) or whole.max() < 2.0**room):
+            key = row << (b.bits + room) | whole.astype(np.int64) << b.bits | rank
+            key.sort()
+            row, dist, rank = key >> (b.bits + room), (key >> b.bits & ((1 << room) - 1)) / 1e9, key & ((1 << b.bits) - 1)
+        else:
+            order = np.lexsort((rank, dist, row))
+            row, dist, rank = row[order], dist[order], rank[order]
+        col = b.by_id[rank]
+        ticker = b.ticker[col].astype(np.int64)
+        key = (row * (ticker.max(initial=0) + 1) + ticker) << 24 | np.arange(len(row))
+        key.sort()
+        of, place = key >> 24, key & ((1 << 24) - 1)
+        nth = _place(of)
+        crowd = np.isin(of, of[nth == PER_DAY]) if (nth == PER_DAY).any() else np.zeros(len(of), bool)
+        keep = np.ones(len(row), bool)
+        if crowd.any():  # only tickers of more records than a day may have can be capped
+            of, place = of[crowd], place[crowd]
+            days = b.days[col[place]].astype(np.int64)
+            ok = _nth(of * (days.max() - days.min() + 1) + days - days.min()) < PER_DAY
+            keep[place[~ok]] = False
+            of, place = of[ok], place[ok]
+            keep[place[_place(of) >= PER_TICKER]] = False
+        row, dist, rank = row[keep], dist[keep], rank[keep]
+        first = _place(row) < b.n
+        return row[first], dist[first], rank[first]
+
+
+def _place(group: np.ndarray) -> np.ndarray:
+    """How many rows before it the row's group has, where groups lie together."""
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
+    return np.arange(len(group)) - np.repeat(start, np.diff(np.r_[start, len(group)]))
+
+
 def _nth(group: np.ndarray) -> np.ndarray:
     """How many earlier rows have the row's group."""
     order = np.argsort(group, kind="stable")
