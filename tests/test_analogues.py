@@ -64,3 +64,26 @@ def test_a_setup_is_searched_alone():
     seen = []
     assert _search(data, asked, WEIGHT, 24, seen) == _one_by_one(data, asked, WEIGHT, 24)
     assert sum(seen) < 3 * len(data[0])  # before, each query was compared with all records: here ten setups' queries with a tenth each
+
+
+def test_few_pairs_are_computed_exactly(monkeypatch):
+    for seed, regimes in ((2, 4), (3, 12)):  # more regimes than lie apart
+        data = _records(5_000, seed, regimes=regimes)
+        usual = tuple(c[500:] for c in data)  # without those far out
+        exact, pairs = analogues._Tile._exact, []
+        monkeypatch.setattr(analogues._Tile, "_exact", lambda self, row, col, f=exact: (pairs.append(len(row)), f(self, row, col))[1])
+        asked = _some(usual, 150)
+        assert _search(usual, asked, WEIGHT, 24) == _one_by_one(usual, asked, WEIGHT, 24)
+        assert sum(pairs) < 0.25 * 150 * len(usual[0])  # before, all pairs were brought into figures, sorted out query by query
+        monkeypatch.setattr(analogues._Tile, "_exact", exact)
+
+
+def test_slices_tiles_and_large_distances(monkeypatch):
+    monkeypatch.setattr(analogues, "TILE", 7)
+    monkeypatch.setattr(analogues, "COLUMNS", 50)
+    monkeypatch.setattr(analogues, "FIRST", 90)
+    monkeypatch.setattr(analogues, "MOST", 400)
+    for seed, tickers in ((4, 3), (5, 400)):  # three tickers cannot give 24 analogues
+        data = _records(1_500, seed, setups=2, tickers=tickers)
+        asked = _some(data, 120)
+        assert _search(data, asked, WEIGHT, 24) == _one_by_one(data, asked, WEIGHT, 24)
