@@ -87,3 +87,25 @@ def test_slices_tiles_and_large_distances(monkeypatch):
         data = _records(1_500, seed, setups=2, tickers=tickers)
         asked = _some(data, 120)
         assert _search(data, asked, WEIGHT, 24) == _one_by_one(data, asked, WEIGHT, 24)
+
+
+def test_one_block_is_ranked_once(spark, monkeypatch):
+    """What a task returns of all records is ranked already; only with several blocks are their results ranked again."""
+    import random
+    from datetime import date, timedelta
+    from decimal import Decimal
+
+    r = random.Random(3)
+    keys = ["day_change_pct", "session_change_pct", "distance_to_vwap_pct", "rvol_vs_adv", "minutes_since_open"]
+    stats = spark.createDataFrame([(k, Decimal(1)) for k in keys], "feature_key string, std_dev decimal(18,6)")
+    form = lambda: (r.choice(["long", "SHORT"]), r.choice("ab"), True, r.choice(["PREFERRED", "x"]), r.random() < 0.5, r.random() < 0.5, r.choice(["STOP_BEFORE_T1", None]), Decimal(r.randrange(9)))
+    rows = [(i, r.choice("ABCDE"), None, date(2026, 3, 1) + timedelta(days=r.randrange(6)), "x", {k: Decimal(r.randrange(300)) / 100 for k in keys}, [form() for _ in range(i % 3)]) for i in range(120)]
+    kind = "scenarios array<struct<direction string, entry_type string, structurally_valid boolean, selection_tier string, triggered boolean, t1_before_stop boolean, primary_outcome string, resolved_r decimal(18,6)>>"
+    df = spark.createDataFrame(rows, f"record_id bigint, ticker string, as_of_utc timestamp, session_date_et date, regime string, features map<string,decimal(18,6)>, {kind}")
+    q = df.withColumnRenamed("record_id", "query")
+    out = analogues.setup_aggregates(df, q, stats)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    one = sorted(map(str, out.collect()))
+    monkeypatch.setattr(analogues, "BLOCK", 9)
+    many = analogues.setup_aggregates(df, q, stats)
+    assert "Window" in many._jdf.queryExecution().optimizedPlan().toString() and sorted(map(str, many.collect())) == one and len(one) > 100
