@@ -140,7 +140,6 @@ class _Block:
         large = np.argsort(-sizes, kind="stable")[:REGIMES]
         self.layout = np.full(len(sizes), REGIMES)  # regimes beyond the largest ones lie together
         self.layout[large] = np.arange(len(large))
-        self.mixed = len(sizes) > REGIMES
         group = setup.astype(np.int64) * (REGIMES + 1) + self.layout[regime + 1]
         order = np.lexsort((days, group))
         self.ids, self.days, self.ticker, self.regime, self.group = (c[order] for c in (ids, days, ticker, regime, group))
