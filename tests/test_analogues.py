@@ -89,6 +89,34 @@ def test_slices_tiles_and_large_distances(monkeypatch):
         assert _search(data, asked, WEIGHT, 24) == _one_by_one(data, asked, WEIGHT, 24)
 
 
+def test_far_leaves_are_left_out(monkeypatch):
+    monkeypatch.setattr(analogues, "LEAF", 64, raising=False)
+    data = _records(8_000, 6, regimes=1)
+    r = np.random.default_rng(7)
+    data[5][:] = r.normal(size=(30, 12))[r.integers(0, 30, 8_000)] * 4 + r.normal(size=(8_000, 12)) * 0.3  # thirty clusters
+    data[5][:1_500, 3] = np.nan  # a form of its own, and many rare ones
+    data[5][1_500:2_000][r.random((500, 12)) < 0.1] = np.nan
+    asked, pairs, matmul = _some(data, 200), [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: (pairs.append(out.size), matmul(a, b, out=out))[1])
+    expected = _one_by_one(data, asked, WEIGHT, 24)
+    assert _search(data, asked, WEIGHT, 24) == expected and len(expected) > 4_000
+    assert sum(pairs) < 0.25 * 200 * 8_000  # before, all earlier records: half of them
+
+
+def test_small_leaves_stages_and_own_tickers(monkeypatch):
+    for name, value in (("LEAF", 16), ("NEAR", 2), ("OWN", 30), ("TILE", 64)):
+        monkeypatch.setattr(analogues, name, value)
+    for seed, tickers in ((8, 60), (9, 5)):  # tickers of some 25 records, compared one by one, and of 300
+        data = _records(1_500, seed, setups=2, regimes=3, tickers=tickers)
+        data[5][:, 4][:700] = np.nan
+        data[2][:400] = 0
+        asked = _some(data, 150)
+        assert _search(data, asked, WEIGHT, 24) == _one_by_one(data, asked, WEIGHT, 24)
+        usual = tuple(c[150:] for c in data)  # single precision
+        asked = _some(usual, 150)
+        assert _search(usual, asked, WEIGHT, 24) == _one_by_one(usual, asked, WEIGHT, 24)
+
+
 def test_one_block_is_ranked_once(spark, monkeypatch):
     """What a task returns of all records is ranked already; only with several blocks are their results ranked again."""
     import random

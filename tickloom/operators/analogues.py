@@ -21,9 +21,12 @@ REGIME_PENALTY, SAME_TICKER = 0.35, -0.05
 PER_DAY, PER_TICKER, SHARED = 2, 4, 5
 #: Records of a block, and queries asked together in it.
 BLOCK, BATCH = 600_000, 50_000
-#: Queries and records of one product, the records of a query's first slice, pairs that are settled together, and regimes that
-#: lie apart.
-TILE, COLUMNS, FIRST, MOST, REGIMES = 256, 2048, 2048, 1_000_000, 7
+#: Queries of a tile, and those of it that lie close together; records of a leaf, of one product and of a first limit; an eighth
+#: of the leaves that are searched before all others; pairs that are settled together; regimes that lie apart; records of a
+#: ticker that are computed exactly.
+TILE, CLOSE, LEAF, COLUMNS, FIRST, NEAR, MOST, REGIMES, OWN = 2048, 32, 512, 512, 2048, 4, 1_000_000, 7, 256
+#: What sums of squares count as at most.
+FAR = 3e38
 
 
 def distinct_records(records: DataFrame) -> DataFrame:
@@ -123,14 +126,17 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
 
 
 class _Block:
-    """The records of a block, laid out for exact search by matrix products, by setup, regime and day.
+    """The records of a block, laid out for exact search by matrix products, by setup and regime, and there in leaves that are
+    small in days and features.
 
     A pair lies within T if the weighted sum over the shared features of (difference squared - T squared) is not above 0. As
     the known features are columns of their own, that is one product of a row for the query, which holds its T, and a column
-    for the record, whatever features are known. T is what the query's n-th analogue so far lets in, so hardly any pair is
-    more than one figure compared with 0. Products are in single precision where that is fine enough; a bound of their error is
-    part of the row and the column, so no pair within T is missed. Pairs that pass are computed exactly. The query's own
-    regime comes first, in slices that grow as T shrinks; for another one T is less by the penalty.
+    for the record, whatever features are known; where all are, a shorter row and column do. T is what the query's n-th
+    analogue so far lets in, so hardly any pair is more than one figure compared with 0, and leaves whose nearest corner is
+    farther than T are left out. Products are in single precision where that is fine enough; a bound of their error is part of
+    the row and the column, so no pair within T is missed. Pairs that pass are computed exactly. The query's own regime comes
+    first; for another one T is less by the penalty. Pairs of one ticker, which lie nearer than their features, are computed
+    exactly unless the ticker is large.
     """
 
     def __init__(self, records: tuple, weight: np.ndarray, n: int) -> None:
@@ -141,16 +147,28 @@ class _Block:
         self.layout = np.full(len(sizes), REGIMES)  # regimes beyond the largest ones lie together
         self.layout[large] = np.arange(len(large))
         group = setup.astype(np.int64) * (REGIMES + 1) + self.layout[regime + 1]
-        order = np.lexsort((days, group))
+        order, self.starts = _leaves(group, days, z, weight, LEAF)
         self.ids, self.days, self.ticker, self.regime, self.group = (c[order] for c in (ids, days, ticker, regime, group))
         z = z[order]
         self.known = ~np.isnan(z)
-        self.x = np.nan_to_num(z)
+        self.x, self.share = np.nan_to_num(z), self.known @ weight
+        first = self.starts[:-1]
+        self.leaf_group, self.leaf_day = self.group[first], np.minimum.reduceat(self.days, first)
+        everywhere = np.logical_and.reduceat(self.known, first)
+        self.form = np.where((everywhere | ~np.logical_or.reduceat(self.known, first)).all(1)[:, None], everywhere, np.nan)  # where all know the same
+        low, high = np.minimum.reduceat(self.x, first), np.maximum.reduceat(self.x, first)
+        self.root = np.sqrt(weight)
+        self.middle, half = self.root * (low + high) / 2, self.root * (high - low) / 2
+        self.half = np.where(everywhere, half + 1e-6 * (3 * np.abs(self.middle) + 2 * half), np.inf)
         self.centre = self.x.sum(0) / np.maximum(self.known.sum(0), 1)
         self.by_id = np.argsort(self.ids, kind="stable")
         self.rank = np.empty(len(order), np.int64)
         self.rank[self.by_id] = np.arange(len(order))
         self.bits = len(order).bit_length()
+        self.by_ticker = np.lexsort((self.days, self.group // (REGIMES + 1), self.ticker))
+        self.ticker_key = np.stack([c[self.by_ticker] for c in (self.ticker, self.group // (REGIMES + 1))]).astype(np.int64)
+        self.setups = int(self.ticker_key[1].max()) + 1
+        self.ticker_key = self.ticker_key[0] * self.setups + self.ticker_key[1]
         near = (self.x - self.centre) * self.known
         size = near**2 @ weight
         terms = 3 * len(weight) + 10
@@ -158,11 +176,15 @@ class _Block:
         self.kind, self.unit = np.float32, single
         if (size * single > 0.02).mean() > 0.001 or size.max() > 1e30:
             self.kind, self.unit = np.float64, 1.1 * terms * 2.0**-53
+        self.coarse = np.float32 if size.max() < 1e30 else np.float64
+        self.middle, self.half = (np.ascontiguousarray(x.T.astype(self.coarse)) for x in (self.middle, self.half))
         ones = np.ones(len(order))
         self.columns = np.empty((3 * len(weight) + 2, len(order)), self.kind)
         f = len(weight)
         self.columns[:f], self.columns[f : 2 * f], self.columns[2 * f : 3 * f] = self.known.T, near.T, (near**2).T
         self.columns[3 * f], self.columns[3 * f + 1] = ones, -2 * self.unit * size
+        self.short = np.empty((f + 2, len(order)), self.kind)
+        self.short[:f], self.short[f], self.short[f + 1] = near.T, ones, size * (1 - 2 * self.unit)
         self.values, self.passed = np.empty(TILE * COLUMNS, self.kind), np.zeros(TILE * COLUMNS + 8, bool)
 
     def search(self, ids: np.ndarray, days: np.ndarray, ticker: np.ndarray, regime: np.ndarray, setup: np.ndarray, z: np.ndarray) -> Iterator[tuple]:
@@ -170,18 +192,50 @@ class _Block:
         at = np.minimum(regime + 1, len(self.layout) - 1)
         own = np.where(regime + 1 < len(self.layout), self.layout[at], REGIMES)
         group = setup.astype(np.int64) * (REGIMES + 1) + own
-        order = np.lexsort((days, group))
+        order, _ = _leaves(group, days, z, self.weight, CLOSE)
         cuts = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1], True])
         for lo, hi in zip(cuts, cuts[1:]):
             for k in range(lo, hi, TILE):
                 q = order[k : min(k + TILE, hi)]
-                zq = z[q]
-                found = _Tile(self, days[q], ticker[q], regime[q], zq).search(int(group[q[0]]))
+                found = _Tile(self, days[q], ticker[q], regime[q], z[q]).search(int(group[q[0]]))
                 if found is not None:
                     row, col, dist, shared, rank = found
                     yield ids[q][row], self.ids[col], dist, shared, rank, self.ticker[col]
 
 
+def _leaves(group: np.ndarray, days: np.ndarray, z: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows by group, and where each leaf of at most size rows starts in it, with the end. Rows of a leaf have one
+    group and lie close together in days and features; those with all features known have leaves of their own."""
+    x = z * np.sqrt(weight)
+    unknown = np.isnan(z)
+    form = np.zeros(len(z), np.int64)
+    some = np.flatnonzero(unknown.any(1))
+    _, code, many = np.unique(np.packbits(unknown[some], axis=1), axis=0, return_inverse=True, return_counts=True)
+    form[some] = np.where(many[code.ravel()] >= size, code.ravel() + 2, 1)  # forms of few rows lie together
+    x[unknown] = 0
+    order = np.lexsort((form, group))
+    cuts = np.flatnonzero(np.r_[True, (group[order][1:] != group[order][:-1]) | (form[order][1:] != form[order][:-1])])
+    starts = []
+
+    def cut(lo: int, hi: int, by_day: int) -> None:
+        if hi - lo <= size:
+            starts.append(lo)
+            return
+        rows = order[lo:hi]
+        mid = (hi - lo) // 2
+        values = days[rows]
+        if by_day <= 0 or values[0] == values[-1] == values[mid]:
+            some = x[rows[:: max(1, (hi - lo) // 256)]]
+            values = x[rows, np.argmax(np.ptp(np.clip(some, *np.quantile(some, (0.1, 0.9), axis=0)), axis=0))]
+        order[lo:hi] = rows[np.argpartition(values, mid)]
+        cut(lo, lo + mid, by_day - 1)
+        cut(lo + mid, hi, by_day - 1)
+
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(order)]):
+        cut(int(lo), int(hi), 2)
+    return order, np.r_[np.array(starts, np.int64), len(order)]
+
+
 class _Tile:
     """Up to TILE queries of one setup and regime, and their analogues so far: row of the query, distance and rank of the
     record's id, in this order."""
@@ -189,49 +243,140 @@ class _Tile:
     def __init__(self, block: _Block, days: np.ndarray, ticker: np.ndarray, regime: np.ndarray, z: np.ndarray) -> None:
         self.b, self.days, self.ticker, self.regime = block, days, ticker, regime
         self.known, self.x = ~np.isnan(z), np.nan_to_num(z)
-        self.near = (self.x - block.centre) * self.known
+        self.full = self.known.all(1)
+        self.near, self.share = (self.x - block.centre) * self.known, self.known @ block.weight
         self.size = self.near**2 @ block.weight
         self.row, self.dist, self.rank = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         self.limit = np.full(len(days), np.inf)
+        self.same = np.full(len(days), -SAME_TICKER)  # how much nearer than by its features a record to be searched may lie
 
     def search(self, group: int) -> tuple | None:
         b = self.b
         setup, own = divmod(group, REGIMES + 1)
-        for g in [own, *(g for g in range(REGIMES + 1) if g != own)]:
-            lo, hi = np.searchsorted(b.group, [setup * (REGIMES + 1) + g, setup * (REGIMES + 1) + g + 1])
-            hi = lo + np.searchsorted(b.days[lo:hi], self.days.max())
-            extra = 0.0 if g == own else REGIME_PENALTY
-            step = FIRST
-            while lo < hi:
-                lo = self._slice(lo, min(hi, lo + step), extra)
-                step *= 4
+        lo, hi = np.searchsorted(b.leaf_group, [setup * (REGIMES + 1), (setup + 1) * (REGIMES + 1)])
+        leaves = np.arange(lo, hi)
+        mine = leaves[b.leaf_group[lo:hi] == group]
+        corner = self._corners(mine)
+        self._guess(mine, corner)
+        self._own_ticker(setup)
+        done = np.full((len(self.days), 1), -1, corner.dtype)
+        for nearest in (8 * NEAR, len(mine)):  # near ones first, as T shrinks
+            if nearest < len(mine) // 2 or nearest == len(mine):
+                upto = np.partition(corner, nearest, axis=1)[:, nearest, None] if nearest < len(mine) else np.inf
+                self._leaves(mine, corner, 0.0, (corner > done) & (corner <= upto))
+                done = upto
+        others = leaves[b.leaf_group[lo:hi] != group]
+        if len(others):
+            self._leaves(others, self._corners(others), REGIME_PENALTY)
         if not len(self.row):
             return None
         col = b.by_id[self.rank]
         shared = (b.known[col] & self.known[self.row]).sum(1)
         return self.row, col, self.dist, shared, _place(self.row) + 1
 
-    def _slice(self, lo: int, hi: int, extra: float) -> int:
-        """Takes in the records lo to hi, or fewer if very many pass; returns up to where."""
+    def _corners(self, leaves: np.ndarray) -> np.ndarray:
+        """For each query and leaf the weighted sum over the features of the distance squared to the leaf, not too large; infinite
+        where the leaf has no earlier session."""
         b = self.b
-        if np.isinf(self.limit).any():
-            self._guess(lo, min(hi, lo + FIRST))
-        reach = self.limit - extra - SAME_TICKER + 1e-8
-        live = np.flatnonzero(reach >= 0)
-        if not len(live):
-            return hi
-        w, t2 = b.weight, np.where(np.isinf(reach[live]), 0, reach[live]) ** 2
-        k, x = self.known[live], self.near[live]
-        share = w * k
-        a = np.concatenate([share * (x**2 - t2[:, None]), -2 * share * x, share, -(b.unit * (2 * self.size[live] + t2 * w.sum()))[:, None], np.ones((len(live), 1))], axis=1)
-        a[np.isinf(reach[live])] = 0  # all pass
-        a = a.astype(b.kind)
-        got_r, got_c, count = [], [], 0
-        while lo < hi and count < MOST:
+        out = np.zeros((len(self.days), len(leaves)), b.coarse)
+        middle, half = b.middle[:, leaves], b.half[:, leaves]
+        x = (self.x * b.root).clip(-1e18, 1e18).astype(b.coarse) if b.coarse == np.float32 else self.x * b.root
+        for k in range(0, len(out), 64):
+            total, gap = out[k : k + 64], np.empty_like(out[k : k + 64])
+            for j in range(len(half)):
+                np.subtract(x[k : k + 64, j, None], middle[j], out=gap)
+                np.abs(gap, out=gap)
+                gap -= half[j]
+                np.maximum(gap, 0, out=gap)
+                gap *= gap
+                if not self.full[k : k + 64].all():
+                    gap[~self.known[k : k + 64, j]] = 0
+                total += gap
+            total *= 1 - 1e-5
+            np.minimum(total, FAR, out=total)
+            total[b.leaf_day[leaves][None] >= self.days[k : k + 64, None]] = np.inf
+        return out
+
+    def _reach(self, extra: float) -> np.ndarray:
+        return self.limit - extra + self.same + 1e-8
+
+    def _room(self, extra: float) -> np.ndarray:
+        """The weighted sum of squares within the queries' reach, infinite where all is; -1 where nothing is."""
+        reach = self._reach(extra)
+        return np.where(reach >= 0, reach**2 * self.share * (1 + 1e-6), -1).clip(max=1.1 * FAR)
+
+    def _leaves(self, leaves: np.ndarray, corner: np.ndarray, extra: float, among: np.ndarray | None = None) -> None:
+        """Takes in the records of the leaves that the queries reach."""
+        b, w, f = self.b, self.b.weight, len(self.b.weight)
+        k = 0
+        while k < len(leaves):
+            reach, t2 = self._reach(extra), self._reach(extra) ** 2
+            none = np.isinf(reach)
+            t2[none] = 0
+            can = corner[:, k:] <= self._room(extra)[:, None]
+            if among is not None:
+                can &= among[:, k:]
+            can = np.ascontiguousarray(can.T)
+            share = w * self.known
+            slack = b.unit * (2 * self.size + t2 * w.sum())
+            long = np.concatenate([share * (self.near**2 - t2[:, None]), -2 * share * self.near, share, -slack[:, None], np.ones((len(t2), 1))], axis=1)
+            long[none] = 0  # all pass
+            long, short = long.astype(b.kind), {}
+            got, count, at = [], 0, k
+            for k in range(k, len(leaves)):
+                rows = np.flatnonzero(can[k - at])
+                if not len(rows):
+                    continue
+                lo, hi, form = b.starts[leaves[k]], b.starts[leaves[k] + 1], b.form[leaves[k]]
+                whole = self.full[rows] if form[0] == form[0] else np.zeros(len(rows), bool)
+                new = self._passing(rows[~whole], long, b.columns, lo, hi)
+                if whole.any():
+                    mine = short.get(form.tobytes())
+                    if mine is None:  # these records' shared features are the ones that they know
+                        v = w * form
+                        mine = np.concatenate([-2 * v * self.near, (self.near**2 @ v - t2 * v.sum() - slack)[:, None], np.ones((len(t2), 1))], axis=1)
+                        mine[none] = 0
+                        mine = short[form.tobytes()] = mine.astype(b.kind)
+                    new += self._passing(rows[whole], mine, b.short, lo, hi)
+                got += new
+                count += sum(len(x[0]) for x in new)
+                if count >= MOST:
+                    break
+            k += 1
+            if got:
+                r, c, v = (np.concatenate(x) for x in zip(*got))
+                ok = (b.days[c] < self.days[r]) & ((self.same[r] > 0) | (b.ticker[c] != self.ticker[r]))
+                self._nearest(r[ok], c[ok], v[ok], np.where(none, np.inf, t2), extra)
+
+    def _nearest(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, t2: np.ndarray, extra: float) -> None:
+        """Takes in those of the pairs that lie within the limits, the likely nearest ones first. value: what was found not to be
+        above 0, with t2 for T squared."""
+        b, steps = self.b, 64
+        share = np.maximum(self.share[row] + b.share[col] - b.weight.sum(), 1e-3)  # not more than the shared features' weights
+        with np.errstate(invalid="ignore"):
+            step = np.clip(steps * (1 + value / (share * np.maximum(t2[row], 1e-12))), 0, steps - 1)
+        step = np.where(np.isfinite(step), step, 0).astype(np.int64)
+        many = np.bincount(row * steps + step, minlength=len(t2) * steps).reshape(-1, steps).cumsum(1)
+        last = (many < 2 * b.n).sum(1)
+        first = step <= last[row]
+        self._settle(*self._exact(row[first], col[first]))
+        row, col, value, share = (x[~first] for x in (row, col, value, share))
+        if len(row):
+            now = np.maximum(self._reach(extra), 0) ** 2
+            ok = value <= np.where(np.isinf(t2), np.inf, now - np.where(np.isinf(t2), 0, t2))[row] * share
+            self._settle(*self._exact(row[ok], col[ok]))
+
+    def _passing(self, rows: np.ndarray, queries: np.ndarray, records: np.ndarray, lo: int, hi: int) -> list:
+        """Pairs of the rows and the records lo to hi of which the product is not above 0, and the product."""
+        b, out = self.b, []
+        if not len(rows):
+            return out
+        a = queries[rows]
+        for lo in range(lo, hi, COLUMNS):
             width = min(COLUMNS, hi - lo)
-            size = len(live) * width
-            values = b.values[:size].reshape(len(live), width)
-            np.matmul(a, b.columns[:, lo : lo + width], out=values)
+            size = len(rows) * width
+            values = b.values[:size].reshape(len(rows), width)
+            np.matmul(a, records[:, lo : lo + width], out=values)
             np.less_equal(b.values[:size], 0, out=b.passed[:size])
             up = -(-size // 8) * 8
             b.passed[size:up] = False
@@ -239,22 +384,28 @@ class _Tile:
             if len(words):
                 i, j = np.nonzero(b.passed[:up].reshape(-1, 8)[words])
                 r, c = np.divmod(words[i] * 8 + j, width)
-                r, c = live[r], c + lo
-                ok = b.days[c] < self.days[r]
-                got_r.append(r[ok])
-                got_c.append(c[ok])
-                count += len(got_r[-1])
-            lo += width
-        if count:
-            self._settle(*self._exact(np.concatenate(got_r), np.concatenate(got_c)))
-        return lo
+                out.append((rows[r], c + lo, values[r, c]))
+        return out
+
+    def _own_ticker(self, setup: int) -> None:
+        """Takes in the earlier records of the queries' tickers, unless they are many."""
+        b = self.b
+        lo, hi = (np.searchsorted(b.ticker_key, self.ticker.astype(np.int64) * b.setups + setup, side) for side in ("left", "right"))
+        many = hi - lo
+        rows = np.flatnonzero(many <= OWN)
+        self.same[rows] = 0
+        r = np.repeat(rows, many[rows])
+        c = b.by_ticker[np.repeat(lo[rows], many[rows]) + _place(r)]
+        ok = b.days[c] < self.days[r]
+        if ok.any():
+            self._settle(*self._exact(r[ok], c[ok]))
 
     def _exact(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """row, distance and rank of those pairs that share enough and lie within the row's limit."""
         b = self.b
         out = []
-        for k in range(0, max(len(row), 1), 100_000):
-            r, c = row[k : k + 100_000], col[k : k + 100_000]
+        for k in range(0, max(len(row), 1), 4_000):
+            r, c = row[k : k + 4_000], col[k : k + 4_000]
             both = b.known[c] & self.known[r]
             square = both * (b.weight * (b.x[c] - self.x[r]) ** 2)
             share = both * b.weight
@@ -269,24 +420,42 @@ class _Tile:
             out.append((r[ok], dist[ok], b.rank[c[ok]]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
-    def _guess(self, lo: int, hi: int) -> None:
-        """Limits of the queries that have none, from the nearest few of some records: what more records bring is only nearer."""
-        b, f = self.b, len(self.b.weight)
-        rows = np.flatnonzero(np.isinf(self.limit))
-        few = 3 * self.b.n
-        if hi - lo <= few:
+    def _guess(self, leaves: np.ndarray, corner: np.ndarray) -> None:
+        """First limits of the queries, from the nearest few records of the nearest leaves: what more records bring is only nearer."""
+        b, f, few = self.b, len(self.b.weight), 3 * self.b.n
+        if not len(leaves):
             return
-        share = b.weight * self.known[rows]
-        a = np.concatenate([share * self.near[rows] ** 2, -2 * share * self.near[rows], share], axis=1).astype(b.kind)
+        m = min(max(1, FIRST // LEAF), len(leaves))
+        near = np.argpartition(corner, m - 1, axis=1)[:, :m]
+        order = np.argsort(near, axis=None, kind="stable")
+        row, place = np.divmod(order, m)
+        of = near.ravel()[order]
+        width = np.diff(b.starts)[leaves].max()
+        share = b.weight * self.known
+        a = np.concatenate([share * self.near**2, -2 * share * self.near, share], axis=1).astype(b.kind)
+        short = np.concatenate([-2 * share * self.near, self.size[:, None], np.ones((len(share), 1))], axis=1).astype(b.kind)
+        share = share.astype(b.kind)
+        rough = np.full((len(corner), m, width), np.inf, b.kind)
+        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
         with np.errstate(all="ignore"):
-            rough = (a @ b.columns[: 3 * f, lo:hi]) / (share.astype(b.kind) @ b.columns[:f, lo:hi])
-        rough[np.isnan(rough) | (b.days[lo:hi][None] >= self.days[rows][:, None])] = np.inf
-        c = np.argpartition(rough, few, axis=1)[:, :few]
-        r = np.repeat(rows, few)
-        c = c.ravel() + lo
-        ok = b.days[c] < self.days[r]
-        row, dist, rank = self._exact(r[ok], c[ok])
-        row, dist, _ = self._capped(np.r_[self.row, row], np.r_[self.dist, dist], np.r_[self.rank, rank])
+            for i, j in zip(cuts, cuts[1:]):
+                leaf, r = leaves[of[i]], row[i:j]
+                lo, hi = b.starts[leaf], b.starts[leaf + 1]
+                if b.form[leaf].all() and self.full[r].all():  # not nan, not 0
+                    values = short[r] @ b.short[:, lo:hi] / share[0].sum()
+                else:
+                    records = b.columns[: 3 * f, lo:hi]
+                    values = (a[r] @ records) / (share[r] @ records[:f])
+                values[np.isnan(values) | (b.days[lo:hi][None] >= self.days[r][:, None])] = np.inf
+                rough[r, place[i:j], : hi - lo] = values
+        rough = rough.reshape(len(corner), -1)
+        few = min(few, rough.shape[1])
+        c = np.argpartition(rough, few - 1, axis=1)[:, :few]
+        r, c = np.repeat(np.arange(len(c)), few), c.ravel()
+        ok = np.isfinite(rough[r, c])
+        r, c = r[ok], c[ok]
+        row, dist, rank = self._exact(r, b.starts[leaves[near[r, c // width]]] + c % width)
+        row, dist, _ = self._capped(row, dist, rank)
         self.limit = np.minimum(self.limit, self._limits(row, dist))
 
     def _settle(self, row: np.ndarray, dist: np.ndarray, rank: np.ndarray) -> None:
@@ -303,7 +472,7 @@ class _Tile:
         """The pairs in order of row, distance and id, as far as both caps and n let them in."""
         b = self.b
         whole = np.rint(dist * 1e9)
-        room = 55 - b.bits  # TILE rows take eight of 63 bits
+        room = 52 - b.bits  # TILE rows take eleven of 63 bits
         if room > 0 and (not len(whole) or whole.max() < 2.0**room):
             key = row << (b.bits + room) | whole.astype(np.int64) << b.bits | rank
             key.sort()
