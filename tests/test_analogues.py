@@ -1,6 +1,7 @@
 """The search for analogues: as all pairs compared one by one, also on odd inputs, and with little work."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tickloom.operators import analogues
 
@@ -137,3 +138,31 @@ def test_one_block_is_ranked_once(spark, monkeypatch):
     monkeypatch.setattr(analogues, "BLOCK", 9)
     many = analogues.setup_aggregates(df, q, stats)
     assert "Window" in many._jdf.queryExecution().optimizedPlan().toString() and sorted(map(str, many.collect())) == one and len(one) > 100
+
+
+def test_setups_are_summed_where_the_search_ends(spark, monkeypatch):
+    """One block's analogues are not written and joined with their scenarios: these go with the records, sent as few large rows."""
+    import random
+    from datetime import date, timedelta
+    from decimal import Decimal
+
+    r = random.Random(5)
+    keys = ["day_change_pct", "session_change_pct", "distance_to_vwap_pct", "rvol_vs_adv", "minutes_since_open"]
+    stats = spark.createDataFrame([(k, Decimal(1)) for k in keys], "feature_key string, std_dev decimal(18,6)")
+    value = lambda: r.choice([None, Decimal("-999999999999.999999"), Decimal("999999999999.999999"), Decimal(r.randrange(-(10**8), 10**8)).scaleb(-6)])
+    form = lambda: (r.choice(["long", "SHORT", None]), r.choice(["a", "B", "", None]), r.choice([True, True, False, None]), r.choice(["preferred", "Secondary", None]), r.choice([True, False, None]), r.choice([True, None]), r.choice(["stop_before_t1", None]), value())
+    lists = lambda i: None if i % 7 == 0 else [form() for _ in range(i % 4)]
+    rows = [(i, r.choice("ABCDEFG"), date(2026, 3, 1) + timedelta(days=r.randrange(6)), r.choice("xy"), {k: Decimal(r.randrange(300)) / 100 for k in keys[: r.choice([4, 5, 5, 5])]}, lists(i)) for i in range(300)]
+    kind = "scenarios array<struct<direction string, entry_type string, structurally_valid boolean, selection_tier string, triggered boolean, t1_before_stop boolean, primary_outcome string, resolved_r decimal(18,6)>>"
+    df = spark.createDataFrame(rows, f"record_id bigint, ticker string, session_date_et date, regime string, features map<string,decimal(18,6)>, {kind}").withColumn("as_of_utc", F.lit(None).cast("timestamp"))
+    queries = df.withColumnRenamed("record_id", "query")
+    out = analogues.setup_aggregates(df, queries, stats)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # before, each analogue was joined with its scenarios
+    one = sorted(map(str, out.collect()))
+    monkeypatch.setattr(analogues, "SENT", 7)
+    assert sorted(map(str, analogues.setup_aggregates(df, None, stats).collect())) == one and len(one) > 500
+    monkeypatch.setattr(analogues, "BLOCK", 60)
+    many = analogues.setup_aggregates(df, queries, stats)
+    assert "Join" in many._jdf.queryExecution().optimizedPlan().toString() and many.dtypes == out.dtypes
+    assert sorted(map(str, many.collect())) == one
+    assert sorted(map(str, analogues.setup_aggregates(df, None, stats).collect())) == one

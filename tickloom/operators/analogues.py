@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from tickloom.functions import clean
 
@@ -19,8 +21,8 @@ WEIGHTS = {
 REGIME_PENALTY, SAME_TICKER = 0.35, -0.05
 #: Most records of one ticker and day, and of one ticker, among a query's analogues; features that must be known in both.
 PER_DAY, PER_TICKER, SHARED = 2, 4, 5
-#: Records of a block, and queries asked together in it.
-BLOCK, BATCH = 600_000, 50_000
+#: Records of a block, and queries asked together in it; rows sent as one.
+BLOCK, BATCH, SENT = 600_000, 200_000, 2_500
 #: Queries of a tile, and those of it that lie close together; records of a leaf, of one product and of a first limit; an eighth
 #: of the leaves that are searched before all others; pairs that are settled together; regimes that lie apart; records of a
 #: ticker that are computed exactly.
@@ -51,12 +53,12 @@ def scenario_rows(records: DataFrame) -> DataFrame:
     ).select("record_id", "ticker", "as_of_utc", "session_date_et", (F.col("at") + 1).alias("ordinal"), "s.*")
 
 
-def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int = 24) -> DataFrame:
+def analogues(records: DataFrame, queries: DataFrame | None, stats: DataFrame, n: int = 24) -> DataFrame:
     """The n most similar records of sessions before the query's, at most PER_DAY of one ticker and day and PER_TICKER of one
     ticker: query, record_id, rank, distance, shared.
 
     records: record_id, ticker, session_date_et, regime, features and optionally setup string; queries: the same and query
-    bigint. A query with a setup sees only records with the same one. The distance is the weighted root mean square of the
+    bigint, or None for all records by their id. A query with a setup sees only records with the same one. The distance is the weighted root mean square of the
     differences over the known features in deviations, plus REGIME_PENALTY for another regime and SAME_TICKER for the same
     ticker, not below 0; at least SHARED features must be known in both. Distances equal to nine digits go by
     record_id.
@@ -68,61 +70,119 @@ def analogues(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int =
     each block and batch of queries; see _Block for the search.
     Nulls: records without id, ticker or session date are left out; a null regime or setup is one of its own.
     """
-    keys = [r["feature_key"] for r in stats.orderBy("feature_key").collect()]  # a small fixed table
-    scale = {r["feature_key"]: float(r["std_dev"]) for r in stats.collect()}
-    weight = np.array([WEIGHTS.get(k, 1.0) for k in keys])
-    vec = F.array(*(F.try_element_at("features", F.lit(k)).cast("double") / F.lit(scale[k] if scale[k] > 0.0001 else 1.0) for k in keys))
-    day = F.datediff("session_date_et", F.lit("1970-01-01").cast("date"))
-    setup = lambda df: F.coalesce("setup", F.lit("")) if "setup" in df.columns else F.lit("")
-    cols = lambda df: ["ticker", day.alias("day"), F.lower("regime").alias("regime"), setup(df).alias("setup"), vec.alias("vec")]
-    data = records.select(F.lit(True).alias("kept"), F.col("record_id").alias("id"), *cols(records))
-    asked = queries.select(F.lit(False).alias("kept"), F.col("query").alias("id"), *cols(queries))
-    blocks = records.count() // BLOCK + 1
-    tasks = 2 * records.sparkSession.sparkContext.defaultParallelism
-    many = queries.count()
-    batches = max(1, min(-(-tasks // blocks), many // 200 + 1), many // BATCH + 1)
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    part = lambda k, *c: F.pmod(F.xxhash64(*c), F.lit(k)).cast("int")
-    rows = data.select(part(blocks, "ticker", "day").alias("block"), every(batches).alias("batch"), "*").unionAll(
-        asked.select(every(blocks).alias("block"), part(batches, "id").alias("batch"), "*")
-    )
-
-    def search(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches_ if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        del held
-        z = pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
-        t = t.drop_columns(["vec"])
-        kept, ids, days = (t.column(c).to_numpy() for c in ("kept", "id", "day"))
-        code = {}
-        for c in ("ticker", "regime", "setup"):
-            e = t.column(c).combine_chunks()
-            e = e.dictionary_encode() if isinstance(e, pa.Array) else e.combine_chunks().dictionary_encode()
-            code[c] = e.indices.fill_null(-1).to_numpy()
-            if c == "ticker":
-                names = e.dictionary
-        enough = (~np.isnan(z)).sum(1) >= SHARED  # others share too few with any
-        d, q = np.flatnonzero(kept & enough), np.flatnonzero(~kept & enough)
-        if not len(d) or not len(q):
-            return
-        side = lambda at: (ids[at], days[at], code["ticker"][at], code["regime"][at], code["setup"][at], z[at])
-        held_, asked_ = side(d), side(q)
-        del z, t
-        for query, record, dist, shared, rank, ticker in _Block(held_, weight, n).search(*asked_):
-            out = [*map(pa.array, (query, record, dist, shared, rank.astype(np.int32))), names.take(pa.array(ticker))]
-            yield pa.RecordBatch.from_arrays(out, ["query", "record_id", "distance", "shared", "rank", "ticker"])
-
-    task = F.col("block") * batches + F.col("batch")
-    kind = "query bigint, record_id bigint, distance double, shared bigint, rank int, ticker string"
-    found = rows.withColumn("task", task).repartitionById(blocks * batches, "task").mapInArrow(search, kind)
-    if blocks == 1:  # one task has seen all records
-        return found.drop("ticker")
-    own = Window.partitionBy("query", "ticker").orderBy("distance", "record_id")
-    found = found.drop("rank").withColumn("_t", F.row_number().over(own)).filter(F.col("_t") <= PER_TICKER).drop("_t", "ticker")
-    w = Window.partitionBy("query").orderBy("distance", "record_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return _Search(records, queries, stats, n).found()
+
+
+class _Search:
+    """The search of the queries' analogues as a plan; see analogues. carried: a column of the records for what is made of them."""
+
+    def __init__(self, records: DataFrame, queries: DataFrame | None, stats: DataFrame, n: int, carried: Column | None = None) -> None:
+        stats_ = stats.orderBy("feature_key").collect()  # a small fixed table
+        keys, scale = [r["feature_key"] for r in stats_], {r["feature_key"]: float(r["std_dev"]) for r in stats_}
+        self.weight, self.n = np.array([WEIGHTS.get(k, 1.0) for k in keys]), n
+        vec = F.array(*(F.try_element_at("features", F.lit(k)).cast("double") / F.lit(scale[k] if scale[k] > 0.0001 else 1.0) for k in keys))
+        day = F.datediff("session_date_et", F.lit("1970-01-01").cast("date"))
+        setup = lambda df: F.coalesce("setup", F.lit("")) if "setup" in df.columns else F.lit("")
+        cols = lambda df: ["ticker", day.alias("day"), F.lower("regime").alias("regime"), setup(df).alias("setup"), vec.alias("vec")]
+        sides = records.select(F.lit(1).alias("r"), F.lit(0).alias("q"))
+        if queries is not None:
+            sides = sides.unionAll(queries.select(F.lit(0), F.lit(1)))
+        size, many = (x or 0 for x in sides.agg(F.sum("r"), F.sum("q")).first())
+        many = size if queries is None else many
+        self.blocks = size // BLOCK + 1
+        tasks = records.sparkSession.sparkContext.defaultParallelism
+        self.batches = max(1, min(-(-tasks // self.blocks), many // 200 + 1), many // BATCH + 1)
+        part = lambda k, *c: F.pmod(F.xxhash64(*c), F.lit(k)).cast("int")
+        block, batch = part(self.blocks, "ticker", "day").alias("block"), part(self.batches, "id").alias("batch")
+        data = records.select(F.col("record_id").alias("id"), *cols(records), *([] if carried is None else [carried.alias("carried")]))
+        if queries is None:
+            self.rows = _sent(data.select("*", block, batch), max(self.blocks, self.batches), True, False)
+        else:
+            asked = queries.select(F.col("query").alias("id"), *cols(queries))
+            self.rows = _sent(data.select("*", block), self.blocks, True).unionAll(_sent(asked.select("*", batch), self.batches, False))
+
+    def each(self, make: Callable, kind: str) -> DataFrame:
+        """What make(records' table, queries' ids, block, tile) gives for each tile of queries that has analogues; one task for
+        each block and batch of queries."""
+        weight, n = self.weight, self.n
+
+        def search(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: tuple[list, list] = ([], [])
+            for b in batches_:
+                for kept, rows in zip(b.column("kept").to_pylist(), b.column("rows")):
+                    held[kept].append(pa.ipc.open_stream(rows.as_buffer()).read_all())
+            if not all(held):
+                return
+            asked_, data = (pa.concat_tables(x) for x in held)
+            del held
+            code, size = {}, data.num_rows
+            for c in ("ticker", "regime", "setup"):
+                e = pa.chunked_array([*data.column(c).chunks, *asked_.column(c).chunks]).combine_chunks()
+                e = e.dictionary_encode() if isinstance(e, pa.Array) else e.combine_chunks().dictionary_encode()
+                code[c] = e.indices.fill_null(-1).to_numpy()
+                if c == "ticker":
+                    names = e.dictionary
+            sides = []
+            for t, at in ((data, slice(size)), (asked_, slice(size, None))):
+                z = pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+                enough = np.flatnonzero((~np.isnan(z)).sum(1) >= SHARED)  # others share too few with any
+                own = (t.column("id").to_numpy(), t.column("day").to_numpy(), *(code[c][at] for c in ("ticker", "regime", "setup")), z)
+                sides.append((enough, tuple(c[enough] for c in own)))
+            (at, records), (_, queries) = sides
+            rest = data.select(["carried"]).take(at) if "carried" in data.column_names else names
+            del data, asked_, t, z, own, code, sides
+            if len(at) and len(queries[0]):
+                block = _Block(records, weight, n)
+                del records
+                for tile in block.tiles(*queries):
+                    yield make(rest, queries[0], block, tile)
+
+        many = F.when(F.col("kept"), F.lit(self.batches)).otherwise(F.lit(self.blocks))
+        task = F.when(F.col("kept"), F.col("part") * self.batches + F.col("other")).otherwise(F.col("other") * self.batches + F.col("part"))
+        rows = self.rows.select("*", F.explode(F.sequence(F.lit(0), many - 1)).alias("other"))
+        return rows.withColumn("task", task).repartitionById(self.blocks * self.batches, "task").select("kept", "rows").mapInArrow(search, kind)
+
+    def found(self) -> DataFrame:
+        def make(names: pa.Array, ids: np.ndarray, block: _Block, tile: tuple) -> pa.RecordBatch:
+            q, row, col, dist, shared, rank = tile
+            out = [*map(pa.array, (ids[q][row], block.ids[col], dist, shared, rank.astype(np.int32))), names.take(pa.array(block.ticker[col]))]
+            return pa.RecordBatch.from_arrays(out, ["query", "record_id", "distance", "shared", "rank", "ticker"])
+
+        found = self.each(make, "query bigint, record_id bigint, distance double, shared bigint, rank int, ticker string")
+        if self.blocks == 1:  # one task has seen all records
+            return found.drop("ticker")
+        own = Window.partitionBy("query", "ticker").orderBy("distance", "record_id")
+        found = found.drop("rank").withColumn("_t", F.row_number().over(own)).filter(F.col("_t") <= PER_TICKER).drop("_t", "ticker")
+        w = Window.partitionBy("query").orderBy("distance", "record_id")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= self.n)
+
+
+def _sent(df: DataFrame, parts: int, *kept: bool) -> DataFrame:
+    """The rows as few ones of up to SENT, which are cheap to send to many tasks: kept, part, rows as an Arrow stream. For records
+    (kept) the part is their block, for queries their batch; a table may be both. parts: how many there are."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for b in chain(batches, [None]):
+            if b is not None and b.num_rows:
+                held.append(b)
+            if not held or b is not None and sum(x.num_rows for x in held) < SENT * parts:
+                continue
+            t, held = pa.Table.from_batches(held), []
+            for side in kept:
+                part = t.column("block" if side else "batch").to_numpy()
+                u = t.select([c for c in t.column_names if c not in ("block", "batch") and (side or c != "carried")])
+                if part.min() < part.max():
+                    order = np.argsort(part, kind="stable")
+                    u, part = u.take(order), part[order]
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+                for lo, size in ((k, min(SENT, hi - k)) for lo, hi in zip(cuts, cuts[1:]) for k in range(lo, hi, SENT)):
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, u.schema) as w:
+                        w.write_table(u.slice(lo, size).combine_chunks())
+                    yield pa.RecordBatch.from_arrays([pa.array([side]), pa.array([part[lo]], pa.int32()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["kept", "part", "rows"])
+
+    return df.mapInArrow(pack, "kept boolean, part int, rows binary")
 
 
 class _Block:
@@ -148,9 +208,11 @@ class _Block:
         self.layout[large] = np.arange(len(large))
         group = setup.astype(np.int64) * (REGIMES + 1) + self.layout[regime + 1]
         order, self.starts = _leaves(group, days, z, weight, LEAF)
+        self.order = order
         self.ids, self.days, self.ticker, self.regime, self.group = (c[order] for c in (ids, days, ticker, regime, group))
         z = z[order]
         self.known = ~np.isnan(z)
+        self.full = self.known.all(1)
         self.x, self.share = np.nan_to_num(z), self.known @ weight
         first = self.starts[:-1]
         self.leaf_group, self.leaf_day = self.group[first], np.minimum.reduceat(self.days, first)
@@ -181,14 +243,21 @@ class _Block:
         ones = np.ones(len(order))
         self.columns = np.empty((3 * len(weight) + 2, len(order)), self.kind)
         f = len(weight)
-        self.columns[:f], self.columns[f : 2 * f], self.columns[2 * f : 3 * f] = self.known.T, near.T, (near**2).T
+        self.columns[:f], self.columns[f : 2 * f] = self.known.T, near.T
         self.columns[3 * f], self.columns[3 * f + 1] = ones, -2 * self.unit * size
         self.short = np.empty((f + 2, len(order)), self.kind)
         self.short[:f], self.short[f], self.short[f + 1] = near.T, ones, size * (1 - 2 * self.unit)
+        near *= near  # in place, as all records have it
+        self.columns[2 * f : 3 * f] = near.T
         self.values, self.passed = np.empty(TILE * COLUMNS, self.kind), np.zeros(TILE * COLUMNS + 8, bool)
 
     def search(self, ids: np.ndarray, days: np.ndarray, ticker: np.ndarray, regime: np.ndarray, setup: np.ndarray, z: np.ndarray) -> Iterator[tuple]:
         """(query, record, distance, shared, rank, ticker) of the queries' first n under both caps."""
+        for q, row, col, dist, shared, rank in self.tiles(ids, days, ticker, regime, setup, z):
+            yield ids[q][row], self.ids[col], dist, shared, rank, self.ticker[col]
+
+    def tiles(self, ids: np.ndarray, days: np.ndarray, ticker: np.ndarray, regime: np.ndarray, setup: np.ndarray, z: np.ndarray) -> Iterator[tuple]:
+        """The same for each tile: places of its queries, and by place in it and in the block."""
         at = np.minimum(regime + 1, len(self.layout) - 1)
         own = np.where(regime + 1 < len(self.layout), self.layout[at], REGIMES)
         group = setup.astype(np.int64) * (REGIMES + 1) + own
@@ -199,8 +268,7 @@ class _Block:
                 q = order[k : min(k + TILE, hi)]
                 found = _Tile(self, days[q], ticker[q], regime[q], z[q]).search(int(group[q[0]]))
                 if found is not None:
-                    row, col, dist, shared, rank = found
-                    yield ids[q][row], self.ids[col], dist, shared, rank, self.ticker[col]
+                    yield q, *found
 
 
 def _leaves(group: np.ndarray, days: np.ndarray, z: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,23 +346,27 @@ class _Tile:
         """For each query and leaf the weighted sum over the features of the distance squared to the leaf, not too large; infinite
         where the leaf has no earlier session."""
         b = self.b
-        out = np.zeros((len(self.days), len(leaves)), b.coarse)
-        middle, half = b.middle[:, leaves], b.half[:, leaves]
+        out = np.full((len(self.days), len(leaves)), np.inf, b.coarse)
         x = (self.x * b.root).clip(-1e18, 1e18).astype(b.coarse) if b.coarse == np.float32 else self.x * b.root
         for k in range(0, len(out), 64):
-            total, gap = out[k : k + 64], np.empty_like(out[k : k + 64])
+            days, y, known = self.days[k : k + 64, None], x[k : k + 64], self.known[k : k + 64]
+            can = np.flatnonzero(b.leaf_day[leaves] < days.max())
+            middle, half = b.middle[:, leaves[can]], b.half[:, leaves[can]]
+            total = np.zeros((len(y), len(can)), b.coarse)
+            gap = np.empty_like(total)
             for j in range(len(half)):
-                np.subtract(x[k : k + 64, j, None], middle[j], out=gap)
+                np.subtract(y[:, j, None], middle[j], out=gap)
                 np.abs(gap, out=gap)
                 gap -= half[j]
                 np.maximum(gap, 0, out=gap)
                 gap *= gap
-                if not self.full[k : k + 64].all():
-                    gap[~self.known[k : k + 64, j]] = 0
+                if not known[:, j].all():
+                    gap[~known[:, j]] = 0
                 total += gap
             total *= 1 - 1e-5
             np.minimum(total, FAR, out=total)
-            total[b.leaf_day[leaves][None] >= self.days[k : k + 64, None]] = np.inf
+            total[b.leaf_day[leaves[can]][None] >= days] = np.inf
+            out[k : k + 64, can] = total
         return out
 
     def _reach(self, extra: float) -> np.ndarray:
@@ -329,15 +401,16 @@ class _Tile:
                     continue
                 lo, hi, form = b.starts[leaves[k]], b.starts[leaves[k] + 1], b.form[leaves[k]]
                 whole = self.full[rows] if form[0] == form[0] else np.zeros(len(rows), bool)
-                new = self._passing(rows[~whole], long, b.columns, lo, hi)
-                if whole.any():
+                all_ = whole.all()
+                new = [] if all_ else self._passing(rows[~whole], long, b.columns, lo, hi)
+                if all_ or whole.any():
                     mine = short.get(form.tobytes())
                     if mine is None:  # these records' shared features are the ones that they know
                         v = w * form
                         mine = np.concatenate([-2 * v * self.near, (self.near**2 @ v - t2 * v.sum() - slack)[:, None], np.ones((len(t2), 1))], axis=1)
                         mine[none] = 0
                         mine = short[form.tobytes()] = mine.astype(b.kind)
-                    new += self._passing(rows[whole], mine, b.short, lo, hi)
+                    new += self._passing(rows if all_ else rows[whole], mine, b.short, lo, hi)
                 got += new
                 count += sum(len(x[0]) for x in new)
                 if count >= MOST:
@@ -375,16 +448,16 @@ class _Tile:
         for lo in range(lo, hi, COLUMNS):
             width = min(COLUMNS, hi - lo)
             size = len(rows) * width
-            values = b.values[:size].reshape(len(rows), width)
-            np.matmul(a, records[:, lo : lo + width], out=values)
+            np.matmul(a, records[:, lo : lo + width], out=b.values[:size].reshape(len(rows), width))
             np.less_equal(b.values[:size], 0, out=b.passed[:size])
             up = -(-size // 8) * 8
             b.passed[size:up] = False
             words = np.flatnonzero(b.passed[:up].view(np.uint64))  # eight at once, as few pass
             if len(words):
-                i, j = np.nonzero(b.passed[:up].reshape(-1, 8)[words])
-                r, c = np.divmod(words[i] * 8 + j, width)
-                out.append((rows[r], c + lo, values[r, c]))
+                j = np.flatnonzero(b.passed[:up].reshape(-1, 8)[words])
+                place = (words * 8)[j >> 3] + (j & 7)
+                r = place // width
+                out.append((rows[r], place - r * width + lo, b.values[place]))
         return out
 
     def _own_ticker(self, setup: int) -> None:
@@ -403,20 +476,29 @@ class _Tile:
     def _exact(self, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """row, distance and rank of those pairs that share enough and lie within the row's limit."""
         b = self.b
-        out = []
+        out, whole = [], 0.0
+        for w in b.weight:  # in the order of the sums
+            whole += w
         for k in range(0, max(len(row), 1), 4_000):
             r, c = row[k : k + 4_000], col[k : k + 4_000]
-            both = b.known[c] & self.known[r]
-            square = both * (b.weight * (b.x[c] - self.x[r]) ** 2)
-            share = both * b.weight
-            total, norm = np.zeros(len(r)), np.zeros(len(r))
+            full = b.full[c] & self.full[r]
+            square = b.weight * (b.x[c] - self.x[r]) ** 2
+            total, norm = np.zeros(len(r)), np.full(len(r), whole)
+            part = np.flatnonzero(~full)
+            both = b.known[c[part]] & self.known[r[part]]
+            square[part] *= both
             for j in range(len(b.weight)):
                 total += square[:, j]
-                norm += share[:, j]
+            some = np.zeros(len(part))
+            for j in range(len(b.weight)):
+                some += both[:, j] * b.weight[j]
+            norm[part] = some
+            enough = np.full(len(r), len(b.weight) >= SHARED)
+            enough[part] = both.sum(1) >= SHARED
             with np.errstate(all="ignore"):
                 dist = np.sqrt(total / norm) + (REGIME_PENALTY * (self.regime[r] != b.regime[c]) + SAME_TICKER * (self.ticker[r] == b.ticker[c]))
             dist = np.round(np.maximum(dist, 0), 9)
-            ok = (both.sum(1) >= SHARED) & (dist <= self.limit[r])
+            ok = enough & (dist <= self.limit[r])
             out.append((r[ok], dist[ok], b.rank[c[ok]]))
         return tuple(np.concatenate(c) for c in zip(*out))
 
@@ -552,11 +634,26 @@ def candidate_evidence(evidence: DataFrame, records: DataFrame, stats: DataFrame
     )
 
 
-def setup_aggregates(records: DataFrame, queries: DataFrame, stats: DataFrame, n: int = 24) -> DataFrame:
-    """For each query and setup, the valid scenarios of the query's analogues: numbers and results."""
+COUNTED = ["scenarios", "preferred", "secondary", "triggered", "t1_first", "stop_first", "resolved"]
+
+
+def setup_aggregates(records: DataFrame, queries: DataFrame | None, stats: DataFrame, n: int = 24) -> DataFrame:
+    """For each query (None: all records) and setup, the valid scenarios of the query's analogues: numbers and results.
+
+    Where one task sees all records, it also sums up: the scenarios go with their records, and no analogue is written."""
+    upper = lambda c: F.upper(c)
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    form = lambda s: F.struct(
+        F.lower(s["direction"]).alias("direction"), F.lower(s["entry_type"]).alias("entry_type"), one(upper(s["selection_tier"]) == "PREFERRED").alias("preferred"), one(upper(s["selection_tier"]) == "SECONDARY").alias("secondary"),
+        one(s["triggered"]).alias("triggered"), one(s["t1_before_stop"]).alias("t1_first"), one(upper(s["primary_outcome"]) == "STOP_BEFORE_T1").alias("stop_first"), s["resolved_r"].alias("resolved_r"),
+    )
+    search = _Search(records, queries, stats, n, F.transform(F.filter("scenarios", lambda s: s["structurally_valid"]), form))
+    kind = records.schema["scenarios"].dataType.elementType["resolved_r"].dataType
+    if search.blocks == 1 and isinstance(kind, DecimalType) and kind.precision <= 18:
+        sums = search.each(_summed(kind.scale), f"query bigint, direction string, entry_type string, {', '.join(f'{c} bigint' for c in COUNTED)}, total decimal(28,{kind.scale})")
+        return sums.select("query", "direction", "entry_type", *COUNTED, clean.half_even(F.try_divide(F.col("total").cast("double"), F.col("resolved")), 3).alias("mean_r"))
     near = analogues(records.drop("scenarios"), queries, stats, n).select("query", "record_id")
     s = scenario_rows(records).filter("structurally_valid").select("record_id", F.lower("direction").alias("direction"), F.lower("entry_type").alias("entry_type"), "selection_tier", "triggered", "t1_before_stop", "primary_outcome", "resolved_r")
-    upper = lambda c: F.upper(c)
     return near.join(s, "record_id").groupBy("query", "direction", "entry_type").agg(
         F.count(F.lit(1)).alias("scenarios"), F.count_if(upper("selection_tier") == "PREFERRED").alias("preferred"), F.count_if(upper("selection_tier") == "SECONDARY").alias("secondary"),
         F.count_if("triggered").alias("triggered"), F.count_if("t1_before_stop").alias("t1_first"), F.count_if(upper("primary_outcome") == "STOP_BEFORE_T1").alias("stop_first"),
@@ -564,6 +661,47 @@ def setup_aggregates(records: DataFrame, queries: DataFrame, stats: DataFrame, n
     )
 
 
+def _summed(scale: int) -> Callable:
+    """Sums of the carried scenarios of a tile's analogues by query and setup; decimals as two halves, exact at any size."""
+    held: dict = {}
+
+    def prepare(carried: pa.Table) -> tuple:
+        lists = pa.concat_arrays(carried.column("carried").chunks)
+        s = lists.flatten()
+        many = lists.value_lengths().fill_null(0).to_numpy()
+        setup = [s.field(c).dictionary_encode() for c in ("direction", "entry_type")]
+        a, b = (e.indices.fill_null(-1).to_numpy().astype(np.int64) + 1 for e in setup)
+        known = s.field("resolved_r").is_valid().to_numpy(zero_copy_only=False)
+        r = s.field("resolved_r").cast(pa.decimal128(28, scale)).fill_null(0)
+        low = np.frombuffer(r.buffers()[1], np.int64)[2 * r.offset : 2 * (r.offset + len(r)) : 2]  # with 18 digits one word holds all
+        flags = [s.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in COUNTED[1:-1]]
+        figures = np.stack([np.ones(len(s), np.int64), *flags, known.astype(np.int64), low >> 32, low & 0xFFFFFFFF], axis=1)
+        return many, np.cumsum(many) - many, a * (len(setup[1].dictionary) + 1) + b, [e.dictionary for e in setup], figures
+
+    def make(carried: pa.Table, ids: np.ndarray, block: _Block, tile: tuple) -> pa.RecordBatch:
+        q, row, col = tile[:3]
+        if "of" not in held or held["of"] is not carried:
+            held.update(of=carried, ready=prepare(carried))
+        many, start, code, names, figures = held["ready"]
+        record = block.order[col]
+        row = np.repeat(row, many[record])
+        at = np.repeat(start[record] - np.r_[0, np.cumsum(many[record])[:-1]], many[record]) + np.arange(len(row))
+        key = row * ((len(names[0]) + 1) * (len(names[1]) + 1)) + code[at]
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        sums = np.add.reduceat(figures[at], first) if len(key) else figures[:0]
+        high, low = sums[:, -2] + (sums[:, -1] >> 32), sums[:, -1] & 0xFFFFFFFF
+        words = np.ascontiguousarray(np.stack([(high & 0xFFFFFFFF) << 32 | low, high >> 32], axis=1))
+        total = pa.Array.from_buffers(pa.decimal128(28, scale), len(first), [None, pa.py_buffer(words)])
+        a, b = np.divmod(code[at[first]], len(names[1]) + 1)
+        setup = [x.take(pa.array(c - 1, mask=c == 0)) for x, c in zip(names, (a, b))]
+        out = [pa.array(ids[q][row[order][first]]), *setup, *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(len(COUNTED))), total]
+        return pa.RecordBatch.from_arrays(out, ["query", "direction", "entry_type", *COUNTED, "total"])
+
+    return make
+
+
 def with_fallback(rows: DataFrame, lookup: DataFrame, key: str, rank: str, ordinal: str, value: str) -> DataFrame:
     """rows with a value looked up by (key, rank) where the rank is positive and found, else by (key, place): lookup has key,
     rank, ordinal (from 1) and the value; of repeated ranks the last place counts."""

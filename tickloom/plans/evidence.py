@@ -57,8 +57,7 @@ def feature_stats(spark: SparkSession, folder: str) -> DataFrame:
 select q as query, r as record_id, cast(rank as int) as rank, round(distance, 6) as distance, shared from c where rank <= 24""",
 )
 def knn_analogues(spark: SparkSession, folder: str) -> DataFrame:
-    r = _base(spark, folder)
-    return analogues.analogues(r, r.withColumn("query", F.col("record_id")), table(spark, folder, "feature_stat")).withColumn("distance", F.round("distance", 6))
+    return analogues.analogues(_base(spark, folder), None, table(spark, folder, "feature_stat")).withColumn("distance", F.round("distance", 6))
 
 
 SETUPS = """

@@ -67,7 +67,7 @@ from c join s on s.record_id = c.r where rank <= 24 group by 1, 2, 3""",
 )
 def setup_aggregates(spark: SparkSession, folder: str) -> DataFrame:
     r = analogues.distinct_records(table(spark, folder, "analogue_record")).select("record_id", "ticker", "as_of_utc", "session_date_et", "regime", "features", "scenarios", "received_utc")
-    return analogues.setup_aggregates(r, r.withColumn("query", F.col("record_id")), table(spark, folder, "feature_stat"))
+    return analogues.setup_aggregates(r, None, table(spark, folder, "feature_stat"))
 
 
 @R.query(
