@@ -107,14 +107,10 @@ class _Search:
         weight, n = self.weight, self.n
 
         def search(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: tuple[list, list] = ([], [])
-            for b in batches_:
-                for kept, rows in zip(b.column("kept").to_pylist(), b.column("rows")):
-                    held[kept].append(pa.ipc.open_stream(rows.as_buffer()).read_all())
-            if not all(held):
+            asked_, data = _received(batches_)
+            if not asked_ or not data:
                 return
-            asked_, data = (pa.concat_tables(x) for x in held)
-            del held
+            asked_, data = pa.concat_tables(asked_), pa.concat_tables(data)
             code, size = {}, data.num_rows
             for c in ("ticker", "regime", "setup"):
                 e = pa.chunked_array([*data.column(c).chunks, *asked_.column(c).chunks]).combine_chunks()
@@ -130,7 +126,8 @@ class _Search:
                 sides.append((enough, tuple(c[enough] for c in own)))
             (at, records), (_, queries) = sides
             rest = data.select(["carried"]).take(at) if "carried" in data.column_names else names
-            del data, asked_, t, z, own, code, sides
+            del data, asked_, t, z, own, code, sides, e
+            pa.default_memory_pool().release_unused()
             if len(at) and len(queries[0]):
                 block = _Block(records, weight, n)
                 del records
@@ -157,6 +154,15 @@ class _Search:
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= self.n)
 
 
+def _received(batches: Iterable[pa.RecordBatch]) -> tuple[list, list]:
+    """Tables of what _sent sent: queries, records."""
+    held: tuple[list, list] = ([], [])
+    for b in batches:
+        for kept, rows in zip(b.column("kept").to_pylist(), b.column("rows")):
+            held[kept].append(pa.ipc.open_stream(rows.as_buffer()).read_all())
+    return held
+
+
 def _sent(df: DataFrame, parts: int, *kept: bool) -> DataFrame:
     """The rows as few ones of up to SENT, which are cheap to send to many tasks: kept, part, rows as an Arrow stream. For records
     (kept) the part is their block, for queries their batch; a table may be both. parts: how many there are."""
@@ -339,7 +345,7 @@ class _Tile:
         if not len(self.row):
             return None
         col = b.by_id[self.rank]
-        shared = (b.known[col] & self.known[self.row]).sum(1)
+        shared = (b.known.take(col, 0) & self.known.take(self.row, 0)).sum(1)
         return self.row, col, self.dist, shared, _place(self.row) + 1
 
     def _corners(self, leaves: np.ndarray) -> np.ndarray:
@@ -418,8 +424,8 @@ class _Tile:
             k += 1
             if got:
                 r, c, v = (np.concatenate(x) for x in zip(*got))
-                ok = (b.days[c] < self.days[r]) & ((self.same[r] > 0) | (b.ticker[c] != self.ticker[r]))
-                self._nearest(r[ok], c[ok], v[ok], np.where(none, np.inf, t2), extra)
+                ok = np.flatnonzero((b.days.take(c) < self.days.take(r)) & ((self.same.take(r) > 0) | (b.ticker.take(c) != self.ticker.take(r))))
+                self._nearest(r.take(ok), c.take(ok), v.take(ok), np.where(none, np.inf, t2), extra)
 
     def _nearest(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, t2: np.ndarray, extra: float) -> None:
         """Takes in those of the pairs that lie within the limits, the likely nearest ones first. value: what was found not to be
@@ -444,7 +450,7 @@ class _Tile:
         b, out = self.b, []
         if not len(rows):
             return out
-        a = queries[rows]
+        a = queries.take(rows, 0)
         for lo in range(lo, hi, COLUMNS):
             width = min(COLUMNS, hi - lo)
             size = len(rows) * width
@@ -454,10 +460,10 @@ class _Tile:
             b.passed[size:up] = False
             words = np.flatnonzero(b.passed[:up].view(np.uint64))  # eight at once, as few pass
             if len(words):
-                j = np.flatnonzero(b.passed[:up].reshape(-1, 8)[words])
-                place = (words * 8)[j >> 3] + (j & 7)
+                j = np.flatnonzero(b.passed[:up].view(np.uint64).take(words).view(bool))
+                place = (words * 8).take(j >> 3) + (j & 7)
                 r = place // width
-                out.append((rows[r], place - r * width + lo, b.values[place]))
+                out.append((rows.take(r), place - r * width + lo, b.values.take(place)))
         return out
 
     def _own_ticker(self, setup: int) -> None:
@@ -481,11 +487,14 @@ class _Tile:
             whole += w
         for k in range(0, max(len(row), 1), 4_000):
             r, c = row[k : k + 4_000], col[k : k + 4_000]
-            full = b.full[c] & self.full[r]
-            square = b.weight * (b.x[c] - self.x[r]) ** 2
+            full = b.full.take(c) & self.full.take(r)
+            square = b.x.take(c, 0)
+            square -= self.x.take(r, 0)
+            square *= square
+            square *= b.weight
             total, norm = np.zeros(len(r)), np.full(len(r), whole)
             part = np.flatnonzero(~full)
-            both = b.known[c[part]] & self.known[r[part]]
+            both = b.known.take(c[part], 0) & self.known.take(r[part], 0)
             square[part] *= both
             for j in range(len(b.weight)):
                 total += square[:, j]
@@ -496,10 +505,10 @@ class _Tile:
             enough = np.full(len(r), len(b.weight) >= SHARED)
             enough[part] = both.sum(1) >= SHARED
             with np.errstate(all="ignore"):
-                dist = np.sqrt(total / norm) + (REGIME_PENALTY * (self.regime[r] != b.regime[c]) + SAME_TICKER * (self.ticker[r] == b.ticker[c]))
+                dist = np.sqrt(total / norm) + (REGIME_PENALTY * (self.regime.take(r) != b.regime.take(c)) + SAME_TICKER * (self.ticker.take(r) == b.ticker.take(c)))
             dist = np.round(np.maximum(dist, 0), 9)
-            ok = enough & (dist <= self.limit[r])
-            out.append((r[ok], dist[ok], b.rank[c[ok]]))
+            ok = np.flatnonzero(enough & (dist <= self.limit.take(r)))
+            out.append((r.take(ok), dist.take(ok), b.rank.take(c.take(ok))))
         return tuple(np.concatenate(c) for c in zip(*out))
 
     def _guess(self, leaves: np.ndarray, corner: np.ndarray) -> None:
@@ -674,15 +683,15 @@ def _summed(scale: int) -> Callable:
         known = s.field("resolved_r").is_valid().to_numpy(zero_copy_only=False)
         r = s.field("resolved_r").cast(pa.decimal128(28, scale)).fill_null(0)
         low = np.frombuffer(r.buffers()[1], np.int64)[2 * r.offset : 2 * (r.offset + len(r)) : 2]  # with 18 digits one word holds all
-        flags = [s.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in COUNTED[1:-1]]
-        figures = np.stack([np.ones(len(s), np.int64), *flags, known.astype(np.int64), low >> 32, low & 0xFFFFFFFF], axis=1)
-        return many, np.cumsum(many) - many, a * (len(setup[1].dictionary) + 1) + b, [e.dictionary for e in setup], figures
+        flags = [s.field(c).to_numpy(zero_copy_only=False).astype(np.int8) for c in COUNTED[1:-1]]
+        counted = np.stack([np.ones(len(s), np.int8), *flags, known.astype(np.int8)], axis=1)
+        return many, np.cumsum(many) - many, a * (len(setup[1].dictionary) + 1) + b, [e.dictionary for e in setup], counted, low.copy()
 
     def make(carried: pa.Table, ids: np.ndarray, block: _Block, tile: tuple) -> pa.RecordBatch:
         q, row, col = tile[:3]
         if "of" not in held or held["of"] is not carried:
             held.update(of=carried, ready=prepare(carried))
-        many, start, code, names, figures = held["ready"]
+        many, start, code, names, counted, value = held["ready"]
         record = block.order[col]
         row = np.repeat(row, many[record])
         at = np.repeat(start[record] - np.r_[0, np.cumsum(many[record])[:-1]], many[record]) + np.arange(len(row))
@@ -690,8 +699,9 @@ def _summed(scale: int) -> Callable:
         order = np.argsort(key, kind="stable")
         key, at = key[order], at[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        sums = np.add.reduceat(figures[at], first) if len(key) else figures[:0]
-        high, low = sums[:, -2] + (sums[:, -1] >> 32), sums[:, -1] & 0xFFFFFFFF
+        value = value[at]
+        sums, high, low = (np.add.reduceat(x, first, dtype=np.int64) if len(key) else x[:0].astype(np.int64) for x in (counted[at], value >> 32, value & 0xFFFFFFFF))
+        high, low = high + (low >> 32), low & 0xFFFFFFFF
         words = np.ascontiguousarray(np.stack([(high & 0xFFFFFFFF) << 32 | low, high >> 32], axis=1))
         total = pa.Array.from_buffers(pa.decimal128(28, scale), len(first), [None, pa.py_buffer(words)])
         a, b = np.divmod(code[at[first]], len(names[1]) + 1)
